@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loamworks.operators import quality
+
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     raise NotImplementedError
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.load_issues(spark, f"{d}/test_data.parquet")
+
+
+def p3_profile(spark: SparkSession, d: str) -> DataFrame:
+    return quality.table_profile(spark, f"{d}/test_data.parquet", ["row_id", "feed", "load_no", "age", "email", "status"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p3_found": p3_found, "p3_profile": p3_profile}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": quality.ISSUES_SQL, "p3_profile": quality.PROFILE_SQL}
