@@ -50,3 +50,20 @@ def with_row_id(df: DataFrame, column: str = "_row_id") -> DataFrame:
     if column in df.columns:
         raise ValueError(f"column {column} exists already")
     return df.withColumn(column, F.monotonically_increasing_id())
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once, so that they need no copy of their own."""
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_loamworks_shipped", False):
+        return
+    root = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="loamworks-")) / "loamworks.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, Path("loamworks") / file.relative_to(root))
+    context.addPyFile(str(target))  # Spark's own file server hands it to the executors
+    context._loamworks_shipped = True
