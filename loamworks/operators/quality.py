@@ -86,7 +86,8 @@ def distinct_candidates(spark: SparkSession, path: str, columns: Sequence[str])
                             coded = part if pa.types.is_dictionary(part.type) else part.dictionary_encode()
                             values.update(coded.dictionary.to_pylist())
                         values.discard(None)
-                        yield pd.DataFrame({"column_name": c, "value": sorted(map(str, values))}, columns=["column_name", "value"])
+                        if values:
+                            yield pd.DataFrame({"column_name": c, "value": sorted(map(str, values))})
 
     return files_of(spark, path).mapInPandas(read, "column_name string, value string")
 
