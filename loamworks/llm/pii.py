@@ -436,6 +436,9 @@ def _checked(text: str, at: int, kind: str) -> list[tuple[int, int, str]]:
         full = [p for p in parts if len(_WORD.findall(p.group())) >= 2]
         if len(parts) > 1 and len(full) == len(parts):  # a comma between whole names
             return [(at + p.end() - len(p.group().lstrip()), at + p.end(), kind) for p in parts]
+        if len(parts) > 1 and full[:1] == parts[:1] and not _PARTICLE.match(text):
+            text = parts[0].group()  # a whole name, then something else
+            whole = [(at, at + len(text), kind)]
         return whole if len(_WORD.findall(text)) >= 2 and (" " in text or "," in text) and not any(map(str.isdigit, text)) else []
     digits = sum(map(str.isdigit, text))
     if kind == "email":
@@ -444,6 +447,7 @@ def _checked(text: str, at: int, kind: str) -> list[tuple[int, int, str]]:
 
 
 _WORD = re.compile(r"[^\W\d_]+")
+_PARTICLE = re.compile(r"(?i)(?:de|van|von|del|di|da|la|le|der) ")
 _MASK = bytes.maketrans(b"123456789", b"0" * 9)
 
 
@@ -521,7 +525,7 @@ def found(fetches: DataFrame, cards: DataFrame, names: DataFrame) -> DataFrame:
             spans = find_batch(b["text"].tolist(), tagger)
             rows = np.repeat(np.arange(len(b)), [len(x) for x in spans])
             keys = b[["field", "rec_id", "item_no"]].iloc[rows].reset_index(drop=True)
-            yield keys.assign(kind=[k for x in spans for _, _, k in x], start_pos=np.array([a for x in spans for a, _, _ in x], np.int32))
+            yield keys.assign(kind=pd.Series([k for x in spans for _, _, k in x], dtype=object), start_pos=np.array([a for x in spans for a, _, _ in x], np.int32))
 
     schema = "field string, rec_id long, item_no int, kind string, start_pos int"
     both = [x.filter(F.length("text") > 0).mapInPandas(find, schema) for x in (texts, items)]

@@ -88,6 +88,13 @@ Mr. {NAME} and Mrs. {NAME} visited {subject}.
 Mr {NAME} and Ms {NAME} of {subject} answer on {PHONE}, ext. {n}.
 Letter from {NAME} about {subject} (born {year}, {ADDRESS}).
 Note by {NAME} to {NAME} about {subject} (born {year}, {ADDRESS}).
+Complaint of {NAME} about {subject} (born {year}, {ADDRESS}).
+Alle Angaben ohne Gewähr, Änderungen durch {firm} vorbehalten.
+Ihre Wahl gilt {n} Tage. Zustimmen Ablehnen
+Preise, Termine und Angaben der Filiale in {city} sind unverbindlich.
+In der Liste fehlen Namen, Werte und Zeilen.
+Acerca de Precios Cesta Cuenta
+Agree Decline
 - {subject}, {n} Stück
 - {subject}, {n} piezas
 - {subject}, {n} pièces
