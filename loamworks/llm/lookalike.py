@@ -197,6 +197,17 @@ def site_and_page(url: Column) -> tuple[Column, Column]:
 _DIGESTS = T.StructType([T.StructField("form", T.BinaryType()), T.StructField("stored", T.BinaryType())])
 
 
+def slices(frame: pd.DataFrame, column: str, most: int = 8_000_000) -> Iterator[pd.DataFrame]:
+    """A batch in slices of at most `most` characters of a text column (a longer text is a slice of its own)."""
+    sizes = np.cumsum([len(t) if t else 0 for t in frame[column]])
+    begin = 0
+    while begin < len(frame):
+        before = sizes[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, before + most, side="right")))
+        yield frame.iloc[begin:end]
+        begin = end
+
+
 def _digests(column: Column, blank_is_null: bool) -> Column:
     """128-bit digests of a text's consistent form and of its stored form; null for a null (or blank) text."""
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamworks.llm.lookalike import canonical_batch
+from loamworks.llm.lookalike import canonical_batch, slices
 from loamworks.llm.pii_labels import KINDS, labelled_table
 
 NAMES_MOST = 50_000  # name parts that the model may hold; a longer list is an error
@@ -521,7 +521,7 @@ def found(fetches: DataFrame, cards: DataFrame, names: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tagger = _live(sent)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, "text")):
             spans = find_batch(b["text"].tolist(), tagger)
             rows = np.repeat(np.arange(len(b)), [len(x) for x in spans])
             keys = b[["field", "rec_id", "item_no"]].iloc[rows].reset_index(drop=True)

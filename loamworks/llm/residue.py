@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamworks.llm.lookalike import canonical_batch
+from loamworks.llm.lookalike import canonical_batch, slices
 
 COVERAGE = 0.62  # share of a window's weight from which it counts as residue
 PRESENCE = 0.75  # share of an exemplar's weight that must stand in the window for it to be retrieved
@@ -356,7 +356,7 @@ def residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     index = ResidueIndex(document_shares(documents.filter(F.col(text).isNotNull()), text))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, "text")):
             forms = canonical_batch(b["text"].tolist())[0]
             yield b.loc[[is_residue(t, index) for t in forms], ["id"]]
 
