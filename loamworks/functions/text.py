@@ -99,3 +99,8 @@ def similarity(a: Column, b: Column) -> Column:
     """1 for equal texts, less by the share of characters to be edited."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
+
+
+def first_sentences(c: Column, most: int = 3) -> Column:
+    """The first sentences of a text, each ending at a full stop, exclamation or question mark followed by white space."""
+    return F.array_join(F.slice(F.split(F.trim(c), r"(?<=[.!?])\s+"), 1, most), " ")

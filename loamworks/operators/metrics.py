@@ -77,3 +77,15 @@ def auc(points: DataFrame) -> DataFrame:
     w = Window.orderBy(F.desc("score"))
     step = points.select((F.col("fpr") - F.coalesce(F.lag("fpr").over(w), F.lit(0.0))).alias("dx"), ((F.col("tpr") + F.coalesce(F.lag("tpr").over(w), F.lit(0.0))) / 2).alias("y"))
     return step.agg(F.sum(F.col("dx") * F.col("y")).alias("roc_auc"))
+
+
+def average_precision(points: DataFrame) -> DataFrame:
+    """Area under the precision-recall curve by steps: the sum of precision times the rise in recall."""
+    w = Window.orderBy(F.desc("score"))
+    rise = F.col("tpr") - F.coalesce(F.lag("tpr").over(w), F.lit(0.0))
+    return points.select((rise * F.col("precision")).alias("a")).agg(F.sum("a").alias("pr_auc"))
+
+
+def common_range(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """Least and largest value over actual and predicted."""
+    return df.agg(F.least(F.min(actual), F.min(predicted)).alias("lo"), F.greatest(F.max(actual), F.max(predicted)).alias("hi"))

@@ -213,3 +213,25 @@ def any_true(*conditions: Column) -> Column:
     for c in conditions:
         out = out | F.coalesce(c, F.lit(False))
     return out
+
+
+def fill_dates(df: DataFrame, column: str, order: Sequence[str], default: str | None = None, out: str | None = None) -> DataFrame:
+    """Dates as YYYY-MM-DD filled forward in an order, then with the median date, then with `default`.
+
+    The median is of the dates that are there; of an even number of them the mean of the middle two, cut to a day.
+    """
+    out = out or column
+    day = F.unix_date(F.col(column).try_cast("date"))
+    middle = df.agg(F.date_format(F.date_from_unix_date(F.floor(F.median(day)).cast("int")), "yyyy-MM-dd").alias("_m"))
+    filled = lag_fill(df, column, order, out=out)
+    return filled.crossJoin(F.broadcast(middle)).withColumn(out, F.coalesce(out, "_m", F.lit(default))).drop("_m")  # one row
+
+
+def default_target(df: DataFrame) -> str:
+    """The last text column, or else the last column."""
+    text = columns_of(df, T.StringType)
+    return text[-1] if text else df.columns[-1]
+
+
+def unique_ratio(df: DataFrame, column: str) -> DataFrame:
+    return df.agg(F.try_divide(F.count_distinct(column), F.count(column)).alias("unique_ratio"))

@@ -14,6 +14,7 @@ from loamworks.operators import gates, metrics, models, prepare, profile, qualit
 from loamworks.plans import pipeline, policy
 from loamworks.session import cut, read_table, shared_dir
 from loamworks.sources import html, io
+from loamworks.streaming import clean as windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -612,6 +613,58 @@ def normalise_headers(s, d):
     return io.normalise_headers(read_table(s, d, "test_data").select(F.col("row_id").alias(" _K "), F.col("name").alias("Customer Name")))
 
 
+@query(SCORED.rstrip() + _ROC + ", z AS (SELECT (tp / tt::DOUBLE - coalesce(lag(tp / tt::DOUBLE) OVER (ORDER BY p DESC), 0)) * (tp / (tp + fp)::DOUBLE) AS a FROM r) SELECT round(sum(a), 8) AS pr_auc FROM z")
+def pr_auc(s, d):
+    return metrics.average_precision(metrics.curve_points(scored(s, d), "y", "p")).select(F.round("pr_auc", 8).alias("pr_auc"))
+
+
+@query(SCORED + "SELECT least(min(y), min(p)) AS lo, greatest(max(y), max(p)) AS hi FROM t")
+def common_range(s, d):
+    return metrics.common_range(scored(s, d), "y", "p")
+
+
+@query(f"WITH v AS (SELECT order_no, {DATE_SQL} AS x FROM order_intake), m AS (SELECT strftime(DATE '1970-01-01' + floor(quantile_cont(datediff('day', DATE '1970-01-01', CAST(x AS DATE)), 0.5))::INTEGER, '%Y-%m-%d') AS m FROM v) SELECT order_no, coalesce(last_value(x IGNORE NULLS) OVER (ORDER BY order_no ROWS UNBOUNDED PRECEDING), m) AS x FROM v, m")
+def impute_dates(s, d):
+    return profile.fill_dates(orders(s, d).select("order_no", C.date(F.col("order_date")).alias("x")), "x", ["order_no"])
+
+
+@query("SELECT count(DISTINCT customer_id) / count(customer_id)::DOUBLE AS unique_ratio FROM order_intake")
+def unique_ratio(s, d):
+    return profile.unique_ratio(orders(s, d), "customer_id")
+
+
+@query("SELECT 'category' AS target")
+def default_target(s, d):
+    return s.createDataFrame([(profile.default_target(orders(s, d).drop("loaded_at")),)], "target string")
+
+
+@query("SELECT card_id, value FROM (SELECT card_id, unnest(entities['EMAIL']) AS value FROM structured_card)")
+def entity_values(s, d):
+    return read_table(s, d, "structured_card").select("card_id", F.explode(F.try_element_at("entities", F.lit("EMAIL"))).alias("value"))
+
+
+@query(r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 30)) AS lines FROM documents")
+def text_long_lines(s, d):
+    return read_table(s, d, "documents").select("doc_id", F.when(F.col("text").isNotNull(), F.size(X.long_lines(F.col("text")))).cast("long").alias("lines"))
+
+
+@query(r"SELECT doc_id, substr(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), ' '), 1, 300) AS start FROM documents")
+def text_clean(s, d):
+    return read_table(s, d, "documents").select("doc_id", X.clean_text(F.col("text")).alias("start"))
+
+
+@query("SELECT feed, load_no, count(*) AS n, count(DISTINCT id) AS ids, count(*) FILTER (WHERE updated_at > loaded_at) AS ahead FROM test_data GROUP BY 1, 2")
+def load_counts(s, d):
+    t = read_table(s, d, "test_data")
+    return t.groupBy("feed", "load_no").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.count_if(F.col("updated_at") > F.col("loaded_at")).alias("ahead"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS window_start FROM events GROUP BY 1, 4")
+def windowed_events(s, d):
+    w = windows.windowed(read_table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value", "1 day")
+    return w.select("event_type", "n", F.round("total", 4).alias("total"), F.col("window_start").cast("timestamp_ntz").alias("window_start"))
+
+
 # ---- the column-level profile
 @query(quality.ISSUES_SQL)
 def p3_found(s, d):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,3 +43,32 @@ def write_cards(cards: DataFrame, out: str) -> dict[str, str]:
     cards.write.mode("overwrite").json(f"{out}/cards")
     cards.select(F.array_join("content", "\n").alias("value")).filter("value IS NOT NULL").write.mode("overwrite").text(f"{out}/text")
     return {"cards": f"{out}/cards", "text": f"{out}/text"}
+
+
+def export_log(steps: list[dict], kind: str = "json") -> str:
+    """A cleaning log as `json`, as a `summary` of lines, or as `str`."""
+    if kind == "json":
+        return json.dumps(steps, ensure_ascii=False, default=str)
+    return log_summary(steps) if kind == "summary" else str(steps)
+
+
+def write_entities(cards: DataFrame, out: str, labels: list[str]) -> dict[str, str]:
+    """For each label, a CSV of the values found in cards' entities, with their url."""
+    paths = {}
+    for label in labels:
+        values = cards.select("url", F.explode(F.try_element_at("entities", F.lit(label))).alias("value")).distinct()
+        values.write.mode("overwrite").option("header", True).csv(f"{out}/{label.lower()}")
+        paths[label] = f"{out}/{label.lower()}"
+    return paths
+
+
+def merged_audits(audits: DataFrame) -> DataFrame:
+    """Audits (rows_in, quarantined_cells, decisions) of parts as one: sums, and all decisions."""
+    return audits.agg(F.sum("rows_in").alias("rows_in"), F.sum("quarantined_cells").alias("quarantined_cells"), F.flatten(F.collect_list("decisions")).alias("decisions"))
+
+
+def progress(spark: SparkSession) -> dict[int, tuple[int, int]]:
+    """Tasks done and tasks in all of each stage that is running."""
+    tracker = spark.sparkContext.statusTracker()
+    stages = (tracker.getStageInfo(i) for i in tracker.getActiveStageIds())
+    return {s.stageId: (s.numCompletedTasks, s.numTasks) for s in stages if s}
