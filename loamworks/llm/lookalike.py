@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamworks.session import cut
+
 # Letters of other scripts that are drawn like a Latin letter, by that letter.
 LOOKALIKES = {
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ", "J": "Ј", "K": "КΚ", "M": "МΜ", "N": "Ν",
@@ -234,8 +236,10 @@ def same_looking_pairs(df: DataFrame, text: str, key: str, group: list[Column],
     copies never meet each other; a pair of classes is expanded to its members last.
     Result: field, id_a < id_b, every pair once. An empty table gives an empty result.
     """
-    base = df.select(F.xxhash64(*group).alias("g"), F.concat_ws("\x1f", *[c.cast("string") for c in group]).alias("gs"), F.col(key).cast("long").alias("id"), _digests(F.col(text), blank_is_null).alias("d"), F.array(*[c.isNull() for c in group]).alias("nulls"))
-    base = base.filter(~F.array_contains("nulls", True)).select(F.sha2(F.concat(F.col("gs").cast("binary"), F.lit(b"\x1e"), "d.form"), 256).alias("look"), F.col("d.stored").alias("stored"), "id").filter(F.col("look").isNotNull())
+    whole = F.concat_ws("\x1f", *[c.cast("string") for c in group])
+    base = df.filter(F.array_min(F.array(*[c.isNotNull().cast("int") for c in group])) == 1).select(whole.alias("group"), F.col(key).cast("long").alias("id"), _digests(F.col(text), blank_is_null).alias("d")).filter("d.form IS NOT NULL")
+    # the texts are read once; three digests and numbers of a row are kept for the joins
+    base = cut(base.select(F.unhex(F.md5(F.concat(F.col("group").cast("binary"), F.lit(b"\x1e"), "d.form"))).alias("look"), F.col("d.stored").alias("stored"), "id"))
     # groups in which at least two stored forms occur; partial min/max run before the shuffle
     mixed = base.groupBy("look").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).filter("lo <> hi").select("look")
     rows = base.join(mixed, "look", "left_semi")
