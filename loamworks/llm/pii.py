@@ -33,7 +33,7 @@ STATES = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 S = len(STATES)
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
-_RUN = re.compile(r"(?:\+ ?|\()?\d(?:[ .()/-]{0,3}\d)*")
+_RUN = re.compile(r"(?<![\d.])\d{2,3}(?:\.\d{2,4}){2,}(?![\d.])|(?:\+ ?|\()?\d(?:[ .()/-]{0,3}\d)*")
 _MAIL = re.compile(r"[\w.+-]+(?: dot [\w.+-]+)* ?(?:@|[\[(] ?at ?[\])]|\bat\b(?= [\w-]+ dot\b)|\bAT\b(?= [\w-]+ DOT\b)) ?[\w-]+(?: ?(?:\.|[\[(] ?dot ?[\])]|\bdot\b|\bDOT\b) ?[\w-]+)+", re.I)
 _AT = re.compile(r"[\[(] ?at ?[\])]|\bat\b.* dot ", re.I)
 _SPLIT = re.compile(r"(?<=[a-zà-ÿ0-9%]{3}[.!?]) (?=[A-ZÀ-ÞА-ЯΑ-Ω\"¿])(?<!Blvd\. )(?<!Ave\. )(?<!Str\. )(?<!Prof\. )(?<!tel\. )(?<!Tel\. )")
@@ -72,8 +72,8 @@ class Model:
     """Weights, and the lists that features look words up in."""
 
     def __init__(self, given: Sequence[str], family: Sequence[str]) -> None:
-        self.given = {g.lower() for g in given}
-        self.family = {f.lower() for f in family}
+        self.given = {g.lower() for g in canonical_batch(given)[0]}
+        self.family = {f.lower() for f in canonical_batch(family)[0]}
         self.ids: dict[tuple, int] = {}
         self.weights = np.zeros((1, S))
         self.move = np.zeros((S, S))
@@ -170,7 +170,7 @@ def _sums(scores: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(scores - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(given: Sequence[str], family: Sequence[str], rounds: int = 5, rate: float = 0.35, batch: int = 64, penalty: float = 1e-5) -> Model:
+def train(given: Sequence[str], family: Sequence[str], rounds: int = 8, rate: float = 0.35, batch: int = 64, penalty: float = 1e-5) -> Model:
     """The model from the labelled table, by gradient steps (AdaGrad) on the log likelihood of whole label sequences."""
     model = Model(given, family)
     rows = labelled_table(list(given), list(family))
@@ -428,25 +428,46 @@ def _spans(tags: np.ndarray, places: list[tuple[int, int]]) -> list[tuple[int, i
     return out
 
 
-def _checked(text: str, at: int, kind: str) -> list[tuple[int, int, str]]:
-    """Exact check of a found span: [], or the span, or the names that a list of names holds."""
-    whole = [(at, at + len(text), kind)]
+def _names_in(text: str, at: int) -> list[tuple[int, int, str]]:
+    """Names in a list of names: whole ones, or a family name, a comma and a given name."""
+    out = []
+    for piece in _BETWEEN.finditer(text):
+        base = piece.start(1)
+        parts = [(base + p.start() + len(p.group()) - len(p.group().lstrip()), base + p.end(), len(_WORD.findall(p.group()))) for p in re.finditer(r"[^,]+", piece.group(1)) if p.group().strip()]
+        k = 0
+        while k < len(parts):
+            lo, hi, words = parts[k]
+            family = words == 1 or bool(_PARTICLE.match(text[lo:hi]))
+            k += 1
+            if family and k < len(parts) and parts[k][2] <= 2:
+                hi, words, k = parts[k][1], words + parts[k][2], k + 1
+            if words >= 2 and any(c in text[lo:hi] for c in " ,"):
+                out.append((at + lo, at + lo + len(text[lo:hi].rstrip()), "name"))
+    return out
+
+
+def _checked(form: str, lo: int, hi: int, kind: str) -> list[tuple[int, int, str]]:
+    """Exact check of a found span: nothing, the span with what belongs to its start, or the names that a list holds."""
+    text = form[lo:hi]
     if kind == "name":
-        parts = [p for p in re.finditer(r"[^,]+", text) if p.group().strip()]
-        full = [p for p in parts if len(_WORD.findall(p.group())) >= 2]
-        if len(parts) > 1 and len(full) == len(parts):  # a comma between whole names
-            return [(at + p.end() - len(p.group().lstrip()), at + p.end(), kind) for p in parts]
-        if len(parts) > 1 and full[:1] == parts[:1] and not _PARTICLE.match(text):
-            text = parts[0].group()  # a whole name, then something else
-            whole = [(at, at + len(text), kind)]
-        return whole if len(_WORD.findall(text)) >= 2 and (" " in text or "," in text) and not any(map(str.isdigit, text)) else []
-    digits = sum(map(str.isdigit, text))
+        return [] if any(map(str.isdigit, text)) else _names_in(text, lo)
+    before = form[form.rfind("\n", 0, lo) + 1 : lo]
     if kind == "email":
-        return whole if re.search(r"@|\bat\b", text, re.I) and re.search(r"\.|dot", text, re.I) else []
-    return whole if digits >= {"phone": 7, "id_number": 5, "address": 1}[kind] else []
+        if not (re.search(r"@|\bat\b", text, re.I) and re.search(r"\.|dot", text, re.I)):
+            return []
+        lo -= len(re.search(r"[\w.+-]*$", before).group())
+    elif sum(map(str.isdigit, text)) < {"phone": 7, "id_number": 5, "address": 1}[kind]:
+        return []
+    elif kind == "address":
+        lo -= len((_NUMBER_BEFORE if _STREET_FIRST.match(text) else _UNIT_BEFORE).search(before).group())
+    return [(lo, hi, kind)]
 
 
 _WORD = re.compile(r"[^\W\d_]+")
+_BETWEEN = re.compile(r"(?:^| (?:and|und|et|y) )((?:(?! (?:and|und|et|y) ).)+)", re.S)
+_STREET_FIRST = re.compile(r"[NSEW]\. |(?:rue|quai|avenue|chemin) ", re.I)  # forms that begin with a number
+_NUMBER_BEFORE = re.compile(r"(?:(?:flat|unit|apt|suite) \d+, )?(?:\d+[a-z]?(?: bis)?,? )?$", re.I)
+_UNIT_BEFORE = re.compile(r"(?:(?:flat|unit|apt|suite) \d+, )?$", re.I)
 _PARTICLE = re.compile(r"(?i)(?:de|van|von|del|di|da|la|le|der) ")
 _MASK = bytes.maketrans(b"123456789", b"0" * 9)
 
@@ -483,7 +504,7 @@ def find_batch(texts: Sequence[str | None], tagger: Tagger) -> list[list[tuple[i
     out: list[list[tuple[int, int, str]]] = [[] for _ in forms]
     for i, at, k in seen:
         for a, b, kind in spans[number[k]]:
-            for lo, hi, checked in _checked(forms[i][at + a : at + b], at + a, kind):
+            for lo, hi, checked in _checked(forms[i], at + a, at + b, kind):
                 if where[i] is not None:
                     lo, hi = int(where[i][lo]), int(where[i][hi - 1]) + 1
                 out[i].append((lo, hi, checked))

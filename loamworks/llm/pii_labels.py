@@ -3,7 +3,8 @@
 Sentences are written with slots in braces; a slot in capitals holds personal data and
 gives its span the label, one in small letters holds anything else. Each sentence is
 filled a fixed number of times, from formats and from lists of names, so the table is
-small, the same each time, and bounded by ROWS.
+small, the same each time, and bounded by ROWS. Texts are in the consistent form of
+`lookalike`, in which the model reads.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 import random
 import re
 
-ROWS = 4000  # rows of the table at most
+from loamworks.llm.lookalike import canonical_batch
+
+ROWS = 6000  # rows of the table at most
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 # The sentences, one to a line.
@@ -43,6 +46,10 @@ Contact: {NAME}, {EMAIL}, {PHONE} - {subject}
 {firm}, {ADDRESS}
 Deliver to {NAME}, {ADDRESS}; order of {subject}.
 Deliver to {NAME}, {ADDRESS}; order of {firm}.
+Deliver to {NAME}, {ADDRESS}; order of {subject}.
+{NAME} | {subject}, {city}
+{NAME} ({subject}, {city})
+{NAME}, {subject} {work} lead
 The keys of {subject} are held by {NAME} and by the porter at {ADDRESS}.
 {subject} moved from {ADDRESS} to {ADDRESS}.
 Visit {subject} at {ADDRESS}.
@@ -255,16 +262,29 @@ class Filler:
         x = self.r.random()
         return self.r.choice(self.family_names) if x < 0.4 and self.family_names else self.r.choice(FAMILY_MORE) if x < 0.65 else self.syllables()
 
+    def unlisted(self) -> str:
+        """A given name of no list: short, of letters that follow each other as they may."""
+        r = self.r
+        return (r.choice(["", r.choice("bcdfghjklmnprstvz")]) + "".join(r.choice("aeiou") + r.choice(["l", "n", "r", "s", "d", "m", "ll", "k", "t", "v"]) for _ in range(r.choice([1, 2, 2]))) + r.choice(["a", "ia", "o", "e", "i", ""])).capitalize()
+
+    def foreign(self) -> str:
+        """A word in Cyrillic or Greek letters, as long as a name."""
+        r = self.r
+        hard, soft, end = r.choice([("бвгджзклмнпрстфхш", "аеиоуяюё", ["ов", "ева", "ин", "ая", "ко", "а", "ий"]), ("βγδζθκλμνπρστφχ", "αεηιουάέίόή", ["ης", "ος", "ου", "άκη", "ίδης", "α", "ια"])])
+        return ("".join(r.choice(hard) + r.choice(soft) for _ in range(r.choice([1, 2, 2, 3]))) + r.choice(hard) + r.choice(end)).capitalize()
+
     def NAME(self, _: str = "") -> str:
         r, family, x = self.r, self.family_one(), self.r.random()
+        if r.random() < 0.05:
+            return f"{self.foreign()} {self.foreign()}"
         if r.random() < 0.12:
             family += "-" + self.family_one()
-        if r.random() < 0.06:
+        if r.random() < 0.1:
             family = r.choice(["de ", "van ", "von ", "del ", "di "]) + family
-        given = r.choice(self.given_names) if x > 0.22 else (r.choice(SYLLABLES) + r.choice(["a", "ia", "o", "i", "en"])).capitalize() if x > 0.16 else r.choice("ABCDEFGHIJKLMNOPRSTUVWYZ") + "."
+        given = r.choice(self.given_names) if x > 0.34 else self.unlisted() if x > 0.16 else r.choice("ABCDEFGHIJKLMNOPRSTUVWYZ") + "."
         if x > 0.9:
             given += "-" + r.choice(self.given_names)
-        if x > 0.16 and r.random() < 0.14:
+        if x > 0.16 and r.random() < 0.2:
             given += f" {r.choice('ABCDEFGHJKLMNPRST')}."
         whole = f"{family}, {given}" if r.random() < 0.13 and not family[0].islower() else f"{given} {family}"
         return whole.upper() if r.random() < 0.06 else whole
@@ -291,7 +311,7 @@ class Filler:
             dot = dot.lower() if at == " at " else dot
             local = local.replace(".", dot) if dot[0] == " " and r.random() < 0.5 else local
         mail = local + at + dot.join([host, *top])
-        return mail.upper() if r.random() < 0.12 else mail.capitalize() if r.random() < 0.08 else mail
+        return mail.upper() if r.random() < 0.12 else mail.capitalize() if r.random() < 0.12 else mail
 
     def PHONE(self, _: str = "") -> str:
         r, d = self.r, self.digits
@@ -372,5 +392,8 @@ def labelled_table(given: list[str], family: list[str], rows: int = ROWS, seed:
             text += sentence[at:] + f.r.choice(["", "", "", "", "", "", " *", f" ({f.r.randint(1, 60)})"])
             if f.r.random() < 0.06 and len(text.upper()) == len(text):
                 text = text.upper()
-            out.append((text, spans))
+            form, where = canonical_batch([text], places=True)
+            if where[0] is not None and len(form[0]) != len(text):
+                continue  # never with these formats: places would shift
+            out.append((form[0], spans))
     return out
