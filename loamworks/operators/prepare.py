@@ -53,9 +53,14 @@ class CategoryImputer:
     values: dict[str, str] = field(default_factory=dict)
 
     def fit(self, df: DataFrame, columns: Sequence[str]) -> CategoryImputer:
-        for c in columns:
-            found = mode_of(df, c).first()["mode_value"] if self.strategy == "mode" else None
-            self.values[c] = self.default if found is None else found
+        found: dict[str, str] = {}
+        if self.strategy == "mode" and columns:  # one scan and one shuffle for all columns
+            from loamworks.operators.profile import unpivot
+
+            counts = unpivot(df, columns).filter("value IS NOT NULL").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+            modes = counts.groupBy("column_name").agg(F.min_by("value", F.struct((-F.col("n")).alias("n"), F.col("value"))).alias("mode_value"))
+            found = {r["column_name"]: r["mode_value"] for r in modes.collect()}  # a row for each column
+        self.values = {c: found.get(c, self.default) for c in columns}
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -161,10 +161,7 @@ def column_types(df: DataFrame, order: Sequence[str], columns: Sequence[str] | N
     counts = unpivot(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     token = F.lower("value").isin("true", "false", "1", "0", "yes", "no", "y", "n")
     stats = counts.groupBy("column_name").agg(F.sum("n").alias("rows"), F.count("value").alias("u"), F.coalesce(F.bool_and(F.when(F.col("value").isNotNull(), token)), F.lit(True)).alias("tokens"))
-    heads = None
-    for c in columns:
-        own = first_values(df, c, order, sample).select(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v"))
-        heads = own if heads is None else heads.unionAll(own)
+    heads = _heads(df, order, columns, sample)
     share = lambda p: F.avg(p.cast("int"))
     looks = heads.groupBy("column_name").agg(share(F.col("v").rlike(r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$")).alias("mails"), share(F.col("v").rlike(r"[+]?[1-9]?[0-9]{7,15}")).alias("phones"), share(F.col("v").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#\s]+")).alias("urls"))
     s = stats.join(looks, "column_name", "left")
@@ -181,6 +178,26 @@ def column_types(df: DataFrame, order: Sequence[str], columns: Sequence[str] | N
     return s.select("column_name", kind.alias("column_type"))
 
 
+def _heads(df: DataFrame, order: Sequence[str], columns: Sequence[str], sample: int) -> DataFrame:
+    """column_name, v: the first `sample` values that are not null of each column, as text.
+
+    Ten times as many first rows are taken once; only columns with too few values in them are looked through on their own.
+    """
+    most = 10 * sample
+    first = df.orderBy(*order).limit(most).select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).collect()
+    rows, open_columns = [], []
+    for c in columns:
+        values = [r[c] for r in first if r[c] is not None]
+        if len(values) >= sample or len(first) < most:
+            rows += [(c, v) for v in values[:sample]]
+        else:
+            open_columns.append(c)
+    heads = df.sparkSession.createDataFrame(rows, "column_name string, v string")
+    for c in open_columns:
+        heads = heads.unionAll(first_values(df, c, order, sample).select(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")))
+    return heads
+
+
 def lag_fill(df: DataFrame, column: str, order: Sequence[str], partition: Sequence[str] = (), backward: bool = False, out: str | None = None) -> DataFrame:
     """Forward fill of a column in an order, then backward if asked.
 

@@ -407,9 +407,21 @@ def dual_output_ml(s, d):
     return pipeline.preprocess(orders(s, d), pipeline.Settings(encode=["status", "category"])).ml_ready
 
 
-@query()
+def _preprocess_sql() -> str:
+    low = lambda c: f"coalesce(lower(trim({c})), 'unknown') AS {c}"
+    gender = f"coalesce({_case(synonyms.flat('gender'), 'lower(trim(gender))')}, lower(trim(gender)), 'unknown') AS gender"
+    v = f"v AS (SELECT visit_no::DOUBLE AS visit_no, age::DOUBLE AS age, score, {low('patient_id')}, {gender}, {low('symptoms')}, {low('diagnosis')}, {low('medication')}, coalesce({_date_sql('visit_date')}, 'unknown') AS visit_date, coalesce({STATUS_SQL}, 'unknown') AS status FROM patient_visit)"
+    ends = ", ".join(f"quantile_cont({c}, 0.25) AS {c}1, quantile_cont({c}, 0.75) AS {c}3" for c in ("visit_no", "age", "score"))
+    cap = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, {c}1 - 1.5 * ({c}3 - {c}1)), {c}3 + 1.5 * ({c}3 - {c}1)) END AS {c}" for c in ("visit_no", "age", "score"))
+    fill = ", ".join(f"round(coalesce(c.{c}, m.{c}), 6) AS {c}" for c in ("visit_no", "age", "score"))
+    medians = ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in ("visit_no", "age", "score"))
+    text = "patient_id, gender, symptoms, diagnosis, medication, visit_date, status"
+    return f"WITH {v}, b AS (SELECT {ends} FROM v), c AS (SELECT {text}, {cap} FROM v, b), m AS (SELECT {medians} FROM c) SELECT {text}, {fill} FROM c, m"
+
+
+@query(_preprocess_sql())
 def preprocess(s, d):
-    return pipeline.preprocess(visits(s, d)).tidy
+    return pipeline.preprocess(visits(s, d)).tidy.withColumns({c: F.round(c, 6) for c in ("visit_no", "age", "score")})
 
 
 # ---- text and pages
