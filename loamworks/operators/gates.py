@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamworks.functions.columns import number
@@ -20,6 +20,7 @@ class Rule:
     bad: Column
     severity: str = "medium"
     fix: Column | None = None
+    repeated: bool = False  # rows whose value of the column occurs again; `bad` is not used
 
 
 def in_range(column: str, lo: float, hi: float, severity: str = "high", clip: bool = False) -> Rule:
@@ -44,9 +45,23 @@ def matches(column: str, pattern: str, severity: str = "medium") -> Rule:
 
 
 def unique(column: str) -> Rule:
-    """Rows whose value occurs again; null values are not compared. Values are counted over a window keyed by the value and a salt for null."""
-    key = F.coalesce(F.col(column).cast("string"), F.concat(F.lit("\x00"), F.rand(5).cast("string")))
-    return Rule(f"{column}_unique", column, F.col(column).isNotNull() & (F.count(F.lit(1)).over(Window.partitionBy(key)) > 1), "critical")
+    """Rows whose value occurs again; null values are not compared."""
+    return Rule(f"{column}_unique", column, F.lit(False), "critical", repeated=True)
+
+
+def _flagged(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The rows with a flag _r0, _r1 ... for each rule.
+
+    Repeated values are counted first, with sums before the shuffle, and rows joined to them by key: a value that a third
+    of all rows bear is split by the adaptive join, where a window would put it in one task.
+    """
+    out = df
+    for k, r in enumerate(rules):
+        if r.repeated:
+            again = df.filter(F.col(r.column).isNotNull()).groupBy(F.col(r.column).alias(f"_u{k}")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(f"_u{k}")
+            out = out.join(again, F.col(r.column) == F.col(f"_u{k}"), "left").withColumn(f"_r{k}", F.col(f"_u{k}").isNotNull()).drop(f"_u{k}")
+    plain = {f"_r{k}": r.bad for k, r in enumerate(rules) if not r.repeated}
+    return out.withColumns(plain) if plain else out
 
 
 def has_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
@@ -56,14 +71,14 @@ def has_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
 
 def violations(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """The rows with `violated`, the names of the rules that each breaks."""
-    flagged = df.withColumns({f"_r{k}": r.bad for k, r in enumerate(rules)})
+    flagged = _flagged(df, rules)
     names = F.array_compact(F.array(*[F.when(F.col(f"_r{k}"), F.lit(r.name)) for k, r in enumerate(rules)]))
     return flagged.withColumn("violated", names).drop(*[f"_r{k}" for k in range(len(rules))])
 
 
 def report(df: DataFrame, rules: Sequence[Rule], samples: int = 5) -> DataFrame:
     """rule, column_name, severity, violations and the smallest sample values of each rule, in one aggregate."""
-    flagged = df.withColumns({f"_r{k}": r.bad for k, r in enumerate(rules)})
+    flagged = _flagged(df, rules)
     one = flagged.agg(*[F.struct(F.count_if(F.col(f"_r{k}")).alias("violations"), F.min(F.when(F.col(f"_r{k}"), F.col(r.column).cast("string"))).alias("sample")).alias(f"r{k}") for k, r in enumerate(rules)])
     rows = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.column).alias("column_name"), F.lit(r.severity).alias("severity"), F.col(f"r{k}.violations").alias("violations"), F.col(f"r{k}.sample").alias("sample"), F.lit(r.fix is not None).alias("fixable")) for k, r in enumerate(rules)])
     return one.select(F.explode(rows).alias("x")).select("x.*")
@@ -71,16 +86,12 @@ def report(df: DataFrame, rules: Sequence[Rule], samples: int = 5) -> DataFrame:
 
 def score(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """rows, rules_violated and quality_score = max(0, (3 columns - violated rules) / (3 columns)); 1 for an empty table."""
-    one = df.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.bool_or(r.bad), F.lit(False)).cast("int").alias(f"r{k}") for k, r in enumerate(rules) if not _windowed(r)])
-    broken = sum((F.col(f"r{k}") for k, r in enumerate(rules) if not _windowed(r)), F.lit(0))
+    one = _flagged(df, rules).agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.bool_or(F.col(f"_r{k}")), F.lit(False)).cast("int").alias(f"r{k}") for k in range(len(rules))])
+    broken = sum((F.col(f"r{k}") for k in range(len(rules))), F.lit(0))
     checks = 3 * len(df.columns)
     return one.select("rows", F.when(F.col("rows") == 0, F.lit(0)).otherwise(broken).alias("rules_violated")).withColumn("quality_score", F.greatest(F.lit(0.0), (checks - F.col("rules_violated")) / F.lit(float(checks))))
 
 
-def _windowed(rule: Rule) -> bool:
-    return rule.name.endswith("_unique")
-
-
 def fixed(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """The rows with every fixable rule's column mended."""
     return df.withColumns({r.column: r.fix for r in rules if r.fix is not None})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamworks.operators.ranges import running
+
 
 def regression(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """mse, rmse, mae, r2, mape (over actual values not 0), mean and population deviation of the residuals."""
@@ -60,30 +62,25 @@ def calibration(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFr
 
 
 def curve_points(df: DataFrame, label: str, score: str) -> DataFrame:
-    """ROC and precision-recall points, one for each distinct score, from the highest down.
+    """ROC and precision-recall points, one for each distinct score, from the highest down; pos and neg are the score's own labels.
 
-    Labels are summed by score first; the running sums are over distinct scores. Scores may be rounded
-    beforehand where they are too many.
+    Labels are summed by score first; running sums go range by range of scores.
     """
-    by = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(F.lit(1))
-    run = by.select("score", F.sum("pos").over(w).alias("tp"), F.sum(F.col("n") - F.col("pos")).over(w).alias("fp"), F.sum("pos").over(total).alias("p"), F.sum(F.col("n") - F.col("pos")).over(total).alias("q"))
-    return run.select("score", "tp", "fp", F.try_divide("tp", "p").alias("tpr"), F.try_divide("fp", "q").alias("fpr"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
+    by = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")).select("score", "pos", (F.col("n") - F.col("pos")).alias("neg"))
+    run = running(by, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")})
+    total = run.agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    run = run.crossJoin(F.broadcast(total))  # one row
+    return run.select("score", "pos", "neg", "tp", "fp", F.try_divide("tp", "p").alias("tpr"), F.try_divide("fp", "q").alias("fpr"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
 
 
 def auc(points: DataFrame) -> DataFrame:
-    """Area under the ROC curve by trapezoids, from (0, 0)."""
-    w = Window.orderBy(F.desc("score"))
-    step = points.select((F.col("fpr") - F.coalesce(F.lag("fpr").over(w), F.lit(0.0))).alias("dx"), ((F.col("tpr") + F.coalesce(F.lag("tpr").over(w), F.lit(0.0))) / 2).alias("y"))
-    return step.agg(F.sum(F.col("dx") * F.col("y")).alias("roc_auc"))
+    """Area under the ROC curve by trapezoids, from (0, 0): each point's step right times its mean height."""
+    return points.agg(F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 
 
 def average_precision(points: DataFrame) -> DataFrame:
     """Area under the precision-recall curve by steps: the sum of precision times the rise in recall."""
-    w = Window.orderBy(F.desc("score"))
-    rise = F.col("tpr") - F.coalesce(F.lag("tpr").over(w), F.lit(0.0))
-    return points.select((rise * F.col("precision")).alias("a")).agg(F.sum("a").alias("pr_auc"))
+    return points.agg(F.try_divide(F.sum(F.col("pos") * F.col("precision")), F.sum("pos")).alias("pr_auc"))
 
 
 def common_range(df: DataFrame, actual: str, predicted: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -132,9 +132,11 @@ class StandardScaler:
 
 
 def label_mapping(df: DataFrame, column: str) -> DataFrame:
-    """code, original_value: the distinct values in order, from 0. The window sorts distinct values only."""
+    """code, original_value: the distinct values in order, from 0, numbered range by range."""
+    from loamworks.operators.ranges import running
+
     values = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("original_value")).distinct()
-    return values.select((F.row_number().over(Window.orderBy("original_value")) - 1).cast("int").alias("code"), "original_value")
+    return running(values, [F.col("original_value")], {"code": F.lit(1)}).select((F.col("code") - 1).cast("int").alias("code"), "original_value")
 
 
 def label_encode(df: DataFrame, column: str, mapping: DataFrame, out: str | None = None, broadcast_most: int = 1_000_000) -> DataFrame:

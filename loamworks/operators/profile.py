@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamworks.session import cut
+from loamworks.operators import ranges
 
 SIMPLE = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -198,33 +198,6 @@ def _heads(df: DataFrame, order: Sequence[str], columns: Sequence[str], sample:
     return heads
 
 
-def lag_fill(df: DataFrame, column: str, order: Sequence[str], partition: Sequence[str] = (), backward: bool = False, out: str | None = None) -> DataFrame:
-    """Forward fill of a column in an order, then backward if asked.
-
-    With no `partition` the values' order is global: running lasts are then taken in two steps over ranges
-    of the first order column, so that no single task sorts the table.
-    """
-    out = out or column
-    if partition:
-        w = Window.partitionBy(*partition).orderBy(*order)
-        filled = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        if backward:
-            filled = F.coalesce(filled, F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-        return df.withColumn(out, filled)
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy(*order)
-    inner = ranged.withColumn("_f", F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    if backward:
-        inner = inner.withColumn("_b", F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    inner = cut(inner)  # both uses below must see the same ranges
-    ends = inner.groupBy("_p").agg(F.max_by("_f", F.struct(*order)).alias("_e"), F.min_by("_b" if backward else "_f", F.struct(*order)).alias("_s"))
-    across = Window.orderBy("_p")  # a row for each range
-    ends = ends.select("_p", F.last("_e", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_s", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
-    joined = inner.join(F.broadcast(ends), "_p")  # as many rows as shuffle partitions
-    filled = F.coalesce("_f", "_before", *(["_b", "_after"] if backward else []))
-    return joined.withColumn("_o", filled).drop("_p", "_f", "_before", "_after", *(["_b"] if backward else [])).drop(*([out] if out in df.columns else [])).withColumnRenamed("_o", out)
-
-
 def any_true(*conditions: Column) -> Column:
     out = F.lit(False)
     for c in conditions:
@@ -240,7 +213,7 @@ def fill_dates(df: DataFrame, column: str, order: Sequence[str], default: str |
     out = out or column
     day = F.unix_date(F.col(column).try_cast("date"))
     middle = df.agg(F.date_format(F.date_from_unix_date(F.floor(F.median(day)).cast("int")), "yyyy-MM-dd").alias("_m"))
-    filled = lag_fill(df, column, order, out=out)
+    filled = ranges.fill(df, column, order, out=out)
     return filled.crossJoin(F.broadcast(middle)).withColumn(out, F.coalesce(out, "_m", F.lit(default))).drop("_m")  # one row
 
 

@@ -13,9 +13,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamworks.operators.ranges import previous
+from loamworks.session import cut
+
 # Words that stand for no value, in lower case. Cells without letters, digits or @ stand for none either.
 NO_VALUE = ("n/a", "#n/a", "na", "n.a.", "null", "(null)", "none", "nan", "nil", "nat", "<na>", "not given", "not available", "unknown", "missing", "undefined")
 TRIM = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
@@ -181,17 +184,12 @@ def load_issues(spark: SparkSession, path: str) -> DataFrame:
     Rows whose feed or load_no is null form groups of their own, which have no load before. Repeated rows count.
     A measure over no cells is undefined and raises no issue. An empty table gives no row.
     """
-    from loamworks.session import cut
-
     counts = cut(load_counts(spark, path, ["age", "email", "status"]))  # the values of each load, read twice below
-    profile = load_profile(counts)
-    order = Window.partitionBy("feed", "column_name").orderBy("load_no")
-    keyed = F.col("feed").isNotNull() & F.col("load_no").isNotNull()
-    was = lambda c: F.when(keyed, F.lag(F.when(keyed, c)).over(order))
     present = F.col("cells") - F.col("missing")
-    ratio = F.when(present > 0, F.col("distinct_values") / present)
-    p = profile.withColumns({"share": F.col("missing") / F.col("cells"), "ratio": ratio, "present": present})
-    p = p.withColumns({"share_was": was(F.col("share")), "ratio_was": was(F.col("ratio")), "median_was": was(F.col("median"))})
+    p = load_profile(counts).withColumns({"share": F.col("missing") / F.col("cells"), "ratio": F.when(present > 0, F.col("distinct_values") / present), "present": present})
+    keyed = F.col("feed").isNotNull() & F.col("load_no").isNotNull()
+    before = previous(p.filter(keyed), {"share": "share_was", "ratio": "ratio_was", "median": "median_was", "load_no": "load_was", "present": "present_was"}, ["load_no"], ["feed", "column_name"])
+    p = cut(before.unionByName(p.filter(~keyed), allowMissingColumns=True))
     is_age, is_email = F.col("column_name") == "age", F.col("column_name") == "email"
     rules = {
         "missing": F.abs(F.col("share") - F.col("share_was")) >= 0.15 - EPSILON,
@@ -201,19 +199,17 @@ def load_issues(spark: SparkSession, path: str) -> DataFrame:
         "shift": is_age & (F.abs(F.col("median") - F.col("median_was")) >= 8 - EPSILON),
     }
     issues = p.select("feed", "load_no", "column_name", F.explode(F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))).alias("issue"))
-    return issues.unionByName(_status_shift(counts))
-
-
-def _status_shift(counts: DataFrame) -> DataFrame:
-    """Loads whose shares of status values differ from the load before: each share is met by the next load's, no two loads are joined."""
-    status = counts.filter((F.col("column_name") == "status") & F.col("feed").isNotNull() & F.col("load_no").isNotNull())
-    loads = status.groupBy("feed", "load_no").agg(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("total"))
-    order = Window.partitionBy("feed").orderBy("load_no")
-    loads = loads.withColumns({"next": F.lead("load_no").over(order), "total_was": F.lag("total").over(order)})
-    shares = status.filter(F.col("value").isNotNull()).join(loads, ["feed", "load_no"]).withColumn("share", F.col("n") / F.col("total"))
-    own = shares.filter(F.col("total_was") > 0).select("feed", "load_no", "value", F.col("share").alias("s"))
-    old = shares.filter(F.col("next").isNotNull()).select("feed", F.col("next").alias("load_no"), "value", (-F.col("share")).alias("s"))
-    old = old.join(loads.filter("total > 0").select("feed", "load_no"), ["feed", "load_no"], "left_semi")
+    return issues.unionByName(_status_shift(counts, p))
+
+
+def _status_shift(counts: DataFrame, profile: DataFrame) -> DataFrame:
+    """Loads whose shares of status values differ from the load before: each share meets the one before by its value, no two loads are joined."""
+    loads = profile.filter("column_name = 'status' AND feed IS NOT NULL AND load_no IS NOT NULL").select("feed", "load_no", "present", "load_was", "present_was")
+    values = counts.filter("column_name = 'status' AND value IS NOT NULL").select("feed", "load_no", "value", "n")
+    both = loads.filter("present > 0 AND present_was > 0")  # a load without values has no shares
+    own = values.join(both, ["feed", "load_no"]).select("feed", "load_no", "value", (F.col("n") / F.col("present")).alias("s"))
+    was = both.select("feed", F.col("load_no").alias("now"), F.col("load_was").alias("load_no"), "present_was")
+    old = values.join(was, ["feed", "load_no"]).select("feed", F.col("now").alias("load_no"), "value", (-F.col("n") / F.col("present_was")).alias("s"))
     apart = own.unionByName(old).groupBy("feed", "load_no", "value").agg(F.sum("s").alias("s")).groupBy("feed", "load_no").agg((F.sum(F.abs("s")) / 2).alias("apart"))
     return apart.filter(F.col("apart") >= 0.3 - EPSILON).select("feed", "load_no", F.lit("status").alias("column_name"), F.lit("shift").alias("issue"))
 
@@ -229,9 +225,9 @@ forms AS (SELECT *, CASE WHEN column_name = 'age' AND regexp_matches(v, '{AGE_FO
 prof AS (SELECT feed, load_no, column_name, count(*) AS cells, count(v) AS present, count(DISTINCT v) AS d, count(*) FILTER (WHERE bad) AS bad, count(num) AS nums,
   count(*) FILTER (WHERE num < 0 OR num > 120) AS outside, quantile_cont(num, 0.5) FILTER (WHERE num BETWEEN 0 AND 120) AS med FROM forms GROUP BY 1, 2, 3),
 m AS (SELECT *, 1 - present / cells::DOUBLE AS share, CASE WHEN present > 0 THEN d / present::DOUBLE END AS ratio FROM prof),
-w AS (SELECT *, lag(share) OVER x AS share_was, lag(ratio) OVER x AS ratio_was, lag(med) OVER x AS med_was, lag(load_no) OVER x AS load_was FROM m WINDOW x AS (PARTITION BY feed, column_name ORDER BY load_no)),
+w AS (SELECT *, lag(share) OVER x AS share_was, lag(ratio) OVER x AS ratio_was, lag(med) OVER x AS med_was, lag(load_no) OVER x AS load_was, lag(present) OVER x AS present_was FROM m WINDOW x AS (PARTITION BY feed, column_name ORDER BY load_no)),
 st AS (SELECT f.feed, f.load_no, v, count(*) / sum(count(*)) OVER (PARTITION BY f.feed, f.load_no) AS share FROM forms f WHERE column_name = 'status' AND v IS NOT NULL GROUP BY 1, 2, 3),
-pairs AS (SELECT feed, load_no, load_was FROM w WHERE column_name = 'status' AND load_was IS NOT NULL),
+pairs AS (SELECT feed, load_no, load_was FROM w WHERE column_name = 'status' AND load_was IS NOT NULL AND present > 0 AND present_was > 0),
 diffs AS (SELECT p.feed, p.load_no, v, share FROM pairs p JOIN st USING (feed, load_no) UNION ALL SELECT p.feed, p.load_no, v, -share FROM pairs p JOIN st s ON s.feed = p.feed AND s.load_no = p.load_was),
 apart AS (SELECT feed, load_no, sum(abs(s)) / 2 AS a FROM (SELECT feed, load_no, v, sum(share) AS s FROM diffs GROUP BY 1, 2, 3) GROUP BY 1, 2)
 SELECT feed, load_no, column_name, 'missing' AS issue FROM w WHERE abs(share - share_was) >= 0.15 - 1e-9

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loamworks.functions import columns as C
 from loamworks.functions import synonyms
 from loamworks.functions import text as X
-from loamworks.operators import gates, metrics, models, prepare, profile, quality
+from loamworks.operators import gates, metrics, models, prepare, profile, quality, ranges
 from loamworks.plans import pipeline, policy
 from loamworks.session import cut, read_table, shared_dir
 from loamworks.sources import html, io
@@ -261,12 +261,12 @@ def impute_unknown(s, d):
 
 @query(f"WITH v AS (SELECT order_no, {DATE_SQL} AS x FROM order_intake) SELECT order_no, last_value(x IGNORE NULLS) OVER (ORDER BY order_no ROWS UNBOUNDED PRECEDING) AS x FROM v")
 def ffill(s, d):
-    return profile.lag_fill(orders(s, d).select("order_no", C.date(F.col("order_date")).alias("x")), "x", ["order_no"])
+    return ranges.fill(orders(s, d).select("order_no", C.date(F.col("order_date")).alias("x")), "x", ["order_no"])
 
 
 @query("SELECT order_no, coalesce(last_value(category IGNORE NULLS) OVER (PARTITION BY customer_id ORDER BY order_no ROWS UNBOUNDED PRECEDING), first_value(category IGNORE NULLS) OVER (PARTITION BY customer_id ORDER BY order_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS category FROM order_intake")
 def ffill_bfill(s, d):
-    return profile.lag_fill(orders(s, d).select("order_no", "customer_id", "category"), "category", ["order_no"], ["customer_id"], backward=True).select("order_no", "category")
+    return ranges.fill(orders(s, d).select("order_no", "customer_id", "category"), "category", ["order_no"], ["customer_id"], backward=True).select("order_no", "category")
 
 
 _IQR = "b AS (SELECT quantile_cont(qty, 0.25) AS q1, quantile_cont(qty, 0.75) AS q3 FROM m)"

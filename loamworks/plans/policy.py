@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from loamworks.functions import columns as C
 from loamworks.functions import synonyms
 from loamworks.functions.text import nfkc_casefold
-from loamworks.operators import profile
+from loamworks.operators import profile, ranges
 from loamworks.operators.prepare import CategoryImputer, IqrOutliers, NumericImputer
 
 # The rules that each type is cleaned by.
@@ -92,7 +92,7 @@ def clean(df: DataFrame, row_id: str, order: Sequence[str] | None = None, table:
     second = CategoryImputer("unknown").fit(second, high).transform(second) if high else second
     if fill_dates:
         for c in (c for c in columns if types.get(c) == "date_datetime" and c in exprs):
-            second = profile.lag_fill(second, c, order)
+            second = ranges.fill(second, c, order)
     cells = [F.when(b, F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("original_value"), F.lit(f"invalid {types[c]}").alias("reason"))) for c, b in bad.items()]
     empty = "array<struct<column_name:string,original_value:string,reason:string>>"
     quarantined = df.select(F.col(row_id).alias("row_id"), F.explode(F.array_compact(F.array(*cells)) if cells else F.array().cast(empty)).alias("x")).select("row_id", "x.*")

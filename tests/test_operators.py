@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from loamworks.operators import gates, metrics, models, prepare, profile, quality
+from loamworks.operators import gates, metrics, models, prepare, profile, quality, ranges
 from loamworks.plans import cli, pipeline, policy, report
 from loamworks.session import cut, nan_to_null
 from loamworks.sources import fetch, html, io
@@ -52,9 +52,9 @@ def test_mode_takes_the_smallest_of_ties(spark):
 @pytest.mark.parametrize("parts", [1, 8])
 def test_fill_is_the_same_for_any_partitions(spark, parts):
     df = spark.createDataFrame([(i, None if i % 7 else f"v{i}") for i in range(1, 60)], "i int, v string").repartition(parts)
-    got = [r["v"] for r in profile.lag_fill(df, "v", ["i"]).orderBy("i").collect()]
+    got = [r["v"] for r in ranges.fill(df, "v", ["i"]).orderBy("i").collect()]
     assert got == [None if i < 7 else f"v{i // 7 * 7}" for i in range(1, 60)]
-    both = [r["v"] for r in profile.lag_fill(df, "v", ["i"], backward=True).orderBy("i").collect()]
+    both = [r["v"] for r in ranges.fill(df, "v", ["i"], backward=True).orderBy("i").collect()]
     assert both == ["v7" if i < 7 else f"v{i // 7 * 7}" for i in range(1, 60)]
 
 
