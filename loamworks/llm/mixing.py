@@ -126,8 +126,8 @@ def mixed(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
     from loamworks.session import cut
 
     d = cut(sized(documents, targets, **options))  # tokens are counted once; a few numbers a document are kept
-    budgets = source_budgets(d, targets)
-    picked = chosen(d, budgets)
+    budgets = cut(source_budgets(d, targets))  # a row for each target, used three times
+    picked = cut(chosen(d, budgets))
     shares = actual_shares(picked, budgets)
     return picked.join(F.broadcast(shares.select("source", "target_share", "actual_share", "mix_share")), "source").select("doc_id", "source", "tokens", "uses", "target_share", "actual_share", "mix_share")
 
