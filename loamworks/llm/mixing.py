@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamworks.llm.tokenize import token_count
+from loamworks.session import cut
 
 BUCKETS = 1024  # ranges of the permuted index in which a source's tokens are summed
 BLOCK = 1024  # tokens of a block
@@ -96,9 +97,10 @@ def source_budgets(documents: DataFrame, targets: DataFrame) -> DataFrame:
 def chosen(documents: DataFrame, budgets: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, source, tokens, uses: every document `passes` times, and those at the head of the permuted order once more.
 
-    The head ends where the tokens come nearest to `rest`. Running sums are taken in two steps, over
-    the sums of fixed ranges of the order and then within the ranges, so that no source, however
-    large, is put in order by one task. Documents with no use are left out.
+    The head ends before it would exceed `rest`; of the documents after it the one that brings the source
+    nearest to `rest` follows, if any does. Running sums are taken in two steps, over the sums of fixed
+    ranges of the order and then within the ranges, so that no source, however large, is put in order by
+    one task. Documents with no use are left out. Rows of the same doc_id count as documents of their own.
     """
     d = documents.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(buckets)).cast("int"))
     sums = d.groupBy("source", "bucket").agg(F.sum("tokens").alias("bucket_tokens"))
@@ -109,11 +111,17 @@ def chosen(documents: DataFrame, budgets: DataFrame, buckets: int = BUCKETS) ->
     within = Window.partitionBy("source", "bucket").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     at_cut = (F.col("ahead") <= F.col("rest")) & (F.col("ahead") + F.col("bucket_tokens") > F.col("rest"))
     whole = rows.filter(~at_cut).withColumn("extra", (F.col("ahead") + F.col("bucket_tokens") <= F.col("rest")).cast("int") * (F.col("rest") > 0).cast("int"))
-    cut = rows.filter(at_cut).withColumn("start", F.col("ahead") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
-    # used if more than half of it lies below the budget: then the sum is nearest to it
-    cut = cut.withColumn("extra", ((F.col("start") + F.col("tokens") / 2) < F.col("rest")).cast("int")).drop("start")
-    both = whole.unionByName(cut)
-    return both.select("doc_id", "source", "tokens", (F.col("passes") + F.col("extra")).cast("int").alias("uses")).filter("uses > 0")
+    at_head = rows.filter(at_cut).withColumn("start", F.col("ahead") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
+    cut_rows = at_head.withColumn("extra", ((F.col("start") + F.col("tokens")) <= F.col("rest")).cast("int") * (F.col("rest") > 0).cast("int")).drop("start")
+    both = cut(whole.unionByName(cut_rows).select("doc_id", "source", "tokens", "place", "passes", "rest", "extra"))
+    gaps = both.groupBy("source").agg((F.max("rest") - F.sum(F.col("tokens") * F.col("extra"))).alias("gap")).filter("gap > 0")
+    left = both.filter("extra = 0 AND rest > 0 AND tokens > 0").join(F.broadcast(gaps), "source")  # a row for each target
+    off = F.abs(F.col("gap") - F.col("tokens"))
+    fits = left.filter(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), F.col("place"), F.col("doc_id"))).alias("b"))
+    fits = fits.select(F.col("source").alias("_s"), F.col("b.doc_id").alias("_d"))
+    both = both.join(F.broadcast(fits), (F.col("source") == F.col("_s")) & (F.col("doc_id") == F.col("_d")) & (F.col("extra") == 0), "left")
+    uses = F.col("passes") + F.col("extra") + F.col("_d").isNotNull().cast("int")
+    return both.select("doc_id", "source", "tokens", uses.cast("int").alias("uses")).filter("uses > 0")
 
 
 def mixed(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
@@ -123,8 +131,6 @@ def mixed(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
     sources used once; mix_share is over all tokens in the mix. An empty table, or one in which
     no source is named, gives an empty mix. Null and empty texts have 0 tokens.
     """
-    from loamworks.session import cut
-
     d = cut(sized(documents, targets, **options))  # tokens are counted once; a few numbers a document are kept
     budgets = cut(source_budgets(d, targets))  # a row for each target, used three times
     picked = cut(chosen(d, budgets))
