@@ -76,6 +76,13 @@ Reisepass {ID:passport} von {NAME} liegt bei {subject}.
 {NAME} | {subject}, {city}
 {NAME} ({subject}, {city})
 {NAME}, {subject} {work} lead
+{NAME:m}, {subject} {work} lead
+{NAME:m} | {subject}, {city}
+{NAME:m} ({subject}, {city})
+{NAME:m} has kept the {list} of {subject} for {n} years.
+Our records at {subject} show {NAME}, living at {ADDRESS}, as the payer.
+Parcels for {subject} go to {ADDRESS}.
+The run over {big} rows wrote build {n}.{n}.{n} and checksum {sum} for {subject}.
 {NAME} joined {subject} from {city} and now looks after {goods}.
 {NAME} has kept the {list} of {subject} for {n} years.
 {NAME} will speak at {subject} on {work}.
@@ -273,8 +280,10 @@ class Filler:
         hard, soft, end = r.choice([("бвгджзклмнпрстфхш", "аеиоуяюё", ["ов", "ева", "ин", "ая", "ко", "а", "ий"]), ("βγδζθκλμνπρστφχ", "αεηιουάέίόή", ["ης", "ος", "ου", "άκη", "ίδης", "α", "ια"])])
         return ("".join(r.choice(hard) + r.choice(soft) for _ in range(r.choice([1, 2, 2, 3]))) + r.choice(hard) + r.choice(end)).capitalize()
 
-    def NAME(self, _: str = "") -> str:
+    def NAME(self, form: str = "") -> str:
         r, family, x = self.r, self.family_one(), self.r.random()
+        if form == "m":  # an initial that is a title elsewhere
+            return f"M. {family}"
         if r.random() < 0.05:
             return f"{self.foreign()} {self.foreign()}"
         if r.random() < 0.12:
@@ -365,7 +374,7 @@ class Filler:
             return f"{self.family_one() if x < 0.5 else self.syllables()} {r.choice(TRADES)}"
         return {
             "place": self.syllables, "family": self.family_one, "given": lambda: r.choice(self.given_names), "n": lambda: str(r.randint(1, 99)), "year": lambda: str(r.randint(2017, 2026)), "hex": lambda: f"{r.getrandbits(32):08x}", "handle": lambda: f"{self.syllables().lower()}{r.randint(1, 99)}",
-            "isbn": lambda: f"978-{d(1)}-{d(2)}-{d(4)}-{d(1)}", "code": lambda: r.choice([d(10), d(11), f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}"]), "big": lambda: r.choice([f"{r.randint(1, 99)} {d(3)}", f"{r.randint(1, 99)},{d(3)}", f"{r.randint(1000, 99999)}"]),
+            "isbn": lambda: f"978-{d(1)}-{d(2)}-{d(4)}-{d(1)}", "sum": lambda: d(8), "code": lambda: r.choice([d(10), d(11), f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}"]), "big": lambda: r.choice([f"{r.randint(1, 99)} {d(3)}", f"{r.randint(1, 99)},{d(3)}", f"{r.randint(1000, 99999)}"]),
         }[slot]()
 
 
