@@ -148,14 +148,17 @@ def canonical_batch(texts: Sequence[str | None], places: bool = False) -> tuple[
         # a line feed ends each text, so that no mark joins the text before
         codes = np.frombuffer("".join(out[i] + "\n" for i in chunk).encode("utf-32-le", "surrogatepass"), np.uint32)
         bounds = np.cumsum([len(out[i]) + 1 for i in chunk])
-        drop_cr = np.zeros(codes.size, bool)
-        drop_cr[:-1] = (codes[:-1] == 13) & (codes[1:] == 10)
-        drop_cr[bounds[bounds >= 2] - 2] &= False  # a text's own last carriage return stands before no line feed
         lengths = tables.length[codes].astype(np.int64)
-        lengths[drop_cr] = 0
         source = np.repeat(np.arange(codes.size), lengths)
         inside = np.arange(source.size) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         new = tables.flat[tables.start[codes[source]] + inside]
+        if (returns := new == 13).any():  # carriage returns before a line feed go, but for a text's own last ones
+            others = np.flatnonzero(~returns)
+            after = others[np.searchsorted(others, np.flatnonzero(returns))]
+            ends_text = np.isin(source[after], bounds - 1)
+            keep = np.ones(new.size, bool)
+            keep[np.flatnonzero(returns)] = (new[after] != 10) | ends_text
+            new, source = new[keep], source[keep]
         new, source = _order_and_compose(new, source, tables)
         ends = np.searchsorted(source, bounds - 1)  # place of each text's closing line feed
         text = new.tobytes().decode("utf-32-le", "surrogatepass")
