@@ -5,7 +5,9 @@ what the lines show: a line's generalised form, that is lower case in the consis
 form of `lookalike`, without marks at its ends, and with the page's subject and numbers
 replaced by classes. Every page's lines are scored by cues and by their
 neighbours; pages vote on the paths of their host, in Spark; the lines are then taken
-again by the winning paths. Pages of a path too rare for a vote keep their own scores.
+again by the winning paths, and lines of weak cues are dropped by the losing ones. A line
+without cue also wins if it stands, worded alike, at the head or foot of enough of the
+host's pages. Pages of a path too rare for a vote keep their own scores, and so do strong cues.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ from loamworks.session import cut
 
 UNDECIDED = 0.22  # score that is just below the line: enough votes for it decide, it alone doesn't
 VOTES = 3  # distinct pages from which on a path's vote counts fully
+FRAME_PAGES, FRAME_SHARE = 5, 0.4  # distinct pages, and share of the host's pages, from which on a line at their head or foot is boilerplate without a cue
+EDGE = 3  # lines without cue that may stand between a line and its page's head or foot
+WITHIN = 2.5  # what a weak cue loses in the vote of a page on which it stands between two lines of the body
 
 # Entries of menus, one language to a line.
 MENU = """
@@ -228,30 +233,63 @@ def _probability(score: float) -> float:
     return 1 / (1 + math.exp(-1.2 * (score - 0.25)))
 
 
-def _paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From (rec, site, page, url, text) to a row for each line that may be boilerplate, with its path and its page's vote.
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def page_votes(url: str, lines: list[str]) -> Iterator[tuple[int, str, float, int, str]]:
+    """line_no, path, vote, the page's own verdict (2: strong cue, 1: weak cue, 0: none) and frame of each line that may be boilerplate.
 
-    Lines of the body that are too long for a vote to matter are left out.
+    The frame is the line with its numbers, given for a line without any cue near the page's head or foot;
+    lines that hold the subject are headlines at the head, so they have one at the foot only.
+    Lines of the body that are too long for a path's vote to matter are given if they have a frame.
     """
+    subject = page_names(url, lines)[0]
+    scored = [(k, score, p) for k, (score, p) in enumerate(score_page(url, lines)) if p]
+    after = sum(score < 0.5 for _, score, _ in scored)
+    before = 0
+    for at, (k, score, p) in enumerate(scored):
+        plain = score < 0.5
+        after -= plain
+        frame = ""
+        if plain and score > -1.5 and (after < EDGE or before < EDGE and "{subject}" not in p):
+            frame = line_key(lines[k])
+            frame = frame.replace(subject, "{subject}") if subject else frame
+        before += plain
+        if score < 0 and len(p) > 160 and not frame:
+            continue
+        vote = _probability(score)
+        own = 2 if vote >= 0.9 else 1 if vote >= 0.5 else 0
+        if own == 1 and 0 < at < len(scored) - 1 and scored[at - 1][1] < 0 and scored[at + 1][1] < 0:
+            vote = _probability(score - WITHIN)
+        yield k, p, vote, own, frame
+
+
+def _paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From (rec, site, page, url, text) to the rows of `page_votes`, by hashes, and a row without path for each text."""
     known: dict[str, int] = {}
+
+    def digest(x: str) -> int:
+        h = known.get(x)
+        if h is None:
+            if len(known) > KEPT:
+                known.clear()
+            h = known[x] = _digest(x)
+        return h
+
     for b in (part for batch in batches for part in slices(batch, "text")):
         forms = canonical_batch(b["text"].tolist())[0]
-        rec, no, path, vote = [], [], [], []
+        rec, no, path, vote, own, frame = [], [], [], [], [], []
         for i, (url, form) in enumerate(zip(b["url"], forms)):
-            for k, (score, p) in enumerate(score_page(url, split_lines(form))):
-                if not p or score < 0 and len(p) > 160:
-                    continue
-                h = known.get(p)
-                if h is None:
-                    if len(known) > KEPT:
-                        known.clear()
-                    h = known[p] = int.from_bytes(hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                rec.append(i)
-                no.append(k)
-                path.append(h)
-                vote.append(_probability(score))
+            rows = [(-1, None, 0.0, 0, ""), *page_votes(url, split_lines(form))]
+            rec += [i] * len(rows)
+            no += [r[0] for r in rows]
+            path += [None if r[1] is None else digest(r[1]) for r in rows]
+            vote += [r[2] for r in rows]
+            own += [r[3] for r in rows]
+            frame += [digest(r[4]) if r[4] else None for r in rows]
         keys = b[["rec", "site", "page"]].iloc[np.array(rec, np.int64)].reset_index(drop=True)
-        yield keys.assign(line_no=np.array(no, np.int32), path=np.array(path, np.int64), vote=np.array(vote, np.float32))
+        yield keys.assign(line_no=np.array(no, np.int32), path=pd.array(path, dtype="Int64"), vote=np.array(vote, np.float32), own=np.array(own, np.int8), frame=pd.array(frame, dtype="Int64"))
 
 
 def boilerplate_lines(fetches: DataFrame, key: str = "result_id", url: str = "url", text: str = "raw_text", votes: int = VOTES) -> DataFrame:
@@ -259,15 +297,23 @@ def boilerplate_lines(fetches: DataFrame, key: str = "result_id", url: str = "ur
 
     Null and empty texts give no line; a null url counts as a site of its own without consensus. Votes
     are averaged over distinct pages of a (site, path), with partial sums before the shuffle, so a site with
-    a third of all rows is spread over its paths. A path seen on fewer than `votes` pages is decided by the line's own score.
+    a third of all rows is spread over its paths. A path seen on fewer than `votes` pages is decided by the
+    line's own score, and so is a line with a strong cue.
     """
     site, page = site_and_page(F.coalesce(F.col(url), F.lit("")))
     base = fetches.select(F.col(key).cast("long").alias("rec"), F.xxhash64(site).alias("site"), F.xxhash64(page).alias("page"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.col(text).alias("text")).filter(F.length("text") > 0)
-    # the texts are read once: the paths and votes are kept and used three times
-    lines = cut(base.mapInPandas(_paths, "rec long, site long, page long, line_no int, path long, vote float").select("rec", "page", "line_no", F.xxhash64("site", "path").alias("sp"), "vote"))
-    by_page = lines.groupBy("sp", "page").agg(F.max("vote").alias("vote"))
-    won = by_page.groupBy("sp").agg(F.avg("vote").alias("mean"), F.count(F.lit(1)).alias("n")).filter((F.col("n") >= votes) & (F.col("mean") >= 0.48)).select("sp")
-    sure = lines.filter(F.col("vote") >= 0.9)
-    unsure = lines.filter(F.col("vote") < 0.9)
+    # the texts are read once: the paths and votes are kept and used several times
+    rows = cut(base.mapInPandas(_paths, "rec long, site long, page long, line_no int, path long, vote float, own byte, frame long"))
+    hosts = rows.filter("line_no < 0").select("site", "page").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    lines = rows.filter("line_no >= 0")
+    by_page = lines.groupBy("site", "path", "page").agg(F.max("vote").alias("vote"), F.min("own").alias("low"), F.max("own").alias("high"))
+    paths = by_page.groupBy("site", "path").agg(F.avg("vote").alias("mean"), F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter(F.col("n") >= votes)
+    won = paths.filter("low = 0 AND mean >= 0.48").select("site", "path")
+    lost = paths.filter("low <= 1 AND high >= 1 AND mean < 0.48").select("site", "path")
+    frames = lines.filter("frame IS NOT NULL").select("site", "frame", "page").distinct().groupBy("site", "frame").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(votes, FRAME_PAGES))
+    frames = frames.join(hosts, "site").filter(F.col("n") >= FRAME_SHARE * F.col("pages")).select("site", "frame")
     # on paths with votes enough the host decides, else the page's own score
-    return sure.unionByName(unsure.filter(F.col("vote") >= 0.5)).unionByName(unsure.filter(F.col("vote") < 0.5).join(won, "sp", "left_semi")).select(F.col("rec").alias(key), "line_no")
+    weak = lines.filter("own = 1").join(lost, ["site", "path"], "left_anti")
+    plain = lines.filter("own = 0")
+    lifted = plain.join(won, ["site", "path"], "left_semi").select("rec", "line_no").unionByName(plain.join(frames, ["site", "frame"], "left_semi").select("rec", "line_no")).distinct()
+    return lines.filter("own = 2").select("rec", "line_no").unionByName(weak.select("rec", "line_no")).unionByName(lifted).select(F.col("rec").alias(key), "line_no")

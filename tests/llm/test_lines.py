@@ -105,3 +105,14 @@ def test_long_lines(spark):
     rows = [(1, "http://a.example/x", "w " * 500_000 + "\nBack to top")]
     assert {tuple(r) for r in B.boilerplate_lines(table(spark, rows)).collect()} == {(1, 1)}
     assert R.repeated_lines(table(spark, rows), pages=1).count() == 2
+
+
+def test_a_host_lifts_its_notices_and_overrules_weak_cues(spark):
+    """A notice without any cue is known by its place on the host's pages; a line like a link's is none amid their prose."""
+    notice = "The mill cannot be held to anything that its readers may conclude from these columns."
+    body = ["The {} wheel was turned by hand for as long as the river stayed low.", "How flour ships", "Nobody on the {} side of the bank had seen the water rise so fast."]
+    words = "old new red blue tall wide thin calm dark late".split()
+    rows = [(i, f"http://mill.example/{w}-story", "\n".join([*(x.format(w) for x in body), "All of it was {} by then, and we all walked home along the bank.".format(w), notice])) for i, w in enumerate(words)]
+    rows += [(50, "http://rare.example/a", "\n".join([body[0], "", notice])), (51, "http://rare.example/b", "Related\nHow flour ships")]
+    got = {tuple(r) for r in B.boilerplate_lines(table(spark, rows)).collect()}
+    assert got == {(i, 4) for i in range(10)} | {(51, 1)}
