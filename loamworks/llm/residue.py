@@ -25,7 +25,7 @@ PRESENCE = 0.75  # share of an exemplar's weight that must stand in the window f
 
 # The labelled exemplars, one to a line.
 FILLER = """
-lorem ipsum dolor sit amet elit velit urna purus justo massa mollis nibh nisi nullam odio ornare porta quis risus tempus vitae felis magna arcu consectetur adipiscing sed eiusmod tempor incididunt labore dolore aliqua
+lorem ipsum dolor sit amet elit velit urna purus justo massa mollis nibh nisi nullam odio ornare porta quis risus tempus vitae felis magna arcu consectetur adipiscing sed eiusmod tempor incididunt labore dolore aliqua enim minim veniam nostrud exercitation ullamco laboris aliquip commodo consequat duis aute irure reprehenderit voluptate cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim laborum vestibulum pellentesque vivamus curabitur suspendisse praesent maecenas phasellus aenean donec fusce integer etiam quisque morbi proin nunc lacus ligula sapien tortor turpis ultrices ultricies varius viverra volutpat vulputate
 your headline goes here
 content coming soon
 insert description here
@@ -44,7 +44,23 @@ su texto va aquí
 text folgt
 hier steht ihr text
 platzhalter für die beschreibung
+insert your text here
+add your text here
+your text goes here
+your content goes here
+enter your text here
+click here to edit this text
+this is dummy text
+placeholder text
+sample text
+the quick brown fox jumps over the lazy dog
+le texte viendra ici
+aquí va el texto
+hier kommt der text hin
 """
+# Words of the same filler that are words of living languages too; they count only beside LOREM_LEAST other words of it.
+LOREM_SHORT = "a ac ad at aut cum de dolorem ea eget est et eu ex id in non qui sunt ut".split()
+LOREM_LEAST = 2
 ERRORS = """
 internal server error
 page not found
@@ -141,6 +157,26 @@ zugriff verweigert
 ein unerwarteter fehler ist aufgetreten
 ihre sitzung ist abgelaufen
 der dienst ist zurzeit nicht erreichbar
+the server is temporarily unable to service your request due to maintenance downtime or capacity problems
+please try again later
+the requested url was not found on this server
+you don t have permission to access this resource on this server
+your browser sent a request that this server could not understand
+the proxy server received an invalid response from an upstream server
+the server encountered an internal error or misconfiguration and was unable to complete your request
+an error occurred while processing your request
+this site can t be reached
+this page isn t working
+application error a client side exception has occurred
+nginx
+openresty
+cloudflare
+apache server at port
+"""
+# The phrases of HTTP's failing statuses (RFC 9110 and its register). Those of one word need their number.
+STATUSES = """
+bad request|unauthorized|payment required|forbidden|not found|method not allowed|not acceptable|proxy authentication required|request timeout|request time-out|conflict|gone|length required|precondition failed|payload too large|content too large|request entity too large|uri too long|request-uri too long|unsupported media type|range not satisfiable|requested range not satisfiable|expectation failed|i'm a teapot|misdirected request|unprocessable content|unprocessable entity|locked|failed dependency|too early|upgrade required|precondition required|too many requests|request header fields too large|unavailable for legal reasons
+internal server error|not implemented|bad gateway|service unavailable|service temporarily unavailable|gateway timeout|gateway time-out|http version not supported|variant also negotiates|insufficient storage|loop detected|not extended|network authentication required
 """
 SCRIPTS = """
 you need to enable javascript to run this app
@@ -189,6 +225,22 @@ skripte erlauben
 javascript einschalten
 in den einstellungen
 und neu laden
+javascript is disabled in your browser
+javascript is required
+javascript must be enabled
+please enable javascript to continue
+please enable it to continue
+enable javascript and cookies to continue
+this site requires javascript to work properly
+this page requires javascript
+your browser does not support javascript
+we re sorry but this app doesn t work properly without javascript enabled
+javascript est désactivé dans votre navigateur
+ce site nécessite javascript
+javascript está desactivado en su navegador
+este sitio requiere javascript
+javascript ist in ihrem browser deaktiviert
+diese seite benötigt javascript
 """
 # Sentences that write about fields instead of leaving one unfilled.
 MENTIONS = """
@@ -213,13 +265,17 @@ agb|aktuelles|alle rechte vorbehalten|anmelden|datenschutz|dienste|hilfe|impress
 """
 _MENU = {x for line in MENU_WORDS.strip().split("\n") for x in line.split("|")}
 
-_NAME = r"[A-Za-z][A-Za-z0-9_]*(?:[ _-][A-Za-z0-9_]+){0,3}"
+# A field's name in any script, with dots, and with filters behind pipes.
+_NAME = r"[^\W\d]\w*(?:[ .-]\w+){0,3}(?: ?\| ?[^\W\d]\w*(?:\([^(){}\n]{0,40}\)|: ?[\w\"']{1,40})?){0,3}"
 # Shapes that nothing but a template has.
 _STRONG = re.compile(rf"\*\|\s*{_NAME}\s*\|\*|\{{\{{\{{?\s*{_NAME}\s*\}}\}}\}}?|\{{%-?\s*{_NAME}\s*-?%\}}|<%[=-]?\s*{_NAME}\s*%>|<<\s*{_NAME}\s*>>|#\{{\s*{_NAME}\s*\}}|\$\{{\s*{_NAME}\s*\}}|@@{_NAME}@@|##{_NAME}##|%\({_NAME}\)[sd]|\[\s*(?i:insert)\s+{_NAME}\s*\]|<\s*(?i:insert)\s+{_NAME}\s*>")
 # Shapes that other texts have too; their content must read like a field.
-_WEAK = re.compile(rf"\$({_NAME})\$|%({_NAME})%|(?<![\w{{$#%])\{{\s*({_NAME})\s*\}}|\[\[?\s*({_NAME})\s*\]\]?|__([A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*)__")
+_WEAK = re.compile(rf"\$({_NAME})\$|%({_NAME})%|(?<![\w{{$#%])\{{\s*({_NAME})\s*\}}|\[\[?\s*({_NAME})\s*\]\]?|__([^\W\d_][^\W_]*(?:_[^\W_]+)*)__")
+# What stands before a value: a greeting or farewell; a preposition, a possessive or a colon.
+_GREETING = re.compile(r"(?i)(?:^|\W)(?:dear|hello|hi|hey|welcome|regards|sincerely|thanks|hola|estimad[oa]|querid[oa]|saludos|atentamente|bonjour|bonsoir|ch(?:er|ère)|cordialement|salutations|hallo|guten tag|liebe[rs]?|sehr geehrte[rs]?|gruß|grüßen?)(?: (?:mr|mrs|ms|dr|herr|frau|señora?|monsieur|madame)\.?)?,?\s*$")
+_BEFORE_VALUE = re.compile(r"(?i)(?:^|\W)(?:for|to|from|of|in|at|by|with|your|our|para|en|con|su|nuestr[oa]|de|pour|chez|votre|notre|für|von|bei|an|mit|ihre?|unser[en]?)\s+$|:\s*$")
 _FIELD_HINT = re.compile(r"[{\[<%$#@*_]")
-_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[ _-]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[ ._-]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _CODED = re.compile(r"\d{1,2}\.? [^\W\d_]+ \d{4}|\b\w*\d\w*\b")  # dates, and words that hold digits
 _ARGUMENT = re.compile(r"\([^()\n]*\)|'[^'\n]*'")
@@ -229,6 +285,10 @@ _MAIL = re.compile(r"^\S+(?:@| ?\[at\] ?)\S+(?: ?\[dot\] ?\S+)*$")
 _POSTAL = re.compile(r"^(?:[^\W\d_][\w'&.-]*\s?){1,4},.*\d")
 
 
+_PHRASES = sorted((x for line in STATUSES.strip().split("\n") for x in line.split("|")), key=len, reverse=True)
+_STATUS = re.compile(rf"(?i)\W*(?:(?:http(?:/\d(?:\.\d)?)?|error|status|code)\W*){{0,3}}(?:[45]\d\d\b\W*(?:error\W*)?(?:{'|'.join(map(re.escape, _PHRASES))})|(?:{'|'.join(re.escape(x) for x in _PHRASES if ' ' in x)}))(?:\W+error)?(?:\W*\(?[45]\d\d\)?)?\W*")
+
+
 def _exemplars(block: str) -> list[list[str]]:
     return [_WORD.findall(line.lower()) for line in block.strip().split("\n")]
 
@@ -248,6 +308,7 @@ class ResidueIndex:
             for w in set(e):
                 self.index[w].append(k)
         self.lorem = set(self.kinds[0][1])
+        self.lorem_short = set(LOREM_SHORT)
 
     def coverage(self, words: list[str], mention: bool = False) -> float:
         """Share of the words' weight that retrieved exemplars contain; those on mentions, or all others."""
@@ -263,6 +324,8 @@ class ResidueIndex:
                 continue
             if k == 0 or weight >= PRESENCE * self.total[k]:
                 covered |= have.intersection(e)
+        if not mention and len(have & self.lorem) >= LOREM_LEAST:
+            covered |= have & self.lorem_short
         weights = [self.idf.get(w, self.other) for w in words]
         inside = sum(x for w, x in zip(words, weights) if w in covered)
         return inside / sum(weights) if weights else 0.0
@@ -273,12 +336,27 @@ def _field_like(inner: str) -> bool:
     return bool(words) and (sum(w in FIELD_WORDS for w in words) * 2 >= len(words))
 
 
+def _field_by_context(whole: str, inner: str, before: str) -> bool:
+    """Whether a weak shape stands where a value should, whatever its name."""
+    name = inner.split("|")[0].strip()
+    if len(name) < 3 or name.lower() == "dot":
+        return False
+    if _GREETING.search(before):
+        return True
+    if whole[0] == "[" or not _BEFORE_VALUE.search(before):  # brackets hold remarks and links, too
+        return False
+    return whole[0] == "{" or name.isupper() or "_" in name or "." in name
+
+
 def has_field(text: str, index: ResidueIndex) -> bool:
     """Whether a template field was left where a value should stand; sentences that write about fields don't count."""
     if not _FIELD_HINT.search(text):
         return False
     found = [m.span() for m in _STRONG.finditer(text)]
-    found += [m.span() for m in _WEAK.finditer(text) if _field_like(next(g for g in m.groups() if g))]
+    for m in _WEAK.finditer(text):
+        inner = next(g for g in m.groups() if g)
+        if _field_like(inner.split("|")[0]) or _field_by_context(m.group(), inner, text[text.rfind("\n", 0, m.start()) + 1 : m.start()]):
+            found.append(m.span())
     for lo, hi in found:
         # the sentence around the field
         left = max(text.rfind("\n", 0, lo), *(text.rfind(x, 0, lo) for x in (". ", "! ", "? "))) + 1
@@ -325,7 +403,7 @@ def only_residue(text: str, index: ResidueIndex) -> bool:
         if len(words) >= 3 and len(set(words)) <= 2:  # one or two words again and again
             hit = True
             continue
-        cover = index.coverage(words)
+        cover = 1.0 if _STATUS.fullmatch(window) else index.coverage(words)
         if cover < COVERAGE:
             for rest in (_stripped(window), _ARGUMENT.sub(" ", window)):
                 cover = max(cover, index.coverage(_WORD.findall(_CODED.sub(" ", rest).lower())))

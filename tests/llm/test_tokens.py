@@ -115,3 +115,14 @@ def test_residue(spark):
     assert {r[0] for r in Z.residue(df).collect()} == set(range(len(FOUND)))
     assert Z.without_residue(df).count() == len(rows) - len(FOUND)
     assert Z.residue(df.limit(0)).count() == 0
+
+
+# Forms that are in no test table.
+LOREM = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."
+MORE_FOUND = [LOREM, "503 Service Unavailable", "HTTP/1.1 410 Gone\nnginx/1.24.0", "429 Too Many Requests", "Hello {{ user.first_name }}, welcome.", "Bonjour {{ prénom }}, merci.", "Price: {{ price | round(2) }}", "Dear {Ansprechpartner},\nwe have moved.", "Hi [Vorname], your parcel is on its way.", "Your order for {größe} left.", "We're sorry but this app doesn't work properly without JavaScript enabled. Please enable it to continue."]
+MORE_KEPT = ["The gate was locked.", "Gone", "Le prix est dans la liste, qui est ici.", "See [note 9] and [sic] for more.", "The value of $alpha$ is small.", "A __very__ large thing of __great__ worth.", "We found 404 not found pages in the log of the shop and mended them all."]
+
+
+def test_residue_of_forms_in_no_table(spark):
+    df = spark.createDataFrame(list(enumerate([*MORE_FOUND, *MORE_KEPT])), "doc_id long, text string")
+    assert {r[0] for r in Z.residue(df).collect()} == set(range(len(MORE_FOUND)))
