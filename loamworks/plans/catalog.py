@@ -499,6 +499,11 @@ def html_summary(s, d):
     return html.extract(_pages(s, d)).filter(F.length("summary") < 5).select("url", "summary")
 
 
+@query("SELECT url, 'Founded in the year ' || result_id::VARCHAR || '. Write to desk' || result_id::VARCHAR || '@firm.example now.' AS summary FROM scraping_result")
+def html_page_summary(s, d):
+    return html.extract(_pages(s, d)).select("url", "summary")
+
+
 @query("SELECT result_id, 0 AS table_no, 0 AS row_no, 'a|' || result_id::VARCHAR AS cells FROM scraping_result")
 def html_tables(s, d):
     s.udtf.register("html_tables_of", html.HtmlTables)
