@@ -28,7 +28,8 @@ from loamworks.session import cut
 
 UNDECIDED = 0.22  # score that is just below the line: enough votes for it decide, it alone doesn't
 VOTES = 3  # distinct pages from which on a path's vote counts fully
-FRAME_PAGES, FRAME_SHARE = 5, 0.4  # distinct pages, and share of the host's pages, from which on a line at their head or foot is boilerplate without a cue
+SHARE = 0.4  # share of the host's pages from which on it may lift a line without cue
+FRAME_PAGES = 5  # distinct pages from which on such a line at their head or foot is boilerplate
 EDGE = 3  # lines without cue that may stand between a line and its page's head or foot
 WITHIN = 2.5  # what a weak cue loses in the vote of a page on which it stands between two lines of the body
 
@@ -90,7 +91,7 @@ _MENU = {x for line in MENU.strip().split("\n") for x in line.split("|")}
 _WHOLE = {x for line in WHOLE.strip().split("\n") for x in line.split("|")}
 # A cue that may stand anywhere in a line has one of these words.
 CUE_WORDS = frozenset("cookies techniques files note identifiers agree hidden notice settings choice preferences measure privacy archivos pequeños identificadores técnicas elección aviso identifiants fichiers choix dateien kennungen wahl hinweis useful did unsubscribe leave never gusta aiment kommentieren kept medical offered registered number breve bref explained cookie disclaimer archive letter".split())
-PROSE = 300  # characters from which on a line is prose and no place for cues
+PROSE = 300  # characters from which on cues are looked for sentence by sentence, and must hold half of the line
 
 
 def _alternatives(pattern: str) -> list[str]:
@@ -136,6 +137,7 @@ _EDGE = re.compile(r"^[\s*•»·]+|(?:\s*(?:\(\d+\)|[*!.»]))+\s*$")
 _LIST = re.compile(r"\s*[|/>»•·]\s*|\s+-\s+|\s{2,}")
 _FIRM = re.compile(r"\W*(?:(?:\(?c\)|©|copyright) ?\d{4} |made in \S+ by |follow )([^\W\d_][\w'&-]*(?: [^\W\d_][\w'&-]*){0,3}?)(?:[.:,]|\W*$)", re.I)
 _SCHEME = re.compile(r"^\w+://(?:www\.)?")
+_STOP = re.compile(r"(?<=[.!?])\s+")
 _PLAIN = re.compile(r"[^\w']+|'")
 _DIGITS = re.compile(r"\d+")
 _PROMPT = re.compile(r"[^\W\d_][^\d:;]*$(?<!\.)")
@@ -152,20 +154,26 @@ def line_key(line: str) -> str:
     return line.lower()
 
 
+def _cued(sentence: str) -> bool:
+    """Whether a sentence holds a strong cue of boilerplate and none of the body."""
+    anywhere = not CUE_WORDS.isdisjoint(_WORDS.findall(sentence))
+    return _strongest(_CUE, sentence, anywhere) >= 3 and not _strongest(_BODY, sentence, True)
+
+
 def score_path(path: str) -> float:
     """Score of a generalised line by its cues: above 0 for boilerplate, below for the body, 0 for no cue. NaN: an address."""
-    if len(path) > PROSE:
-        return -1.0
     plain = " ".join(_PLAIN.sub(" ", path).split())
     if path in _MENU or plain in _WHOLE:
         return 3.0
     score = 0.0
-    if len(path) < 220 and len(pieces := [p for p in _LIST.split(path) if p]) > 1:
+    if len(pieces := [p for p in _LIST.split(path) if p]) > 1:
         menu = sum(p in _MENU or p in _WHOLE for p in pieces)
         if menu == len(pieces) or menu >= 2 and menu * 2 >= len(pieces):
             return 3.0
         if len(pieces) == 2 and (pieces[0] in _MENU or pieces[0] in ("my", "shop", "help", "sign", "log")) and len(pieces[1].split()) <= 2:
             score += 3.0  # breadcrumb
+    if len(path) > PROSE:
+        return 3.0 if score or 2 * sum(len(x) for x in _STOP.split(path) if _cued(x.strip(" .!?"))) >= len(path) else -1.0
     words = set(_WORDS.findall(path))
     anywhere = not CUE_WORDS.isdisjoint(words)
     score += _strongest(_CUE, path, anywhere)
@@ -308,10 +316,10 @@ def boilerplate_lines(fetches: DataFrame, key: str = "result_id", url: str = "ur
     lines = rows.filter("line_no >= 0")
     by_page = lines.groupBy("site", "path", "page").agg(F.max("vote").alias("vote"), F.min("own").alias("low"), F.max("own").alias("high"))
     paths = by_page.groupBy("site", "path").agg(F.avg("vote").alias("mean"), F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter(F.col("n") >= votes)
-    won = paths.filter("low = 0 AND mean >= 0.48").select("site", "path")
+    won = paths.filter("low = 0 AND mean >= 0.48").join(hosts, "site").filter(F.col("n") >= SHARE * F.col("pages")).select("site", "path")
     lost = paths.filter("low <= 1 AND high >= 1 AND mean < 0.48").select("site", "path")
     frames = lines.filter("frame IS NOT NULL").select("site", "frame", "page").distinct().groupBy("site", "frame").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(votes, FRAME_PAGES))
-    frames = frames.join(hosts, "site").filter(F.col("n") >= FRAME_SHARE * F.col("pages")).select("site", "frame")
+    frames = frames.join(hosts, "site").filter(F.col("n") >= SHARE * F.col("pages")).select("site", "frame")
     # on paths with votes enough the host decides, else the page's own score
     weak = lines.filter("own = 1").join(lost, ["site", "path"], "left_anti")
     plain = lines.filter("own = 0")

@@ -116,3 +116,15 @@ def test_a_host_lifts_its_notices_and_overrules_weak_cues(spark):
     rows += [(50, "http://rare.example/a", "\n".join([body[0], "", notice])), (51, "http://rare.example/b", "Related\nHow flour ships")]
     got = {tuple(r) for r in B.boilerplate_lines(table(spark, rows)).collect()}
     assert got == {(i, 4) for i in range(10)} | {(51, 1)}
+
+
+def test_a_few_pages_of_many_lift_no_subheading(spark):
+    rows = [(i, f"http://big.example/{w}-tale", f"The {w} wheel was turned by hand for as long as the river stayed low.\n" + ("Background\n" if i < 4 else "") + f"Nobody on the {w} side of the bank had seen the water rise so fast.") for i, w in enumerate("old new red blue tall wide thin calm dark late loud soft".split())]
+    assert B.boilerplate_lines(table(spark, rows)).count() == 0
+
+
+def test_cues_and_lists_in_long_lines():
+    consent = "Marrow Tools sets cookies to measure traffic. By going on you agree. You can change this later under settings. "
+    assert B.score_path((consent * 4).lower()) >= 3
+    assert B.score_path(" | ".join(["about us", "basket", "careers", "community", "contact", "documentation"] * 8)) >= 3
+    assert B.score_path((consent + "The bakery sells many kinds of bread and its owner walks to the mill each day. " * 5).lower()) < 0
