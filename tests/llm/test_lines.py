@@ -128,3 +128,11 @@ def test_cues_and_lists_in_long_lines():
     assert B.score_path((consent * 4).lower()) >= 3
     assert B.score_path(" | ".join(["about us", "basket", "careers", "community", "contact", "documentation"] * 8)) >= 3
     assert B.score_path((consent + "The bakery sells many kinds of bread and its owner walks to the mill each day. " * 5).lower()) < 0
+
+
+def test_a_line_is_not_counted_with_longer_ones_that_hold_it(spark):
+    words = " ".join("".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=6)) for i in range(1500))
+    letters = words.replace(" ", "")
+    heads = [n for n in range(40, 3000) if (h := R.line_hashes([letters[:n]])[0]) and len(h[1]) == 1 and h[1][0] == R.line_hashes([letters])[0][1][0]]
+    rows = [(i, f"http://a.example/{i}", letters if i < 5 else letters[: heads[0]]) for i in range(8)]
+    assert heads and R.repeated_lines(table(spark, rows)).count() == 0
