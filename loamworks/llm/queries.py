@@ -31,7 +31,7 @@ def p2_body(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     names = lookalike.same_looking_pairs(read_table(spark, d, "test_data"), "name", "row_id", [F.col("feed"), F.col("load_no")], "name")
     page = lookalike.site_and_page(F.col("url"))[1]
-    texts = lookalike.same_looking_pairs(read_table(spark, d, "scraping_result"), "raw_text", "result_id", [page], "raw_text")
+    texts = lookalike.same_looking_pairs(read_table(spark, d, "scraping_result"), "raw_text", "result_id", [page], "raw_text", blank_is_null=False)
     return names.unionByName(texts)
 
 

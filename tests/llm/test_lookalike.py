@@ -84,3 +84,12 @@ def test_found_on_the_tables(spark, small):
             by.setdefault((r["feed"], r["load_no"], brute(r["name"])), []).append((r["row_id"], r["name"]))
     want = {("name", a, b) for g in by.values() for a, x in g for b, y in g if a < b and x != y}
     assert {x for x in got if x[0] == "name"} == want
+
+
+def test_blank_page_texts_that_look_alike_are_pairs(spark, tmp_path):
+    from loamworks.llm import queries
+
+    spark.createDataFrame([(1, "x", "f", 1)], "row_id long, name string, feed string, load_no int").write.parquet(f"{tmp_path}/test_data.parquet")
+    rows = [(1, "http://a.example/p", "  "), (2, "http://a.example/p", " \u00a0"), (3, "http://a.example/p", None), (4, "http://a.example/q", "  ")]
+    spark.createDataFrame(rows, "result_id long, url string, raw_text string").write.parquet(f"{tmp_path}/scraping_result.parquet")
+    assert [tuple(r) for r in queries.p4_found(spark, str(tmp_path)).collect()] == [("raw_text", 1, 2)]
