@@ -1,327 +1,367 @@
 """Main body of web pages, by consensus of host paths (problem 2).
 
-The text has no tags left, so a container is a run of lines and its path is made of
-what the lines show: a line's generalised form, that is lower case in the consistent
-form of `lookalike`, without marks at its ends, and with the page's subject and numbers
-replaced by classes. Every page's lines are scored by cues and by their
-neighbours; pages vote on the paths of their host, in Spark; the lines are then taken
-again by the winning paths, and lines of weak cues are dropped by the losing ones. A line
-without cue also wins if it stands, worded alike, at the head or foot of enough of the
-host's pages. Pages of a path too rare for a vote keep their own scores, and so do strong cues.
+Texts of pages have no tags left, so a container is a line in its place and its path is the
+line generalised: numbers become 0 and capitalised words X, but for sentences and for lines
+made of capitalised words only, which are paths as they stand. Each page scores its lines
+by general cues, by the page's own subject and by place: that score only seeds the vote.
+In Spark, the pages of a host vote on each path. What a host's pages repeat is its frame,
+what one page alone holds is its body, and what follows the headline is its byline, however
+often it comes back. Hosts then vote on the paths that other hosts saw too rarely. The lines
+are taken again by the winning paths: every line is decided by its path's vote.
+
+`body_blocks` does the same for HTML, where containers are elements and paths are
+their tags and classes.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
 from collections.abc import Iterator
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamworks.llm.lookalike import canonical_batch, site_and_page, slices
 from loamworks.llm.repeated_lines import split_lines
 from loamworks.session import cut
 
-UNDECIDED = 0.22  # score that is just below the line: enough votes for it decide, it alone doesn't
-VOTES = 3  # distinct pages from which on a path's vote counts fully
-SHARE = 0.4  # share of the host's pages from which on it may lift a line without cue
-FRAME_PAGES = 5  # distinct pages from which on such a line at their head or foot is boilerplate
-EDGE = 3  # lines without cue that may stand between a line and its page's head or foot
-WITHIN = 2.5  # what a weak cue loses in the vote of a page on which it stands between two lines of the body
-
-# Entries of menus, one language to a line.
+VOTES = 3  # distinct pages from which on a host's repetition of a path is evidence
+MIDDLE = 0.02  # share of the host's pages at which repetition of a path speaks neither way
+MIDDLE_HEADING = 0.4  # the same for a few words between two lines of the body, which may be a subheading
+MIDDLE_PROSE = 0.1  # the same for sentences, since texts are quoted and copied from page to page
+SLOPE = 1.2  # weight of the logarithm of that share
+COUNT = 0.5  # weight of the logarithm of the number of pages
+MOST = 3.5  # what repetition can add at most
+HEADING_WORDS = 6  # words of a subheading at most
+RUN_LINES = 3  # short lines without the subject in a row that make a list of links or a menu
+RARE = 0.4  # weight of the logarithm of a host's pages (over FEW) against paths that fewer than VOTES of them hold
+FEW = 4.0
+LONE = -0.5  # evidence on a path that fewer than VOTES pages hold: place alone is not enough
+BYLINE = -5.0  # evidence of a path that always follows the headline; it grows with the square of how often it does
+WEB_SHARE = 0.5  # weight of other hosts' votes where the host's pages have voted
+WEB = 2.5  # what the votes of other hosts can add or take at most
+
+SUBJECT, PROSE, AMID, BEFORE, AFTER, RUN, CRUMB, MENU_LINE = -4.5, -1.0, -1.5, 1.5, 0.5, 0.5, 7.0, 2.5  # seeds, see `page_lines`
+
+# Usual entries of menus, one language to a line.
 MENU = """
-about|about us|account|basket|blog|careers|cart|community|contact|documentation|download|events|faq|forum|guides|help|help centre|home|imprint|investors|jobs|locations|log in|login|my account|news|partners|press|pricing|products|register|sale|search|services|shop all|sign in|sign up|status|store|support|team|topics
-accueil|actualités|agences|aide|à propos|boutique|compte|connexion|contact|emplois|équipe|panier|presse|produits|recherche|services|tarifs
-acerca de|ayuda|buscar|cesta|contacto|cuenta|empleo|entrar|equipo|inicio|noticias|precios|prensa|productos|sedes|servicios|tienda
-aktuelles|anmelden|dienste|hilfe|karriere|kontakt|konto|preise|presse|produkte|ratgeber|standorte|start|startseite|suche|team|über uns|warenkorb
-"""
-# Whole lines (without marks and counts) that are boilerplate wherever they stand.
-WHOLE = """
-accept all|accept selected|agree|agree and close|agree decline|allow|allow settings|decline|fine by me|manage choices|no thanks|ok|only necessary|reject|save selection|save selection reject|settings|yes that is fine|yes that is fine no thanks
-advertisement|sponsored|open menu|close menu|skip to content|loading more pages|back to top|sitemap|share|print|save|like share|repost|recommend
-most read this week|recommended for you|related pages|you may also like|more like this
-privacy terms imprint accessibility|all rights reserved
-did you like this tell a friend|tell a friend|reject all|necessary only|cookie settings|i agree|got it|learn more|leave a comment|write a comment|show comments|subscribe|follow us|related articles|see also|print this page
-acepto|no acepto|configurar|seguir|publicidad|ir al contenido|volver arriba|también le puede interesar|aviso legal privacidad|compartir|reenviar|recomendar|aceptar todo|rechazar|rechazar todo|gestionar opciones|más información|guardar|imprimir|comentar|lo más leído|artículos relacionados|guardar imprimir|compartir imprimir|reenviar imprimir|recomendar imprimir|todos los derechos reservados
-j accepte|je refuse|tout accepter|tout refuser|refuser|gérer mes choix|en savoir plus|enregistrer|imprimer|commenter|sur le même sujet|les plus lus|continuer|paramétrer|publicité|aller au contenu|haut de page|à lire aussi|mentions légales confidentialité|partager|transmettre|conseiller|partager imprimer|transmettre imprimer|conseiller imprimer|tous droits réservés
-zustimmen|ablehnen|alle annehmen|alle akzeptieren|nur notwendige|auswahl speichern|mehr erfahren|verstanden|merken|drucken|weiterleiten|merken drucken|artikel drucken weiterleiten|kommentar schreiben|mehr zum thema|meistgelesen|lesen sie auch|werbung|einverstanden|einstellungen|weiter|anzeige|zum inhalt springen|nach oben|das könnte sie auch interessieren|impressum datenschutz agb|teilen|weitersagen|empfehlen|teilen drucken|weitersagen drucken|empfehlen drucken|alle rechte vorbehalten
+about|about us|account|basket|blog|careers|cart|community|contact|documentation|download|events|faq|forum|guides|help|help centre|home|imprint|investors|jobs|locations|log in|login|my account|news|partners|press|pricing|privacy|products|register|sale|search|services|shop|shop all|sign in|sign up|sitemap|status|store|support|team|terms|topics
+accueil|actualités|agences|aide|à propos|boutique|compte|confidentialité|connexion|contact|emplois|équipe|mentions légales|panier|presse|produits|recherche|services|tarifs
+acerca de|aviso legal|ayuda|buscar|cesta|contacto|cuenta|empleo|entrar|equipo|inicio|noticias|precios|prensa|privacidad|productos|sedes|servicios|tienda
+agb|aktuelles|anmelden|datenschutz|dienste|hilfe|impressum|karriere|kontakt|konto|preise|presse|produkte|ratgeber|standorte|start|startseite|suche|team|über uns|warenkorb
 """
-# Cues of boilerplate inside a line, by weight, over lower-case text in the consistent form.
+# General cues of boilerplate by weight, over lower-case text in the consistent form. They only seed the vote.
 CUES = [
-    # cookie and consent notices
-    (3, r"\b(?:set|sets|setting|use|uses|using|store|stores|keep|keeps|read|reads) (?:cookies|similar techniques|small files on your device|a note of your visits|identifiers from your browser)\b"),
-    (3, r"\bby (?:going|reading) on you agree\b|\bwithout consent some films stay hidden\b|\bread more in our notice\b|\byou can change (?:this later under settings|your choice at any time)\b|\byour choice is kept for \d+ days\b|\bconsent preferences\b|\bpick which cookies may be set\b|\bmay we measure how you use these pages\b|\byour privacy matters to\b"),
-    (3, r"\b(?:instala|usa|utiliza|emplea|guarda|lee|guardamos|leemos|usamos) (?:cookies|pequeños archivos|archivos en su dispositivo|identificadores|técnicas)\b|\bsu elección dura \d+ días\b|\blea nuestro aviso\b|\bsocios guardamos archivos\b"),
-    (3, r"\b(?:dépose|lit|garde|utilise|emploie|enregistre|conservons|lisons|déposons) (?:des cookies|des identifiants|de petits fichiers|des fichiers)\b|\bvotre choix vaut \d+ jours\b|\bvoir notre notice\b"),
-    (3, r"\b(?:(?:setzt|setzen|verwendet|verwenden|nutzt|nutzen) cookies|speichert kleine dateien|speichern (?:kleine )?dateien|liest kennungen|lesen kennungen)\b|\bihre wahl gilt \d+ tage\b|\bmehr dazu im hinweis\b"),
-    (3, r"^\w+ choices$"),
-    # prompts to share, subscribe, rate or comment
-    (3, r"^(?:share|save|pin|repost|forward|rate|recommend|print|send)(?: (?:this|the))?(?: (?:page|text|entry|article|post))?(?: (?:with a friend|by message|by mail|on your board))?$"),
-    (3, r"^(?:share|save|pin|repost|forward|rate|recommend|send by mail)\b.*\b(?:report an error|copy link|print)$|^pass it on\b|^share on the boards of\b|^follow .*: board, feed, letter$|^like \(?\d*\)? ?share"),
-    (3, r"\bpeople found this useful\b|\bdid you\?$|^sign in to comment\b|^\d+ (?:people|persons) like this\b|^join [\d ,.]+ readers\b|^subscribe to the\b|\bunsubscribe whenever you like\b|\bleave whenever you like\b|\bnever miss an update\b"),
-    (3, r"^(?:get|receive|have|do not miss|read) (?:(?:new|the best|offers|our|one)\b.*) (?:by mail|in your inbox|free of charge|every week|before anyone else|with \d+ tips inside)\b"),
-    (3, r"^(?:compartir|reenviar|recomendar|guardar)(?: (?:esta página|por mensaje|por correo|con un amigo))$|^imprimir\b.*amigo$|^imprimer\b.*proche$|^drucken\b.*(?:freund|senden)\w*$|^print\b.*friend$|^suscríbase\b|^(?:reciba|lea) (?:ofertas|lo mejor|nuestro boletín|páginas)|\bpersonas les gusta\b|^entre para comentar\b"),
-    (3, r"^(?:partager|transmettre|conseiller|enregistrer)(?: (?:cette page|par message|par courriel|avec un ami))$|^abonnez-vous\b|^(?:recevez|lisez) (?:nos|notre|le meilleur|les)\b|\bpersonnes aiment\b|^connectez-vous pour commenter\b"),
-    (3, r"^(?:(?:seite|diese seite) teilen|(?:teilen|weitersagen|empfehlen|merken|weiterleiten) per (?:nachricht|mail))$|^abonnieren sie\b|^(?:erhalten|lesen) sie (?:neue|unseren|das beste|unsere)\b|^gefällt \d+ personen|\bum zu kommentieren\b"),
-    # links to other pages, with their heading
-    (3, r"^more from\b|^(?:más|plus|mehr) (?:de|von)\b(?!.*[.]$)"),
-    (2, r"^a day at \S+(?: \S+)?$|^\d+ facts about \S+|^how \S+ ships\b|: [\w ]+ explained$|^novedades de \S+$|\S+ en breve$|^neues von \S+$|^\S+ im überblick$|^du neuf chez \S+$|^\S+ en bref$"),
-    # advertising labels
-    (3, r"^sponsored by\b|^patrocinado por\b|^sponsorisé par\b|^gesponsert von\b|^anzeige von\b"),
-    # legal notices of the site and footers
-    (3, r"^(?:the content of this page|whatever is shown here|every figure|all material|each price and date|all figures|every price) (?:is|are|may|remains?)\b|\bnothing on this page is medical\b|^links to other sites are offered\b|\bis a registered trade name in\b|^reproduction in whole or in part\b|^prices include tax where\b"),
-    (3, r"^(?:todo contenido|el contenido de esta página|el conjunto de textos|cada precio|las cifras|toda reproducción|cada cifra)\b.*\b(?:propiedad|garantía|cambiar|contrato|aviso|provisionales|permiso|ley)\b"),
-    (3, r"^(?:tout contenu|le contenu de cette page|l'ensemble des textes|chaque prix|les chiffres|toute reproduction|chaque chiffre)\b.*\b(?:propriété|garantie|changer|contrat|avis|provisoires|accord|droit)\b"),
-    (3, r"^(?:alle inhalte|preise und termine|alle angaben|(?:die )?(?:angaben|inhalte) dieser seite|nachdruck|jede zahl|alle zahlen)\b.*\b(?:eigentum|gewähr|ändern|vertrag|widerruf|unverbindlich|zustimmung|recht|vorbehalten|vorläufig)\b"),
-    (3, r"^(?:\(?c\)|©|copyright) ?\d+\b|^made in .* by\b|^hecho en\b|^fabriqué à\b|^hergestellt in\b|^(?:tel|tél)\. [+(\d]|^(?:customer desk|kundendienst|atención al cliente|service client) [+(\d]|\bcompany number [\d ,]+"),
+    (2.0, r"\b(?:cookies?|consent|similar techniques|your choice|(?:votre|vos) choix|su elección|ihre wahl|socios|partenaires|kennungen|identifi(?:ers|ants|cadores))\b"),
+    (2.0, r"\ball rights reserved\b|\btous droits réservés\b|\btodos los derechos reservados\b|\balle rechte vorbehalten\b|^(?:©|\(?c\)|copyright)\b"),
+    (2.0, r"\b(?:subscribe|unsubscribe|newsletter|sign up|log in|sign in|in your inbox|readers|abonne[rz]|abonnez-vous|connectez-vous|recevez|suscríbase|reciba|boletín|abonnieren|erhalten sie|anmelden|kommentieren|commenter|comentar|to comment)\b"),
+    (2.0, r"\b(?:privacy policy|terms of (?:use|service)|cookie settings|back to top|skip to content|haut de page|volver arriba|nach oben|zum inhalt|aller au contenu|ir al contenido)\b"),
+    (2.0, r"^(?:advertisement|sponsored|publicidad|publicité|werbung|anzeige|patrocinado|sponsorisé|gesponsert)\b"),
+    (2.0, r"^(?:share|like|follow|save|pin|repost|forward|rate|recommend|print|send|tell|accept|agree|reject|decline|allow|settings|manage|only necessary|ok\b|got it|no thanks|compartir|reenviar|recomendar|guardar|imprimir|acepto|aceptar|rechazar|configurar|partager|transmettre|conseiller|enregistrer|imprimer|accepter|refuser|paramétrer|teilen|weitersagen|empfehlen|merken|drucken|weiterleiten|zustimmen|ablehnen|einstellungen|einverstanden)\b"),
+    (2.0, r"^(?:related|recommended|you may also|most read|more (?:from|like)|see also|read (?:next|more)|learn more|también le|lo más|más (?:de|información)|à lire|sur le même|plus de|en savoir plus|lesen sie auch|das könnte sie|mehr (?:von|zum|erfahren)|meistgelesen)\b"),
+    (1.5, r"\b(?:liability|warranty|general information only|no contract|professional advice|financial advice|in writing|reproduc\w+|property of|registered trade name|own risk|without notice|(?:no|sin) garant\w+|sans garantie|ohne gewähr|unverbindlich|eigentum|vorbehalten|nachdruck|propriété|propiedad|contrat\w*|vertrag|droits?|permiso|company number|(?:may|can)(?:not| not)? be (?:changed|copied)|(?:at any time|under the law|until the next notice|until further notice|en cualquier momento|hasta nuevo aviso|à tout moment|jusqu'à nouvel avis|jederzeit|bis auf widerruf)|prices include|include tax|provisiona(?:l|les)|provisoires|vorläufig)\b"),
+    (1.5, r"\b(?:found this useful|people like this|personnes aiment|personas les gusta|gefällt \d+|report an error|copy link|by mail|free of charge|(?:do not|never) miss)\b|^(?:made in|hecho en|fabriqué à|hergestellt in)\b"),
+    (1.5, r"^(?:news from|new at|neues (?:von|aus)|novedades de|du neuf)\b|\b(?:im überblick|en bref|en breve|explained)$"),
 ]
-# Cues of the body, by weight.
-BODY = [
-    (2, r"^(?:by|written by|text:|par|por|von|published|publié|publicado|stand:|redacción|la rédaction|aus der redaktion) "),
-    (2, r"\bmin read$|^by the .* desk$"),
-    (2, r"\bcookie tin\b|\bdisclaimer explained$|^privacy desk of\b|\bhandles privacy and cookies$|\bnewsletter archive\b|^related work at\b|^home delivery by\b"),
-    (3, r"\bpage on cookies at\b|\bprivacy notes as a letter\b"),
-]
-_MENU = {x for line in MENU.strip().split("\n") for x in line.split("|")}
-_WHOLE = {x for line in WHOLE.strip().split("\n") for x in line.split("|")}
-# A cue that may stand anywhere in a line has one of these words.
-CUE_WORDS = frozenset("cookies techniques files note identifiers agree hidden notice settings choice preferences measure privacy archivos pequeños identificadores técnicas elección aviso identifiants fichiers choix dateien kennungen wahl hinweis useful did unsubscribe leave never gusta aiment kommentieren kept medical offered registered number breve bref explained cookie disclaimer archive letter".split())
-PROSE = 300  # characters from which on cues are looked for sentence by sentence, and must hold half of the line
-
-
-def _alternatives(pattern: str) -> list[str]:
-    """The alternatives of a pattern that stand in no group."""
-    out, depth, start, k = [], 0, 0, 0
-    while k < len(pattern):
-        c = pattern[k]
-        if c == "\\":
-            k += 1
-        elif c in "([":
-            depth += 1
-        elif c in ")]":
-            depth -= 1
-        elif c == "|" and not depth:
-            out.append(pattern[start:k])
-            start = k + 1
-        k += 1
-    return [*out, pattern[start:]]
-
-
-def _compiled(cues: list[tuple[int, str]]) -> list[tuple[int, re.Pattern | None, re.Pattern | None]]:
-    """For each weight, from the largest: cues at a line's start, and cues anywhere."""
-    out = []
-    for weight in sorted({w for w, _ in cues}, reverse=True):
-        each = [x for w, p in cues if w == weight for x in _alternatives(p)]
-        parts = ["|".join(x[1:] for x in each if x[0] == "^"), "|".join(x for x in each if x[0] != "^")]
-        out.append((weight, *(re.compile(f"(?:{p})") if p else None for p in parts)))
-    return out
-
-
-_CUE, _BODY = _compiled(CUES), _compiled(BODY)
-_WORDS = re.compile(r"[^\W\d_]+")
-
-
-def _strongest(cues: list, line: str, anywhere: bool) -> int:
-    for weight, start, inside in cues:
-        if start and start.match(line) or anywhere and inside and inside.search(line):
-            return weight
-    return 0
-
+# How bylines and date lines begin or end, which belong to the body.
+BYLINES = re.compile(r"^(?:by|written by|text|words|par|por|von|published|publié|publicado|posted|updated|stand|redacción|rédaction|la rédaction|aus der redaktion)\b|\bmin(?:utes)? read$")
 
-_EDGE = re.compile(r"^[\s*•»·]+|(?:\s*(?:\(\d+\)|[*!.»]))+\s*$")
-_LIST = re.compile(r"\s*[|/>»•·]\s*|\s+-\s+|\s{2,}")
-_FIRM = re.compile(r"\W*(?:(?:\(?c\)|©|copyright) ?\d{4} |made in \S+ by |follow )([^\W\d_][\w'&-]*(?: [^\W\d_][\w'&-]*){0,3}?)(?:[.:,]|\W*$)", re.I)
+_MENU = frozenset(x for line in MENU.strip().split("\n") for x in line.split("|"))
+_CUE = [(w, re.compile(p)) for w, p in CUES]
 _SCHEME = re.compile(r"^\w+://(?:www\.)?")
 _STOP = re.compile(r"(?<=[.!?])\s+")
-_PLAIN = re.compile(r"[^\w']+|'")
-_DIGITS = re.compile(r"\d+")
-_PROMPT = re.compile(r"[^\W\d_][^\d:;]*$(?<!\.)")
-_SENTENCE = re.compile(r"[^\W\d_]{2,}(?:[ ,;:]+\S+){7,}[.!?]$")
-# Words of postal addresses.
-_ADDRESS = re.compile(r"^[^\W\d_][\w'&-]*(?: [\w'&-]+){0,3}, (?=.*\d).*(?:\b(?:street|road|lane|terrace|close|ave|avenue|blvd|drive|st|box|flat|unit|apt|suite|postfach|apartado|rue|quai|chemin|calle|plaza|avenida)\b|(?:weg|straße|strasse|gasse|platz)\b)")
+_EDGE = re.compile(r"^[\s*•»·-]+|(?:\s*(?:\(\d+\)|[*!.»]))+\s*$")
+_ENDED = re.compile(r"[.!?…][\"'»”]?(?:\s*(?:\(\d+\)|\*))*\s*$")
+_LIST = re.compile(r"\s*[|/>»›•·]\s*|\s+-\s+|\s{2,}")
+_NUMBER = re.compile(r"\d[\d ,.]*\d|\d")
+_CAPITAL = re.compile(r"\b[^\W\d_a-zß-öø-ÿа-яёα-ω][\w'’]*(?:-[\w'’]+)*")
+_SMALL = re.compile(r"\b[a-zß-öø-ÿа-яёα-ω][\w'’]+")
 
 
 def line_key(line: str) -> str:
-    """A line without marks and counts at its ends, in lower case."""
+    """A line without marks and counts at its ends."""
     line = line.strip(" \t*•»·")
-    if line and line[-1] in ").!":
-        line = _EDGE.sub("", line).strip()
-    return line.lower()
-
-
-def _cued(sentence: str) -> bool:
-    """Whether a sentence holds a strong cue of boilerplate and none of the body."""
-    anywhere = not CUE_WORDS.isdisjoint(_WORDS.findall(sentence))
-    return _strongest(_CUE, sentence, anywhere) >= 3 and not _strongest(_BODY, sentence, True)
-
-
-def score_path(path: str) -> float:
-    """Score of a generalised line by its cues: above 0 for boilerplate, below for the body, 0 for no cue. NaN: an address."""
-    plain = " ".join(_PLAIN.sub(" ", path).split())
-    if path in _MENU or plain in _WHOLE:
-        return 3.0
-    score = 0.0
-    if len(pieces := [p for p in _LIST.split(path) if p]) > 1:
-        menu = sum(p in _MENU or p in _WHOLE for p in pieces)
-        if menu == len(pieces) or menu >= 2 and menu * 2 >= len(pieces):
-            return 3.0
-        if len(pieces) == 2 and (pieces[0] in _MENU or pieces[0] in ("my", "shop", "help", "sign", "log")) and len(pieces[1].split()) <= 2:
-            score += 3.0  # breadcrumb
-    if len(path) > PROSE:
-        return 3.0 if score or 2 * sum(len(x) for x in _STOP.split(path) if _cued(x.strip(" .!?"))) >= len(path) else -1.0
-    words = set(_WORDS.findall(path))
-    anywhere = not CUE_WORDS.isdisjoint(words)
-    score += _strongest(_CUE, path, anywhere)
-    score -= _strongest(_BODY, path, True)
-    if score == 0 and ", " in path and not path.endswith(".") and _ADDRESS.match(path):
-        return math.nan
-    if score == 0 and len(words) >= 7 and _SENTENCE.search(path if path.endswith((".", "!", "?")) else path + "."):
-        return -1.0
-    if score == 0 and "{subject}" in path:
-        return -1.0
-    # a few words without number, mark or colon: a heading of one page, or, on many pages of a host, a prompt
-    return UNDECIDED if score == 0 and len(path.split()) <= 6 and _PROMPT.match(path) else score
-
-
-def page_names(url: str, lines: list[str]) -> tuple[str, str]:
-    """The page's subject, from the last part of its path, and the site's firm, from its copyright or address line."""
-    path = re.split(r"[?#]", url)[0].rstrip("/")
-    tail = re.sub(r"-?\d+$", "", path.rsplit("/", 1)[-1]).lower() if "/" in path.split("://", 1)[-1] else ""
-    if len(tail) < 4 or tail in _MENU:
-        tail = ""  # no name, or one that other lines bear by chance
-    firm = ""
-    for line in lines[::-1]:
-        if len(line) < 120 and (m := _FIRM.match(line)):
-            firm = m.group(1).lower()
-            break
-    return tail, firm
-
-
-_SCORES: dict[str, float] = {}
-KEPT = 300_000  # paths whose scores a worker keeps at once
-
-
-def score_page(url: str, lines: list[str]) -> list[tuple[float, str]]:
-    """Score and generalised path of each line; blank lines get score 0 and no path."""
-    subject, firm = page_names(url, lines)
-    host = _SCHEME.sub("", url.lower()).split("/")[0]
-    if len(_SCORES) > KEPT:
-        _SCORES.clear()
-    out = []
-    for line in lines:
-        path = line_key(line)
-        if not path:
-            out.append((0.0, "" if not line.strip() else line.strip()))
+    return _EDGE.sub("", line).strip() if line and (line[-1] in ").!" or line[0] == "-") else line
+
+
+def is_prose(line: str, key: str) -> bool:
+    """Whether a line reads like sentences: twelve words or more with an end, or twenty, and no list of entries."""
+    words = key.count(" ") + 1
+    return words >= 12 and (words >= 20 or bool(_ENDED.search(line)) or ". " in key) and key.count(" | ") + key.count(" / ") < 2
+
+
+def generalised(key: str) -> str:
+    """A line with its numbers as 0 and its capitalised words as X; with one other word the first word stays; lines of none, and lists, keep their words."""
+    masked = _NUMBER.sub("0", key.capitalize() if key.isupper() else key)
+    if len(_LIST.split(key)) > 1:
+        return masked.lower()
+    general = _CAPITAL.sub("X", masked)
+    small = len(_SMALL.findall(general))
+    if small >= 2:
+        return general
+    first, _, rest = masked.partition(" ")
+    return f"{first.lower()} {_CAPITAL.sub('X', rest)}" if small else masked.lower()
+
+
+@functools.lru_cache(maxsize=200_000)
+def cue_weight(text: str) -> float:
+    """Weight of the strongest cue; of long texts, only as far as sentences with cues make it up."""
+    low = text.lower()
+    if len(low) < 160:
+        return max((w for w, p in _CUE if p.search(low)), default=0.0)
+    sentences = _STOP.split(low)
+    return sum(len(s) * max((w for w, p in _CUE if p.search(s)), default=0.0) for s in sentences) / len(low)
+
+
+@functools.lru_cache(maxsize=200_000)
+def _seed(key: str, prose: bool) -> tuple[float, str]:
+    """Seed score of a line by itself, and its path."""
+    low = key.lower()
+    pieces = [p for p in _LIST.split(low) if p]
+    menu = sum(p in _MENU for p in pieces)
+    if low in _MENU or len(pieces) > 1 and menu * 2 >= len(pieces):
+        return MENU_LINE, low
+    if BYLINES.search(low) and not prose:
+        return -2.0, generalised(key)
+    return (PROSE if prose else 0.0) + cue_weight(key), low if prose else generalised(key)
+
+
+def page_subject(url: str) -> str:
+    """The page's subject: the words of the last part of its path; none if the path names no page."""
+    path = re.split(r"[?#]", _SCHEME.sub("", url))[0].rstrip("/")
+    tail = re.sub(r"\.\w{2,5}$|[-_]?\d+$", "", path.rsplit("/", 1)[-1]).lower() if "/" in path else ""
+    tail = re.sub(r"[-_+]+|%20", " ", tail).strip()
+    return "" if len(tail) < 4 or tail in _MENU else tail
+
+
+def page_lines(url: str, lines: list[str]) -> list[tuple[int, str, float, bool, bool, bool, bool]]:
+    """Each line that is not blank: line_no, path, seed, and whether it follows the headline, is prose, stands between
+    two lines of the body, and may be a subheading there.
+
+    The headline is the first line that holds the page's subject and is no breadcrumb (entries that
+    end with the subject). Seeds: the line's own, the subject (a body's), breadcrumbs, places before
+    the headline and after the body's last line, runs of short lines, and a place between two lines of the body.
+    """
+    subject = page_subject(url)
+    rows = []
+    head = -1
+    for k, line in enumerate(lines):
+        key = line_key(line)
+        if not key:
+            if not line.strip():
+                continue
+            key = line.strip()
+        prose = is_prose(line, key)
+        if subject and not prose and subject in (low := key.lower()):
+            pieces = [p for p in _LIST.split(low) if p]
+            if len(pieces) > 1 and pieces[-1] == subject and max(map(len, pieces[:-1])) <= 30:
+                rows.append([k, "> {subject}", CRUMB, False])
+                continue
+            at = low.find(subject)
+            path, seed = generalised(key[:at] + "X" + key[at + len(subject) :]), SUBJECT
+            if head < 0:
+                head = len(rows)
+        else:
+            seed, path = _seed(key, prose)
+        rows.append([k, path, seed, prose])
+    body = [i for i, r in enumerate(rows) if r[3] and r[2] < 0.3 or r[2] < -1.5]
+    last = body[-1] if body else len(rows)
+    inside = np.zeros(len(rows) + 1, bool)
+    inside[body] = True
+    after = [0 <= head < i <= head + 2 and not r[3] for i, r in enumerate(rows)]
+    run = 0
+    for i, r in enumerate([*rows, [0, "", 0.0, True]]):
+        if i < len(rows) and not (r[3] or r[2] < -1.5 or after[i]):
+            run += 1
             continue
-        path = _DIGITS.sub("0", path)
-        if subject:
-            path = path.replace(subject, "{subject}")
-        score = _SCORES.get(path)
-        if score is None:
-            score = _SCORES[path] = score_path(path)
-        if score != score:  # an address: the firm's own is boilerplate; whose it is, other pages of the host may say
-            name = path.split(", ", 1)[0]
-            score = 3.0 if name == firm or host and all(w in host for w in _WORDS.findall(name)) else UNDECIDED
-        out.append((score, path))
-    # containers: a short line without a cue belongs to the runs on either side if both are boilerplate
-    shown = [i for i, (_, p) in enumerate(out) if p]
-    for k in range(1, len(shown) - 1):
-        i = shown[k]
-        if 0 <= out[i][0] < 0.5 and len(lines[i]) < 40 and out[shown[k - 1]][0] >= 3 and out[shown[k + 1]][0] >= 3 and "{subject}" not in out[i][1]:
-            out[i] = (0.5, out[i][1])
-    return out
-
-
-def _probability(score: float) -> float:
-    return 1 / (1 + math.exp(-1.2 * (score - 0.25)))
+        if run >= RUN_LINES:  # a container; a longer one with a cue in it says more
+            more = 2 * RUN if run > RUN_LINES and max(rows[j][2] for j in range(i - run, i)) >= 1.5 else RUN
+            for j in range(i - run, i):
+                rows[j][2] += more
+        run = 0
+    for i, r in enumerate(rows):
+        if r[1] != "> {subject}":
+            r[2] += BEFORE * (i < head) + AFTER * (i > last)
+    amid = [i > 0 and bool(inside[i - 1] and inside[i + 1]) for i in range(len(rows))]
+    return [(k, path, seed, after[i], prose, amid[i], amid[i] and path.count(" ") < HEADING_WORDS) for i, (k, path, seed, prose) in enumerate(rows)]
 
 
 def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def page_votes(url: str, lines: list[str]) -> Iterator[tuple[int, str, float, int, str]]:
-    """line_no, path, vote, the page's own verdict (2: strong cue, 1: weak cue, 0: none) and frame of each line that may be boilerplate.
-
-    The frame is the line with its numbers, given for a line without any cue near the page's head or foot;
-    lines that hold the subject are headlines at the head, so they have one at the foot only.
-    Lines of the body that are too long for a path's vote to matter are given if they have a frame.
-    """
-    subject = page_names(url, lines)[0]
-    scored = [(k, score, p) for k, (score, p) in enumerate(score_page(url, lines)) if p]
-    after = sum(score < 0.5 for _, score, _ in scored)
-    before = 0
-    for at, (k, score, p) in enumerate(scored):
-        plain = score < 0.5
-        after -= plain
-        frame = ""
-        if plain and score > -1.5 and (after < EDGE or before < EDGE and "{subject}" not in p):
-            frame = line_key(lines[k])
-            frame = frame.replace(subject, "{subject}") if subject else frame
-        before += plain
-        if score < 0 and len(p) > 160 and not frame:
-            continue
-        vote = _probability(score)
-        own = 2 if vote >= 0.9 else 1 if vote >= 0.5 else 0
-        if own == 1 and 0 < at < len(scored) - 1 and scored[at - 1][1] < 0 and scored[at + 1][1] < 0:
-            vote = _probability(score - WITHIN)
-        yield k, p, vote, own, frame
+KNOWN = 300_000  # paths whose digests a worker keeps at once
+VOTE_ROWS = "rec long, site long, page long, line_no int, path long, seed float, after boolean, prose boolean, amid boolean, heading boolean"
 
 
-def _paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From (rec, site, page, url, text) to the rows of `page_votes`, by hashes, and a row without path for each text."""
-    known: dict[str, int] = {}
+def _rows(b: pd.DataFrame, containers: list[list[tuple]], known: dict[str, int]) -> pd.DataFrame:
+    """The containers of each text of a batch as rows, paths as digests, and a row without path for each text."""
+    rec, flat = [], []
+    for i, rows in enumerate(containers):
+        rec += [i] * (len(rows) + 1)
+        flat += [(-1, None, 0.0, False, False, False, False), *rows]
+    no, path, seed, after, prose, amid, heading = zip(*flat) if flat else [()] * 7
+    if len(known) > KNOWN:
+        known.clear()
+    for p in set(path) - known.keys() - {None}:
+        known[p] = _digest(p)
+    keys = b[["rec", "site", "page"]].iloc[np.array(rec, np.int64)].reset_index(drop=True)
+    return keys.assign(
+        line_no=np.array(no, np.int32), path=pd.array([None if p is None else known[p] for p in path], dtype="Int64"),
+        seed=np.array(seed, np.float32), after=np.array(after, bool), prose=np.array(prose, bool), amid=np.array(amid, bool), heading=np.array(heading, bool),
+    )
 
-    def digest(x: str) -> int:
-        h = known.get(x)
-        if h is None:
-            if len(known) > KEPT:
-                known.clear()
-            h = known[x] = _digest(x)
-        return h
 
+def _lines_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known: dict[str, int] = {}
     for b in (part for batch in batches for part in slices(batch, "text")):
         forms = canonical_batch(b["text"].tolist())[0]
-        rec, no, path, vote, own, frame = [], [], [], [], [], []
-        for i, (url, form) in enumerate(zip(b["url"], forms)):
-            rows = [(-1, None, 0.0, 0, ""), *page_votes(url, split_lines(form))]
-            rec += [i] * len(rows)
-            no += [r[0] for r in rows]
-            path += [None if r[1] is None else digest(r[1]) for r in rows]
-            vote += [r[2] for r in rows]
-            own += [r[3] for r in rows]
-            frame += [digest(r[4]) if r[4] else None for r in rows]
-        keys = b[["rec", "site", "page"]].iloc[np.array(rec, np.int64)].reset_index(drop=True)
-        yield keys.assign(line_no=np.array(no, np.int32), path=pd.array(path, dtype="Int64"), vote=np.array(vote, np.float32), own=np.array(own, np.int8), frame=pd.array(frame, dtype="Int64"))
+        yield _rows(b, [page_lines(url, split_lines(form)) for url, form in zip(b["url"], forms)], known)
+
+
+def _evidence(votes: int) -> Column:
+    """A host's evidence on a path: its pages' mean seed and how many of them repeat it."""
+    n, pages, after = F.col("n"), F.col("pages"), F.col("after")
+    middle = F.when(F.col("prose"), F.lit(MIDDLE_PROSE)).when(F.col("heading") >= 0.5, F.lit(MIDDLE_HEADING)).otherwise(F.lit(MIDDLE))
+    share = F.least(F.lit(MOST), F.greatest(F.lit(-MOST), SLOPE * F.log(n / pages / middle) + COUNT * F.log(n / votes)))
+    rare = LONE + AMID * F.col("amid") - RARE * F.greatest(F.lit(0.0), F.log(pages / FEW))
+    return F.col("own") + F.when(n < votes, rare).otherwise(share * (1 - after) + BYLINE * after * after)
+
+
+def path_votes(rows: DataFrame, votes: int = VOTES) -> DataFrame:
+    """site, path and its vote (above 0: boilerplate), with n, the pages that hold it, and own, their mean seed.
+
+    `rows` are those of VOTE_ROWS; the one row without path stands for a page. Distinct pages are counted
+    in two steps with sums before each shuffle, so a site with a third of all rows is spread over its paths
+    and pages. Digests of paths have 64 bits and meet only within the 64 bits of their site's.
+    """
+    hosts = rows.filter("path IS NULL").select("site", "page").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    mean = lambda c: F.avg(F.col(c).cast("float")).alias(c)
+    by_page = rows.filter("path IS NOT NULL").groupBy("site", "path", "page").agg(mean("seed"), mean("after"), mean("amid"), mean("heading"), F.max("prose").alias("prose"))
+    paths = by_page.groupBy("site", "path").agg(F.count(F.lit(1)).alias("n"), F.avg("seed").alias("own"), mean("after"), mean("amid"), mean("heading"), F.max("prose").alias("prose"))
+    paths = paths.join(hosts, "site").select("site", "path", "n", "own", _evidence(votes).alias("host"))
+    # hosts that saw a path often enough vote for those that did not
+    sure = F.when(F.col("n") >= votes, F.col("host"))
+    web = paths.groupBy("path").agg(F.sum((sure > 0).cast("int")).alias("won"), F.sum((sure <= 0).cast("int")).alias("lost")).filter("won + lost > 0")
+    log = F.coalesce(F.log((F.col("won") + 0.5) / (F.col("lost") + 0.5)), F.lit(0.0))
+    others = F.least(F.lit(WEB), F.greatest(F.lit(-WEB), log))
+    weight = F.when(F.col("n") < votes, F.lit(1.0)).otherwise(F.lit(WEB_SHARE))
+    return paths.join(web, "path", "left").select("site", "path", "n", "own", (F.col("host") + weight * others).alias("vote"))
+
+
+def _base(pages: DataFrame, key: str, url: str, text: str) -> DataFrame:
+    site, page = site_and_page(F.coalesce(F.col(url), F.lit("")))
+    return pages.select(F.col(key).cast("long").alias("rec"), F.xxhash64(site).alias("site"), F.xxhash64(page).alias("page"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.col(text).alias("text")).filter(F.length("text") > 0)
 
 
 def boilerplate_lines(fetches: DataFrame, key: str = "result_id", url: str = "url", text: str = "raw_text", votes: int = VOTES) -> DataFrame:
     """key and line_no of each non-blank line outside the body of its page.
 
-    Null and empty texts give no line; a null url counts as a site of its own without consensus. Votes
-    are averaged over distinct pages of a (site, path), with partial sums before the shuffle, so a site with
-    a third of all rows is spread over its paths. A path seen on fewer than `votes` pages is decided by the
-    line's own score, and so is a line with a strong cue.
+    Null and empty texts give no line; rows with a null url form one site with one page, where every line's
+    own score and other hosts decide. Texts are read once and whole; lines of any length are treated alike.
     """
-    site, page = site_and_page(F.coalesce(F.col(url), F.lit("")))
-    base = fetches.select(F.col(key).cast("long").alias("rec"), F.xxhash64(site).alias("site"), F.xxhash64(page).alias("page"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.col(text).alias("text")).filter(F.length("text") > 0)
-    # the texts are read once: the paths and votes are kept and used several times
-    rows = cut(base.mapInPandas(_paths, "rec long, site long, page long, line_no int, path long, vote float, own byte, frame long"))
-    hosts = rows.filter("line_no < 0").select("site", "page").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    lines = rows.filter("line_no >= 0")
-    by_page = lines.groupBy("site", "path", "page").agg(F.max("vote").alias("vote"), F.min("own").alias("low"), F.max("own").alias("high"))
-    paths = by_page.groupBy("site", "path").agg(F.avg("vote").alias("mean"), F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter(F.col("n") >= votes)
-    won = paths.filter("low = 0 AND mean >= 0.48").join(hosts, "site").filter(F.col("n") >= SHARE * F.col("pages")).select("site", "path")
-    lost = paths.filter("low <= 1 AND high >= 1 AND mean < 0.48").select("site", "path")
-    frames = lines.filter("frame IS NOT NULL").select("site", "frame", "page").distinct().groupBy("site", "frame").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(votes, FRAME_PAGES))
-    frames = frames.join(hosts, "site").filter(F.col("n") >= SHARE * F.col("pages")).select("site", "frame")
-    # on paths with votes enough the host decides, else the page's own score
-    weak = lines.filter("own = 1").join(lost, ["site", "path"], "left_anti")
-    plain = lines.filter("own = 0")
-    lifted = plain.join(won, ["site", "path"], "left_semi").select("rec", "line_no").unionByName(plain.join(frames, ["site", "frame"], "left_semi").select("rec", "line_no")).distinct()
-    return lines.filter("own = 2").select("rec", "line_no").unionByName(weak.select("rec", "line_no")).unionByName(lifted).select(F.col("rec").alias(key), "line_no")
+    rows = cut(_base(fetches, key, url, text).mapInPandas(_lines_of, VOTE_ROWS))  # used four times
+    won = path_votes(rows, votes).filter("vote > 0").select("site", "path")
+    return rows.filter("path IS NOT NULL").join(won, ["site", "path"], "left_semi").select(F.col("rec").alias(key), "line_no")
+
+
+# ---- HTML: containers are elements, paths their tags and classes
+_BLOCKS = frozenset("address article aside blockquote body dd div dl dt fieldset figcaption footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_SKIPPED = frozenset("script style noscript template svg head".split())
+# Seeds of elements by their meaning in HTML.
+TAG_SEEDS = {"nav": 2.0, "footer": 2.0, "aside": 1.5, "form": 1.0, "main": -1.0, "article": -1.0}
+LINKS = 1.5  # seed of a block most of whose signs stand in links
+DEPTH = 6  # elements of a path, from the block outwards
+
+
+class _Blocks(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, str]] = []
+        self.skipped = self.links = 0
+        self.out: list[list] = []  # path, pieces of text, signs in links
+
+    def _break(self) -> None:
+        self.out.append(["/".join(step for _, step in self.open if step)[-400:], [], 0])
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in _VOID:
+            if tag in ("br", "hr"):
+                self._break()
+            return
+        classes = " ".join(v or "" for k, v in attrs if k == "class").lower().split()
+        self.open.append((tag, ".".join([tag, *sorted(_NUMBER.sub("0", c) for c in classes)]) if tag in _BLOCKS else ""))
+        self.skipped += tag in _SKIPPED
+        self.links += tag == "a"
+        if tag in _BLOCKS:
+            self._break()
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag not in [t for t, _ in self.open]:
+            return
+        while self.open:
+            t, _ = self.open.pop()
+            self.skipped -= t in _SKIPPED
+            self.links -= t == "a"
+            if t == tag:
+                break
+        if tag in _BLOCKS:
+            self._break()
+
+    def handle_data(self, data: str) -> None:
+        if not self.skipped and data.strip():
+            if not self.out:
+                self._break()
+            self.out[-1][1].append(data)
+            self.out[-1][2] += len(data.strip()) * (self.links > 0)
+
+
+def html_blocks(html: str) -> list[tuple[str, str, float]]:
+    """Path of tags and classes, text and share of signs in links, of each block of text in a page's HTML."""
+    parser = _Blocks()
+    parser.feed(html)
+    parser.close()
+    out = []
+    for path, pieces, linked in parser.out:
+        text = " ".join("".join(pieces).split())
+        if text:
+            out.append(("/".join(path.split("/")[-DEPTH:]), text, linked / len(text)))
+    return out
+
+
+def _blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known: dict[str, int] = {}
+    for b in (part for batch in batches for part in slices(batch, "text")):
+        rows, boxes, texts = [], [], []
+        for url, html in zip(b["url"], b["text"]):
+            blocks = html_blocks(html)
+            forms = canonical_batch([t.replace("\n", " ") for _, t, _ in blocks])[0]
+            lines = page_lines(url, forms)
+            seeds = [sum(TAG_SEEDS.get(step.split(".")[0], 0.0) for step in blocks[r[0]][0].split("/")) + LINKS * (blocks[r[0]][2] > 0.5) for r in lines]
+            rows.append([(k, path, seed + more, *rest) for (k, path, seed, *rest), more in zip(lines, seeds)])
+            boxes += [None, *(_digest(blocks[r[0]][0]) for r in lines)]
+            texts += [None, *(blocks[r[0]][1] for r in lines)]
+        yield _rows(b, rows, known).assign(box=pd.array(boxes, dtype="Int64"), block=pd.Series(texts, dtype=object))
+
+
+def body_blocks(pages: DataFrame, key: str = "id", url: str = "url", html: str = "html", votes: int = VOTES) -> DataFrame:
+    """key, block_no, text and boilerplate (whether it is outside the body) of each block of text of pages in HTML.
+
+    The votes on blocks' texts, as for lines, are averaged over each path of tags and classes on a page and then
+    over the host's pages: a path on `votes` or more pages is kept or dropped as a whole, others block by block.
+    Null and empty pages give no block.
+    """
+    rows = cut(_base(pages, key, url, html).mapInPandas(_blocks_of, VOTE_ROWS + ", box long, block string"))
+    voted = rows.filter("path IS NOT NULL").join(path_votes(rows, votes).select("site", "path", "vote"), ["site", "path"])
+    bounded = F.least(F.lit(MOST), F.greatest(F.lit(-MOST), F.col("vote")))
+    by_page = voted.groupBy("site", "box", "page").agg(F.avg(bounded).alias("v"))
+    boxes = by_page.groupBy("site", "box").agg(F.avg("v").alias("box_vote"), F.count(F.lit(1)).alias("box_pages"))
+    vote = F.when(F.col("box_pages") >= votes, F.col("box_vote")).otherwise(F.col("vote"))
+    return voted.join(boxes, ["site", "box"]).select(F.col("rec").alias(key), F.col("line_no").alias("block_no"), F.col("block").alias("text"), (vote > 0).alias("boilerplate"))

@@ -95,7 +95,8 @@ def test_page_body(spark):
 def test_pages_of_a_host_decide_together(spark):
     """A firm's address is known where its name stands; other pages of the host learn it by vote."""
     address = "Dratentzki Tools, 41 Saddler Terrace, Copperdown QV9 4ZW"
-    rows = [(i, f"https://shop.example/p/a{i}", f"Text number {i} stands here.\n{address}\n" + ("(c) 2025 Dratentzki Tools. All rights reserved." if i else "")) for i in range(6)]
+    texts = ["The river stayed low", "Nobody had seen it", "It rained at last", "We walked home", "Boats lay on the bank", "The wheel was turned"]  # alike lines that differ by a number would be one path
+    rows = [(i, f"https://shop.example/p/a{i}", f"{texts[i]}.\n{address}\n" + ("(c) 2025 Dratentzki Tools. All rights reserved." if i else "")) for i in range(6)]
     got = {tuple(r) for r in B.boilerplate_lines(table(spark, rows)).collect()}
     assert (0, 1) in got and (3, 1) in got
     assert not any(k == 0 for _, k in got)
@@ -107,15 +108,85 @@ def test_long_lines(spark):
     assert R.repeated_lines(table(spark, rows), pages=1).count() == 2
 
 
-def test_a_host_lifts_its_notices_and_overrules_weak_cues(spark):
-    """A notice without any cue is known by its place on the host's pages; a line like a link's is none amid their prose."""
+def test_a_host_lifts_its_notices(spark):
+    """What a host's pages repeat is its frame without any cue, at the foot and amid the text; other hosts learn it from there."""
     notice = "The mill cannot be held to anything that its readers may conclude from these columns."
     body = ["The {} wheel was turned by hand for as long as the river stayed low.", "How flour ships", "Nobody on the {} side of the bank had seen the water rise so fast."]
     words = "old new red blue tall wide thin calm dark late".split()
     rows = [(i, f"http://mill.example/{w}-story", "\n".join([*(x.format(w) for x in body), "All of it was {} by then, and we all walked home along the bank.".format(w), notice])) for i, w in enumerate(words)]
-    rows += [(50, "http://rare.example/a", "\n".join([body[0], "", notice])), (51, "http://rare.example/b", "Related\nHow flour ships")]
+    rows += [(51, "http://rare.example/b", "Elsewhere\nHow flour ships")]
     got = {tuple(r) for r in B.boilerplate_lines(table(spark, rows)).collect()}
-    assert got == {(i, 4) for i in range(10)} | {(51, 1)}
+    assert got == {(i, k) for i in range(10) for k in (1, 4)} | {(51, 1)}
+
+
+SYLLABLES = "bo da fe gi ku la mo ne pi ru sa te vo zu".split()
+
+
+def invented(r, n):
+    return " ".join("".join(r.choices(SYLLABLES, k=r.randint(2, 3))) for _ in range(n))
+
+
+def invented_hosts(hosts=20, pages=15, seed=1):
+    """Pages of words of no language, so that no list can hold them: menus, notices at the foot and amid the text, teasers; bodies; bylines."""
+    r = random.Random(seed)
+    rows, truth, n = [], set(), 0
+    for h in range(hosts):
+        menu = [invented(r, 1).capitalize() for _ in range(5)]
+        notices = [invented(r, r.randint(7, 16)).capitalize() + "." for _ in range(5)]
+        teaser = invented(r, 3)
+        authors = [invented(r, 2).title() for _ in range(3)]
+        for p in range(pages):
+            subject = invented(r, 1).replace(" ", "") + "xo"
+            lines = [(x, True) for x in menu]
+            lines += [(f"{invented(r, 2).capitalize()} {subject}", False), (f"Wu {r.choice(authors)}", False)]
+            text = [(invented(r, r.randint(20, 60)).capitalize() + ".", False) for _ in range(r.randint(2, 6))]
+            text.insert(r.randint(1, len(text)), (notices[p % 3], True))
+            lines += text + [(f"{invented(r, 1).capitalize()} {teaser}", True), (f"{invented(r, 1).capitalize()} {teaser}", True), (notices[3], True), (notices[4], True)]
+            rows.append((n, f"http://h{h}.example/zo/{subject}-{p}", "\n".join(x for x, _ in lines)))
+            truth |= {(n, k) for k, (_, b) in enumerate(lines) if b}
+            n += 1
+    return rows, truth
+
+
+def test_hosts_whose_words_no_list_holds(spark):
+    rows, truth = invented_hosts()
+    got = {tuple(r) for r in B.boilerplate_lines(table(spark, rows)).collect()}
+    both = len(got & truth)
+    assert both >= 0.95 * len(truth) and both >= 0.95 * len(got), (both, len(truth), len(got))
+
+
+def test_a_body_line_with_a_cue_is_kept(spark):
+    """A cue only seeds the vote: on a host with pages enough, what one page alone says amid its text is body."""
+    rows, truth = invented_hosts(hosts=1, pages=30)
+    said = "All rights reserved, said the sign."
+    rec, url, text = rows[4]
+    lines = text.split("\n")
+    at = next(k for k in range(len(lines) - 1) if (4, k) not in truth and (4, k + 1) not in truth and len(lines[k]) > 60 and len(lines[k + 1]) > 60) + 1
+    rows[4] = (rec, url, "\n".join([*lines[:at], said, *lines[at:]]))
+    got = {k for r, k in map(tuple, B.boilerplate_lines(table(spark, rows)).collect()) if r == 4}
+    assert at not in got
+    alone = {tuple(r) for r in B.boilerplate_lines(table(spark, [(1, "http://one.example/x", "All rights reserved.")])).collect()}
+    assert alone == {(1, 0)}
+
+
+def test_blocks_of_html(spark):
+    rows, _ = invented_hosts(hosts=2, pages=8)
+    pages = []
+    for rec, url, text in rows:
+        lines = text.split("\n")
+        menu = "".join(f"<li class='i{k}'><a href='/'>{x}</a></li>" for k, x in enumerate(lines[:5]))
+        pages.append((rec, url, f"<html><head><title>t</title><script>x()</script></head><body><nav><ul>{menu}</ul></nav><article class='post-{rec}'><h1>{lines[5]}</h1>" + "".join(f"<p>{x}</p>" for x in lines[6:-4]) + f"</article><div class='foot'><p>{lines[-2]}</p><p>{lines[-1]}"))
+    pages += [(900, "u", None), (901, "u", ""), (902, None, "<p>One & only"), (903, "http://x.example/a", "no tags at all")]
+    df = spark.createDataFrame(pages, "id long, url string, html string")
+    got = B.body_blocks(df).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["id"], {})[r["block_no"]] = r["boilerplate"]
+    for rec, _, text in rows:
+        n = len(text.split("\n")) - 2
+        assert [by[rec][k] for k in range(5)] == [True] * 5 and by[rec][5] is False and [by[rec][n - 2], by[rec][n - 1]] == [True, True], by[rec]
+    assert not {900, 901} & by.keys() and len(by[902]) == len(by[903]) == 1
+    assert B.body_blocks(df.limit(0)).count() == 0
 
 
 def test_a_few_pages_of_many_lift_no_subheading(spark):
@@ -124,10 +195,11 @@ def test_a_few_pages_of_many_lift_no_subheading(spark):
 
 
 def test_cues_and_lists_in_long_lines():
-    consent = "Marrow Tools sets cookies to measure traffic. By going on you agree. You can change this later under settings. "
-    assert B.score_path((consent * 4).lower()) >= 3
-    assert B.score_path(" | ".join(["about us", "basket", "careers", "community", "contact", "documentation"] * 8)) >= 3
-    assert B.score_path((consent + "The bakery sells many kinds of bread and its owner walks to the mill each day. " * 5).lower()) < 0
+    consent = "Marrow Tools sets cookies to measure traffic. By going on you agree to cookies. You can change your choice later under cookie settings. "
+    seed = lambda line: B.page_lines("http://a.example/x", [line])[0][2]
+    assert seed(consent * 4) > 0
+    assert seed(" | ".join(["about us", "basket", "careers", "community", "contact", "documentation"] * 8)) > 2
+    assert seed(consent + "The bakery sells many kinds of bread and its owner walks to the mill each day. " * 5) < 0
 
 
 def test_a_line_is_not_counted_with_longer_ones_that_hold_it(spark):
