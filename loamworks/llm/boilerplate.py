@@ -56,24 +56,40 @@ accueil|actualités|agences|aide|à propos|boutique|compte|confidentialité|conn
 acerca de|aviso legal|ayuda|buscar|cesta|contacto|cuenta|empleo|entrar|equipo|inicio|noticias|precios|prensa|privacidad|productos|sedes|servicios|tienda
 agb|aktuelles|anmelden|datenschutz|dienste|hilfe|impressum|karriere|kontakt|konto|preise|presse|produkte|ratgeber|standorte|start|startseite|suche|team|über uns|warenkorb
 """
-# General cues of boilerplate by weight, over lower-case text in the consistent form. They only seed the vote.
-CUES = [
-    (2.0, r"\b(?:cookies?|consent|similar techniques|your choice|(?:votre|vos) choix|su elección|ihre wahl|socios|partenaires|kennungen|identifi(?:ers|ants|cadores))\b"),
-    (2.0, r"\ball rights reserved\b|\btous droits réservés\b|\btodos los derechos reservados\b|\balle rechte vorbehalten\b|^(?:©|\(?c\)|copyright)\b"),
-    (2.0, r"\b(?:subscribe|unsubscribe|newsletter|sign up|log in|sign in|in your inbox|readers|abonne[rz]|abonnez-vous|connectez-vous|recevez|suscríbase|reciba|boletín|abonnieren|erhalten sie|anmelden|kommentieren|commenter|comentar|to comment)\b"),
-    (2.0, r"\b(?:privacy policy|terms of (?:use|service)|cookie settings|back to top|skip to content|haut de page|volver arriba|nach oben|zum inhalt|aller au contenu|ir al contenido)\b"),
-    (2.0, r"^(?:advertisement|sponsored|publicidad|publicité|werbung|anzeige|patrocinado|sponsorisé|gesponsert)\b"),
-    (2.0, r"^(?:share|like|follow|save|pin|repost|forward|rate|recommend|print|send|tell|accept|agree|reject|decline|allow|settings|manage|only necessary|ok\b|got it|no thanks|compartir|reenviar|recomendar|guardar|imprimir|acepto|aceptar|rechazar|configurar|partager|transmettre|conseiller|enregistrer|imprimer|accepter|refuser|paramétrer|teilen|weitersagen|empfehlen|merken|drucken|weiterleiten|zustimmen|ablehnen|einstellungen|einverstanden)\b"),
-    (2.0, r"^(?:related|recommended|you may also|most read|more (?:from|like)|see also|read (?:next|more)|learn more|también le|lo más|más (?:de|información)|à lire|sur le même|plus de|en savoir plus|lesen sie auch|das könnte sie|mehr (?:von|zum|erfahren)|meistgelesen)\b"),
-    (1.5, r"\b(?:liability|warranty|general information only|no contract|professional advice|financial advice|in writing|reproduc\w+|property of|registered trade name|own risk|without notice|(?:no|sin) garant\w+|sans garantie|ohne gewähr|unverbindlich|eigentum|vorbehalten|nachdruck|propriété|propiedad|contrat\w*|vertrag|droits?|permiso|company number|(?:may|can)(?:not| not)? be (?:changed|copied)|(?:at any time|under the law|until the next notice|until further notice|en cualquier momento|hasta nuevo aviso|à tout moment|jusqu'à nouvel avis|jederzeit|bis auf widerruf)|prices include|include tax|provisiona(?:l|les)|provisoires|vorläufig)\b"),
-    (1.5, r"\b(?:found this useful|people like this|personnes aiment|personas les gusta|gefällt \d+|report an error|copy link|by mail|free of charge|(?:do not|never) miss)\b|^(?:made in|hecho en|fabriqué à|hergestellt in)\b"),
-    (1.5, r"^(?:news from|new at|neues (?:von|aus)|novedades de|du neuf)\b|\b(?:im überblick|en bref|en breve|explained)$"),
-]
+# General cues of boilerplate, phrases that may stand anywhere in a line. They only seed the vote.
+CUES = """
+cookie|cookies|consent|similar techniques|your choice|votre choix|vos choix|su elección|ihre wahl|socios|partenaires|kennungen|identifiers|identifiants|identificadores
+all rights reserved|tous droits réservés|todos los derechos reservados|alle rechte vorbehalten
+subscribe|unsubscribe|newsletter|sign up|log in|sign in|in your inbox|readers|abonnez-vous|connectez-vous|recevez|suscríbase|reciba|boletín|abonnieren|erhalten sie|anmelden|kommentieren|commenter|comentar|to comment
+privacy policy|terms of use|terms of service|cookie settings|back to top|skip to content|haut de page|volver arriba|nach oben|zum inhalt|aller au contenu|ir al contenido
+"""
+# Phrases that are cues at the start of a line only.
+CUES_AT_START = """
+©|c|copyright|advertisement|sponsored|publicidad|publicité|werbung|anzeige|patrocinado|sponsorisé|gesponsert
+share|like|follow|save|pin|repost|forward|rate|recommend|print|send|tell|accept|agree|reject|decline|allow|settings|manage|only necessary|ok|got it|no thanks
+compartir|reenviar|recomendar|guardar|imprimir|acepto|aceptar|rechazar|configurar|partager|transmettre|conseiller|enregistrer|imprimer|accepter|refuser|paramétrer|teilen|weitersagen|empfehlen|merken|drucken|weiterleiten|zustimmen|ablehnen|einstellungen|einverstanden
+related|recommended|you may also|most read|more from|more like|see also|read next|read more|learn more|también le|lo más|más de|más información|à lire|sur le même|plus de|en savoir plus|lesen sie auch|das könnte sie|mehr von|mehr zum|mehr erfahren|meistgelesen
+"""
+# Weaker phrases, of legal notices, prompts and teasers.
+WEAK_CUES = """
+liability|warranty|general information only|no contract|professional advice|financial advice|in writing|reproduction|reproduced|property of|registered trade name|own risk|without notice|company number|prices include|include tax|provisional|at any time|under the law|until the next notice|until further notice|may be changed|may be copied|may not be copied|cannot be copied
+no garantiza|sin garantía|propiedad|contrato|permiso|derecho|derechos|provisionales|en cualquier momento|hasta nuevo aviso|sans garantie|propriété|contrat|droit|droits|provisoires|à tout moment|jusqu'à nouvel avis|ohne gewähr|unverbindlich|eigentum|vorbehalten|nachdruck|vertrag|jederzeit|bis auf widerruf|vorläufig
+found this useful|people like this|personnes aiment|personas les gusta|gefällt|report an error|copy link|by mail|free of charge|do not miss|never miss
+"""
+WEAK_CUES_AT_START = "made in|hecho en|fabriqué à|hergestellt in|news from|new at|neues von|neues aus|novedades de|du neuf"
+WEAK_CUES_AT_END = "im überblick|en bref|en breve|explained"
+STRONG, WEAK = 2.0, 1.5
 # How bylines and date lines begin or end, which belong to the body.
-BYLINES = re.compile(r"^(?:by|written by|text|words|par|por|von|published|publié|publicado|posted|updated|stand|redacción|rédaction|la rédaction|aus der redaktion)\b|\bmin(?:utes)? read$")
+BYLINES = re.compile(r"(?:by|written by|text|words|par|por|von|published|publié|publicado|posted|updated|stand|redacción|rédaction|la rédaction|aus der redaktion)\b")
+READING_TIME = ("min read", "minutes read")
 
 _MENU = frozenset(x for line in MENU.strip().split("\n") for x in line.split("|"))
-_CUE = [(w, re.compile(p)) for w, p in CUES]
+_PHRASES: dict[str, list[tuple[str, float]]] = {}  # by first word; a line is padded with marks of its start and end
+for _block, _left, _right, _weight in ((CUES, " ", " ", STRONG), (CUES_AT_START, "^ ", " ", STRONG), (WEAK_CUES, " ", " ", WEAK), (WEAK_CUES_AT_START, "^ ", " ", WEAK), (WEAK_CUES_AT_END, " ", " $", WEAK)):
+    for _phrase in _block.strip().replace("\n", "|").split("|"):
+        _PHRASES.setdefault(_phrase.split()[0], []).append((_left + _phrase + _right, _weight))
+_STARTS = frozenset(_PHRASES)
+_SEPARATORS = re.compile(r"[|/>»›•·]| - |\s\s")
 _SCHEME = re.compile(r"^\w+://(?:www\.)?")
 _STOP = re.compile(r"(?<=[.!?])\s+")
 _EDGE = re.compile(r"^[\s*•»·-]+|(?:\s*(?:\(\d+\)|[*!.»]))+\s*$")
@@ -93,7 +109,7 @@ def line_key(line: str) -> str:
 def is_prose(line: str, key: str) -> bool:
     """Whether a line reads like sentences: twelve words or more with an end, or twenty, and no list of entries."""
     words = key.count(" ") + 1
-    return words >= 12 and (words >= 20 or bool(_ENDED.search(line)) or ". " in key) and key.count(" | ") + key.count(" / ") < 2
+    return words >= 12 and (words >= 20 or ". " in key or bool(_ENDED.search(line[-20:]))) and key.count(" | ") + key.count(" / ") < 2
 
 
 def generalised(key: str) -> str:
@@ -109,27 +125,42 @@ def generalised(key: str) -> str:
     return f"{first.lower()} {_CAPITAL.sub('X', rest)}" if small else masked.lower()
 
 
-@functools.lru_cache(maxsize=200_000)
-def cue_weight(text: str) -> float:
+def _strongest(low: str) -> float:
+    for sign in ".,;:!?()":
+        if sign in low:
+            low = low.replace(sign, " ")
+    words = low.split()
+    if _STARTS.isdisjoint(words):
+        return 0.0
+    padded = " ".join(["^", *words, "$"])
+    return max((w for first in _STARTS.intersection(words) for phrase, w in _PHRASES[first] if phrase in padded), default=0.0)
+
+
+def cue_weight(low: str) -> float:
     """Weight of the strongest cue; of long texts, only as far as sentences with cues make it up."""
-    low = text.lower()
-    if len(low) < 160:
-        return max((w for w, p in _CUE if p.search(low)), default=0.0)
-    sentences = _STOP.split(low)
-    return sum(len(s) * max((w for w, p in _CUE if p.search(s)), default=0.0) for s in sentences) / len(low)
+    whole = _strongest(low)
+    if len(low) < 160 or not whole:
+        return whole
+    return sum(len(s) * _strongest(s) for s in _STOP.split(low)) / len(low)
 
 
-@functools.lru_cache(maxsize=200_000)
 def _seed(key: str, prose: bool) -> tuple[float, str]:
     """Seed score of a line by itself, and its path."""
     low = key.lower()
-    pieces = [p for p in _LIST.split(low) if p]
-    menu = sum(p in _MENU for p in pieces)
-    if low in _MENU or len(pieces) > 1 and menu * 2 >= len(pieces):
+    if low in _MENU:
         return MENU_LINE, low
-    if BYLINES.search(low) and not prose:
+    if _SEPARATORS.search(low):
+        pieces = [p for p in _LIST.split(low) if p]
+        if len(pieces) > 1 and sum(p in _MENU for p in pieces) * 2 >= len(pieces):
+            return MENU_LINE, low
+    if prose:
+        return PROSE + cue_weight(low), low
+    if BYLINES.match(low) or low.endswith(READING_TIME):
         return -2.0, generalised(key)
-    return (PROSE if prose else 0.0) + cue_weight(key), low if prose else generalised(key)
+    return cue_weight(low), generalised(key)
+
+
+_short_seed = functools.lru_cache(maxsize=200_000)(_seed)  # short lines come back
 
 
 def page_subject(url: str) -> str:
@@ -168,7 +199,7 @@ def page_lines(url: str, lines: list[str]) -> list[tuple[int, str, float, bool,
             if head < 0:
                 head = len(rows)
         else:
-            seed, path = _seed(key, prose)
+            seed, path = (_seed if prose else _short_seed)(key, prose)
         rows.append([k, path, seed, prose])
     body = [i for i, r in enumerate(rows) if r[3] and r[2] < 0.3 or r[2] < -1.5]
     last = body[-1] if body else len(rows)
