@@ -541,7 +541,7 @@ _CODED = re.compile(r"\d{1,2}\.? [^\W\d_]+ \d{4}|\b\w*\d\w*\b")  # dates, and wo
 _ARGUMENT = re.compile(r"\([^()\n]*\)|'[^'\n]*'|\"[^\"\n]*\"|(?<!\w)(?:[A-Za-z]:)?[/\\][\w./\\-]+")  # of calls, quoted, or a path
 _KNOWN_NAME = re.compile(r"(?<!^)(?<![.!?:] )\b(?:[^\W\d_a-z][\w'’-]*(?: & | |$)){1,4}")
 _WINDOWS = re.compile(r"\n|(?<=[.!?])\s+(?=[^\W\d_a-z]|\"|¿)|\s+[-–|/»>•·]\s+|\s{2,}")
-_FOOTER = re.compile(r"(?i)^\W*(?:\(c\)|©|copyright|made in|tel\.|tél\.|customer desk|company number)|\b(?:rights reserved|droits réservés|derechos reservados|rechte vorbehalten)\b")
+_FOOTER = re.compile(r"(?i)^\W*(?:\(c\)|©|copyright|made in|tel\.|tél\.|fax|phone|contact:|customer desk|company number|(?:follow|suivez|s[ií]ga|folgen)\w*\b(?=.{0,60}$))|\b(?:rights reserved|droits réservés|derechos reservados|rechte vorbehalten)\b")
 _MAIL = re.compile(r"^\S+(?:@| ?\[at\] ?)\S+(?: ?\[dot\] ?\S+)*$")
 _POSTAL = re.compile(r"^(?:[^\W\d_][\w'&.-]*\s?){1,4},.*\d")
 
@@ -719,19 +719,25 @@ def _words(text: str) -> list[str]:
 def only_residue(text: str, index: ResidueIndex) -> bool:
     """Whether a text holds nothing but residue, apart from a name, menu or footer around it."""
     hit, names = False, 0
-    for window in _WINDOWS.split(text):
-        window = window.strip()
-        words = _words(window)
-        if not words:
-            continue
-        if len(words) >= 3 and len(set(words)) <= 2:  # one or two words again and again
-            hit = True
-        elif _STATUS.fullmatch(window) or any(index.residue_like(w) for w in _forms(window, index)):
-            hit = hit or len(words) > 1 or words[0] in ALONE  # other single words say nothing, either way
-        elif not _frame(window):
-            names += 1
-            if names > NAMES_MOST or not _name_like(window):
-                return False
+    for line in text.split("\n"):
+        found = others = 0
+        for window in (w.strip() for w in _WINDOWS.split(line)):
+            words = _words(window)
+            if not words:
+                continue
+            if len(words) >= 3 and len(set(words)) <= 2:  # one or two words again and again
+                found += 1
+            elif _STATUS.fullmatch(window) or any(index.residue_like(w) for w in _forms(window, index)):
+                found += len(words) > 1 or words[0] in ALONE  # other single words say nothing, either way
+            elif not _frame(window):
+                if _frame(line):  # a footer or an address may look like several windows
+                    found = others = 0
+                    break
+                others += 1
+                if names + others > NAMES_MOST or not _name_like(window):
+                    return False
+        names += others
+        hit = hit or found > 0
     return hit
 
 

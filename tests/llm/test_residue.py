@@ -115,6 +115,12 @@ def test_held_out_precision(index):
     assert len(wrong) <= 0.05 * len(REAL), wrong
 
 
+def test_what_may_stand_around(index):
+    around = ["Help | Shop | Jobs", "Marrow Tools, P.O. Box 8609, Eastmallow", "Marrow Tools, 2253 N. Tanner Road, Suite 40, Gullhaven, 00539", "Tel. 0049 (30) 23125906 / desk(at)marrow.example.org", "Follow Marrow Tools: board, feed, letter", "(c) 2020 Marrow Tools. All rights reserved."]
+    assert all(Z.is_residue(f"{x}\nThis page could not be found.", index) for x in around)
+    assert not any(Z.is_residue(x, index) for x in around)
+
+
 def test_single_words_say_nothing(index):
     assert not any(Z.is_residue(t, index) for t in ("Server", "Code", "Mary Ann Lee", "One Two\nThree Four\nFive Six\nThis page could not be found"))
     assert Z.is_residue("Marrow Tools\nError\nThis page could not be found", index)
