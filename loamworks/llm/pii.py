@@ -13,22 +13,31 @@ read in the consistent form of `lookalike`; positions are those of the stored te
 
 from __future__ import annotations
 
+import ast
 import bisect
-import functools
+import hashlib
+import io
+import json
 import re
+import sys
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamworks.llm import pii_labels
 from loamworks.llm.lookalike import canonical_batch, slices
 from loamworks.llm.pii_labels import KINDS, labelled_table
+from loamworks.session import shared_dir
 
 NAMES_MOST = 50_000  # name parts that the model may hold; a longer list is an error
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
+NAME_WORDS = 7  # words of a person's name at most, particles and parts with hyphens counted
 STATES = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 S = len(STATES)
 
@@ -37,7 +46,7 @@ _RUN = re.compile(r"(?<![\d.])\d{2,3}(?:\.\d{2,4}){2,}(?![\d.])|(?:\+ ?|\()?\d(?
 _MAIL = re.compile(r"[\w.+-]+(?: dot [\w.+-]+)* ?(?:@|[\[(] ?at ?[\])]|\bat\b(?= [\w-]+ dot\b)|\bAT\b(?= [\w-]+ DOT\b)) ?[\w-]+(?: ?(?:\.|[\[(] ?dot ?[\])]|\bdot\b|\bDOT\b) ?[\w-]+)+", re.I)
 _AT = re.compile(r"[\[(] ?at ?[\])]|\bat\b.* dot ", re.I)
 _SPLIT = re.compile(r"(?<=[a-zà-ÿ0-9%]{3}[.!?]) (?=[A-ZÀ-ÞА-ЯΑ-Ω\"¿])(?<!Blvd\. )(?<!Ave\. )(?<!Str\. )(?<!Prof\. )(?<!tel\. )(?<!Tel\. )")
-_NAMES = re.compile(r"[^\W\d_a-z][\w'’]*[.,]?(?:-[^\W\d_][\w'’]*)*,? (?:(?:de|van|von|del|di|da|la|le|der) ){0,2}[^\W\d_a-z]")
+_NAMES = re.compile(r"[^\W\d_a-z][\w'’]*[.,]?(?:-[^\W\d_][\w'’]*)*,?(?: (?:(?:d[aeiou]s?|van|von|de[lnr]|la|le|te[nr]?|zu[mr]?|al|el|bin|ibn|ben|y|e|af|av|mac|st\.?) ){0,3}|(?<=[.,]))[^\W\d_a-z]")
 _DIGITS = str.maketrans("123456789", "0" * 9)
 
 # The words and shapes at these places beside a token are features of it.
@@ -45,19 +54,28 @@ OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 
 
 def gate(sentence: str) -> bool:
-    """Whether a sentence may hold personal data. Errs on the side of decoding."""
+    """Whether a sentence, its digits masked, may hold personal data. Errs on the side of decoding.
+
+    A name has two capitalised words (or an initial) side by side; a phone 7 digits; an identity number 5
+    digits that stand together or beside letters; an address a number beside a capitalised word or a box.
+    """
+    if "@" in sentence:
+        return True
     digits = sentence.count("0")  # they are masked
-    if digits >= 7 or "@" in sentence:
+    if digits >= 7 or digits >= 5 and _TIGHT.search(sentence):
         return True
     low = sentence.lower()
     if " dot " in low or "dot]" in low or "dot)" in low or "(at)" in low or "[at]" in low:
         return True
-    if digits and ("," in sentence or "ox " in low or "fach " in low or "apartado" in low):
-        if re.search(r"\d[a-z]?,|\d (?:[NSEW]\. )?[^\W\d_a-z]|(?i:box|fach|apartado) \d|, 0", sentence):
-            return True
+    if digits and _PLACE.search(sentence):
+        return True
     return bool(_NAMES.search(sentence))
 
 
+_TIGHT = re.compile(r"0{5}|[^\W\d_][ -]?0[0 -]{2,}[0 -]*[^\W\d_]?")
+_PLACE = re.compile(r"\d[a-zA-Z]?,|\d (?:[NSEW]\. )?[^\W\d_a-z]|(?i:box|fach|apartado) \d|, 0|[^\W\d_]{3} 0{1,4}[a-z]?, ")
+
+
 def _shape(word: str) -> str:
     if word[0].isdigit():
         return "0" * min(len(word), 6)
@@ -275,9 +293,41 @@ def train(given: Sequence[str], family: Sequence[str], rounds: int = 8, rate: fl
     return model
 
 
-@functools.lru_cache(maxsize=2)
-def _trained(given: tuple[str, ...], family: tuple[str, ...]) -> Model:
-    return train(given, family)
+def model_bytes(model: Model) -> bytes:
+    """A trained model as one block: its arrays, features and lists, without pickled objects."""
+    out = io.BytesIO()
+    lists = json.dumps([sorted(model.given), sorted(model.family), [repr(f) for f in model.ids]])
+    np.savez_compressed(out, weights=model.weights.astype(np.float32), move=model.move, first=model.first, lists=np.frombuffer(lists.encode("utf-8", "surrogatepass"), np.uint8))
+    return out.getvalue()
+
+
+def model_from(data: bytes) -> Model:
+    model = Model((), ())
+    with np.load(io.BytesIO(data), allow_pickle=False) as block:
+        model.weights, model.move, model.first = block["weights"].astype(np.float64), block["move"], block["first"]
+        given, family, features = json.loads(block["lists"].tobytes().decode("utf-8", "surrogatepass"))
+    model.given, model.family, model.frozen = set(given), set(family), True
+    model.ids = {ast.literal_eval(f): i + 1 for i, f in enumerate(features)}
+    return model
+
+
+_TRAINED: dict[str, Model] = {}
+
+
+def _trained(given: tuple[str, ...], family: tuple[str, ...], spark=None) -> Model:
+    """The model of the name lists: of this process, or stored in the shared folder by an earlier one, or trained (and stored)."""
+    source = b"".join(Path(m.__file__).read_bytes() for m in (pii_labels, sys.modules[__name__]) if Path(m.__file__).exists())
+    key = hashlib.blake2b(source + repr((given, family)).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+    if key not in _TRAINED:
+        path = f"{shared_dir(spark)}/loamworks-models/pii-{key}" if spark else ""
+        try:
+            stored = spark.read.parquet(path).collect() if spark else []
+        except AnalysisException:  # there is none
+            stored = []
+        _TRAINED[key] = model_from(stored[0]["model"]) if stored else model_from(model_bytes(train(given, family)))
+        if spark and not stored:
+            spark.createDataFrame([(bytearray(model_bytes(_TRAINED[key])),)], "model binary").coalesce(1).write.mode("ignore").parquet(path)
+    return _TRAINED[key]
 
 
 class Tagger:
@@ -469,7 +519,7 @@ def _checked(form: str, lo: int, hi: int, kind: str) -> list[tuple[int, int, str
     """Exact check of a found span: nothing, the span with what belongs to its start, or the names that a list holds."""
     text = form[lo:hi]
     if kind == "name":
-        return [] if any(map(str.isdigit, text)) else _names_in(text, lo)
+        return [] if any(map(str.isdigit, text)) else [n for n in _names_in(text, lo) if len(_WORD.findall(form[n[0] : n[1]])) <= NAME_WORDS]
     before = form[form.rfind("\n", 0, lo) + 1 : lo]
     if kind == "email":
         if not (re.search(r"@|\bat\b", text, re.I) and re.search(r"\.|dot", text, re.I)):
@@ -506,17 +556,15 @@ def find_batch(texts: Sequence[str | None], tagger: Tagger) -> list[list[tuple[i
             continue
         at = 0
         for line in _masked(form).split("\n"):
-            if len(line) > 6:
-                left = 0
-                cuts = [m.start() for m in _SPLIT.finditer(line)] if len(line) > 40 else []
-                for cut in [*cuts, len(line)]:
-                    masked = line[left:cut]
-                    k = wanted.get(masked)
-                    if k is None:
-                        k = wanted[masked] = len(wanted) if gate(masked) else -1
-                    if k >= 0:
-                        seen.append((i, at + left, k))
-                    left = cut + 1
+            left = 0
+            for cut in [*(m.start() for m in _SPLIT.finditer(line)), len(line)]:
+                masked = line[left:cut]
+                k = wanted.get(masked)
+                if k is None:
+                    k = wanted[masked] = len(wanted) if gate(masked) else -1
+                if k >= 0:
+                    seen.append((i, at + left, k))
+                left = cut + 1
             at += len(line) + 1
     masks = [m for m, k in wanted.items() if k >= 0]
     number = {k: p for p, k in enumerate(k for k in wanted.values() if k >= 0)}
@@ -538,7 +586,7 @@ def _tagger_for(spark, names: DataFrame):
         raise ValueError(f"more than {NAMES_MOST} name parts")
     given = tuple(sorted(r["token"] for r in listed if r["kind"] == "given"))
     family = tuple(sorted(r["token"] for r in listed if r["kind"] == "family"))
-    return spark.sparkContext.broadcast(_trained(given, family))
+    return spark.sparkContext.broadcast(_trained(given, family, spark))
 
 
 _LIVE: list[Tagger] = []

@@ -16,7 +16,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redacted(read_table(spark, d, "scraping_result"), "raw_text", read_table(spark, d, "name_token")).select("result_id", "raw_text")
+    names = read_table(spark, d, "name_token")
+    texts = pii.redacted(read_table(spark, d, "scraping_result").select("result_id", "raw_text"), "raw_text", names)
+    items = pii.redacted(read_table(spark, d, "structured_card").select("card_id", "content"), "content", names)
+    texts = texts.select(F.lit("raw_text").alias("field"), F.col("result_id").alias("rec_id"), F.lit(0).alias("item_no"), F.col("raw_text").alias("text"))
+    return texts.unionByName(items.select(F.lit("content").alias("field"), F.col("card_id").alias("rec_id"), F.posexplode("content").alias("item_no", "text")))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

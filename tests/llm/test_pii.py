@@ -1,11 +1,15 @@
 """Personal data: held-out accuracy, positions, redaction, edges."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from loamworks.llm import pii
 from loamworks.llm.pii_labels import KINDS, ROWS, labelled_table
 
+from held_out_pii import PLAIN, SENTENCES
+
 CARDS = "card_id long, content array<string>, field string, rec_id string, item_no string, text string"
 
 
@@ -35,6 +39,46 @@ def test_held_out_accuracy(names, tagger):
     assert hits / sum(map(len, have)) > 0.98 and hits / sum(map(len, want)) > 0.97
 
 
+def parse(marked):
+    """A text and its spans from a text with marks <kind:personal data>."""
+    text, spans = "", []
+    for piece in re.split(r"(<\w+:[^>]*>)", marked):
+        if m := re.fullmatch(r"<(\w+):([^>]*)>", piece):
+            spans.append((len(text), len(text) + len(m.group(2)), m.group(1)))
+            piece = m.group(2)
+        text += piece
+    return text, spans
+
+
+def test_sentences_of_other_texts(tagger):
+    """Recall and precision on sentences whose frames and names are in no training sentence or table."""
+    rows = [parse(s) for s in SENTENCES] + [(t, []) for t in PLAIN]
+    got = pii.find_batch([t for t, _ in rows], tagger)
+    want = [{(a, k) for a, _, k in s} for _, s in rows]
+    have = [{(a, k) for a, _, k in g} for g in got]
+    hits = sum(len(a & b) for a, b in zip(want, have))
+    assert hits >= 0.9 * sum(map(len, want)) and hits >= 0.9 * sum(map(len, have)), (hits, sum(map(len, want)), sum(map(len, have)))
+
+
+def test_the_gate_lets_all_marked_sentences_through():
+    assert all(pii.gate(pii._masked(parse(s)[0])) for s in SENTENCES)
+    short = ["Passport 12345", "ID card 123456", "his passport no. 654321 was lost", "her insurance number is QQ123456C.", "Bo Li", "a@b.de", "J.Smith", "SMITH,John", "Maria dos Santos"]
+    assert all(pii.gate(pii._masked(s)) for s in short)
+
+
+def test_short_lines(tagger):
+    texts = ["Passport 12345", "his passport no. 654321 was lost", "a@b.de", "Maria dos Santos"]
+    found = {t: [k for *_, k in s] for t, s in zip(texts, pii.find_batch(texts, tagger))}
+    assert found == {"Passport 12345": ["id_number"], "his passport no. 654321 was lost": ["id_number"], "a@b.de": ["email"], "Maria dos Santos": ["name"]}
+
+
+def test_a_stored_model_is_the_same(spark, names, tagger):
+    again = pii.model_from(pii.model_bytes(tagger.model))
+    assert again.ids == tagger.model.ids and (again.move == tagger.model.move).all() and abs(again.weights - tagger.model.weights).max() == 0
+    texts = [parse(s)[0] for s in SENTENCES]
+    assert pii.find_batch(texts, pii.Tagger(again)) == pii.find_batch(texts, tagger)
+
+
 def test_positions_are_of_the_stored_text(tagger):
     text = "x​\r\nAsk for Ｊürgen P. Tordrivic at the desk, or call 030 23125 079 before noon.\nPassport X7992‍5468 belongs to Nina Kelmont, who visits Oldbrook in April."
     spans = pii.find_batch([text], tagger)[0]
