@@ -183,6 +183,30 @@ def tokens(sentence: str) -> tuple[list[tuple[int, int]], list[str]]:
     return [(a, b) for a, b, _ in found], [w for _, _, w in found]
 
 
+_KINDS = np.full(0x110000, 255, np.uint8)  # of code points: 0 blank, 1 letter, 2 digit, 3 sign; 255 not looked up yet
+
+
+def tokens_of(sentences: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of all sentences end to end, with starts and ends within their sentence, and the place of each sentence's first."""
+    text = "\n".join(sentences) + "\n"
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _KINDS[codes]
+    if (new := kind == 255).any():
+        for cp in np.unique(codes[new]).tolist():
+            ch = chr(cp)
+            _KINDS[cp] = 0 if ch.isspace() else 3 if ch == "_" or not ch.isalnum() else 2 if ch.isdecimal() else 1
+        kind = _KINDS[codes]
+    sign, there = kind == 3, kind > 0
+    change = np.concatenate([[True], kind[1:] != kind[:-1]])
+    starts = np.flatnonzero(there & (change | sign))
+    ends = np.flatnonzero(there & (np.concatenate([change[1:], [True]]) | sign)) + 1
+    words = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+    begins = np.concatenate([[0], np.cumsum([len(s) + 1 for s in sentences])])
+    first = np.searchsorted(starts, begins)
+    shift = np.repeat(begins[:-1], np.diff(first))
+    return words, starts - shift, ends - shift, first
+
+
 def _sums(scores: np.ndarray, axis: int) -> np.ndarray:
     top = scores.max(axis=axis, keepdims=True)
     return (top + np.log(np.exp(scores - top).sum(axis=axis, keepdims=True))).squeeze(axis)
@@ -337,6 +361,7 @@ class Tagger:
 
     def __init__(self, model: Model) -> None:
         self.model = model
+        self.weights = model.weights.astype(np.float32)
         self.columns = len(OFFSETS) + 2  # the words at the offsets, the last word before, the next word after
         self.edge = model.weights[[*(model._id(("edge", o)) for o in OFFSETS), *model.word_around_features("")]]
         # tables of the features of three tokens together, by number of list and of shape
@@ -358,15 +383,18 @@ class Tagger:
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
         self.plain: dict[tuple, np.ndarray] = {}
-        self.table = np.zeros((4096, self.columns * S))
+        # row 0 stands for what lies beyond a sentence's ends
+        self.table = np.zeros((4096, self.columns * S), np.float32)
+        self.table[0] = self.edge.ravel()
         self.kind = np.zeros(4096, np.int64)
+        self.kind[0] = 8
         self.shape = np.zeros(4096, np.int64)
         self.wordy = np.zeros(4096, bool)
 
     def _word(self, word: str) -> int:
         k = self.number.get(word)
         if k is None:
-            k = self.number[word] = len(self.number)
+            k = self.number[word] = len(self.number) + 1
             if k == len(self.table):
                 self.table, self.kind, self.shape, self.wordy = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.kind, self.shape, self.wordy))
             model, low, shape, listed = self.model, word.lower(), _shape(word), self.model.known(word)
@@ -399,47 +427,53 @@ class Tagger:
         """Spans (start, end, kind) of each sentence, whose digits are masked."""
         if len(self.number) > self.KEPT:
             self._clear()
-        parsed = [tokens(s) for s in sentences]
+        words, starts, ends, first = tokens_of(sentences)
+        get, number = self.number.get, self._word
+        numbers = np.array([k if (k := get(x)) is not None else number(x) for x in words], np.int64)
+        length = np.diff(first)
         out: list[list[tuple[int, int, str]]] = [[] for _ in sentences]
-        order = sorted((i for i, p in enumerate(parsed) if p[1]), key=lambda i: len(parsed[i][1]))
+        order = np.argsort(length, kind="stable")
+        order = order[length[order] > 0]
         begin = 0
         while begin < len(order):
             end = begin
-            while end < len(order) and (end == begin or len(parsed[order[end]][1]) * (end - begin + 1) <= 60_000):
+            while end < len(order) and (end == begin or length[order[end]] * (end - begin + 1) <= 60_000):
                 end += 1
-            self._group(order[begin:end], parsed, sentences, out)
+            self._group(order[begin:end], sentences, words, numbers, starts, ends, first, out)
             begin = end
         return out
 
-    def _group(self, group: list[int], parsed: list, sentences: list[str], out: list) -> None:
-        model, n, t = self.model, len(group), len(parsed[group[-1]][1])
-        words = np.full((n, t + 6), -1, np.int64)
+    def _group(self, group: np.ndarray, sentences: list[str], texts: list[str], numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, out: list) -> None:
+        model, n = self.model, len(group)
+        length = (first[1:] - first[:-1])[group]
+        t = int(length[-1])
+        words = np.zeros((n, t + 6), np.int64)
         gaps = np.ones((n, t), np.int64)
-        length = np.array([len(parsed[i][1]) for i in group])
+        rows = np.repeat(np.arange(n), length)
+        cols = np.arange(rows.size) - np.repeat(np.cumsum(length) - length, length)
+        at = np.repeat(first[group], length) + cols
+        words[rows, cols + 3] = numbers[at]
+        gaps[rows, cols] = (cols == 0) | (starts[at] > ends[np.maximum(at - 1, 0)])
         cell: list[int] = []
         flat: list[int] = []
-        number, get = self._word, self.number.get
-        for b, i in enumerate(group):
-            places, ws = parsed[i]
-            words[b, 3 : 3 + len(ws)] = [k if (k := get(x)) is not None else number(x) for x in ws]
-            starts = [p[0] for p in places]
-            gaps[b, 1 : len(ws)] = [a > p[1] for a, p in zip(starts[1:], places)]
-            for j, f in model.stretch_features(sentences[i], starts, ws):
-                cell.append(b * t + j)
-                flat.append(f)
-        there = words >= 0
-        safe = np.maximum(words, 0)
-        kind = np.where(there, self.kind[safe], 8)[:, 1:-1]
-        shape = np.where(there, self.shape[safe], 0)[:, 2:-2]
-        w = model.weights
+        for b, i in enumerate(group.tolist()):
+            sentence = sentences[i]
+            if "0" in sentence or "@" in sentence or "at" in sentence or "AT" in sentence:
+                lo, hi = first[i], first[i + 1]
+                for j, f in model.stretch_features(sentence, starts[lo:hi].tolist(), texts[lo:hi]):
+                    cell.append(b * t + j)
+                    flat.append(f)
+        there = words > 0
+        kind = self.kind[words][:, 1:-1]
+        shape = self.shape[words][:, 2:-2]
+        w = self.weights
         k = [kind[:, j : j + t] for j in range(5)]
         emit = w[self.near["k"][k[1], k[2], k[3]]] + w[self.near["K"][k[0], k[1], k[2]]] + w[self.near["R"][k[2], k[3], k[4]]]
         emit += w[self.gap[gaps, shape[:, 1:-1]]] + w[self.three[shape[:, :t], shape[:, 1:-1], shape[:, 2:]]]
         for j in range(len(OFFSETS)):
-            at = slice(j, j + t)
-            emit += np.where(there[:, at, None], self.table[safe[:, at], j * S : (j + 1) * S], self.edge[j])
+            emit += self.table[words[:, j : j + t], j * S : (j + 1) * S]
         # the last word before and the next word after each token that may be part of a name
-        own = safe[:, 3:-3]
+        own = words[:, 3:-3]
         wordy = there[:, 3:-3] & self.wordy[own]
         place = np.arange(t)
         last = np.maximum.accumulate(np.where(wordy, place, -1), axis=1)
@@ -459,7 +493,7 @@ class Tagger:
         path = _viterbi(emit, model.first, model.move, length)
         for b in np.flatnonzero(path.any(1)):
             i = group[b]
-            out[i] = _spans(path[b, : length[b]], parsed[i][0])
+            out[i] = _spans(path[b, : length[b]], starts[first[i] : first[i + 1]].tolist(), ends[first[i] : first[i + 1]].tolist())
 
 
 def _viterbi(emit: np.ndarray, first: np.ndarray, move: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -484,7 +518,7 @@ def _viterbi(emit: np.ndarray, first: np.ndarray, move: np.ndarray, length: np.n
     return path
 
 
-def _spans(tags: np.ndarray, places: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+def _spans(tags: np.ndarray, starts: list[int], ends: list[int]) -> list[tuple[int, int, str]]:
     out, k = [], 0
     while k < len(tags):
         j = k + 1
@@ -492,7 +526,7 @@ def _spans(tags: np.ndarray, places: list[tuple[int, int]]) -> list[tuple[int, i
             kind = (tags[k] - 1) // 2
             while j < len(tags) and tags[j] == 2 + 2 * kind:
                 j += 1
-            out.append((places[k][0], places[j - 1][1], KINDS[kind]))
+            out.append((starts[k], ends[j - 1], KINDS[kind]))
         k = j
     return out
 
@@ -557,7 +591,8 @@ def find_batch(texts: Sequence[str | None], tagger: Tagger) -> list[list[tuple[i
         at = 0
         for line in _masked(form).split("\n"):
             left = 0
-            for cut in [*(m.start() for m in _SPLIT.finditer(line)), len(line)]:
+            ended = ". " in line or "? " in line or "! " in line
+            for cut in [*(m.start() for m in _SPLIT.finditer(line)), len(line)] if ended else (len(line),):
                 masked = line[left:cut]
                 k = wanted.get(masked)
                 if k is None:
