@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamworks.operators import ranges
+from loamworks.operators.exact import summaries
 
 SIMPLE = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -87,8 +88,15 @@ def dtype_histogram(df: DataFrame) -> DataFrame:
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
-    """q1, median, q3 (linear between neighbours), mean and population deviation of each column in one pass."""
-    q = (lambda c: F.percentile(c, [0.25, 0.5, 0.75])) if exact else (lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000))
+    """q1, median, q3 (linear between neighbours), mean and population deviation of each column.
+
+    Exact ones take a few narrow passes (`operators.exact`), approximate ones a single pass. No task holds a column's values.
+    """
+    if exact:
+        found = summaries(df, {c: F.col(f"`{c}`") for c in columns})
+        rows = [(c, s.quantile(0.25), s.quantile(0.5), s.quantile(0.75), s.mean, s.std, s.n) for c, s in found.items()]
+        return df.sparkSession.createDataFrame(rows, "column_name string, q1 double, median double, q3 double, mean double, std double, n long")
+    q = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000)
     one = df.agg(*[F.struct(q(F.col(c)).alias("q"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.count(c).alias("n")).alias(c) for c in columns])
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`.q")[0].cast("double").alias("q1"), F.col(f"`{c}`.q")[1].cast("double").alias("median"), F.col(f"`{c}`.q")[2].cast("double").alias("q3"), F.col(f"`{c}`.mean").alias("mean"), F.col(f"`{c}`.std").alias("std"), F.col(f"`{c}`.n").alias("n")) for c in columns]))
     return one.select(rows.alias("x")).select("x.*")
@@ -113,11 +121,18 @@ def first_values(df: DataFrame, column: str, order: Sequence[str], n: int = 100)
     return df.filter(F.col(column).isNotNull()).orderBy(*order).limit(n).select(column)
 
 
+# Words that speak for a domain.
+DOMAIN_WORDS = {
+    "healthcare": ["patient", "diagnosis", "symptom", "medication", "treatment", "hospital", "doctor", "age", "gender"],
+    "finance": ["account", "balance", "transaction", "amount", "currency", "payment", "credit", "debit"],
+    "retail": ["product", "price", "category", "order", "customer", "rating", "review", "inventory"],
+}
+
+
 def domain_of(columns: Sequence[str]) -> str:
-    """healthcare, finance, retail or general, by words in the columns' names; ties in this order."""
-    # Words that speak for a domain.
-    words = {"healthcare": ("patient", "diagnosis", "symptom", "medication", "hospital", "doctor", "age", "gender"), "finance": ("account", "balance", "transaction", "credit", "loan", "amount", "currency"), "retail": ("product", "price", "order", "customer", "category", "quantity", "sku")}
-    hits = {d: sum(w in c.lower() for c in columns for w in ws) for d, ws in words.items()}
+    """healthcare, finance, retail or general: the domain most of whose words stand in some column's name; ties in this order."""
+    text = "\n".join(columns).lower()
+    hits = {d: sum(w in text for w in words) for d, words in DOMAIN_WORDS.items()}
     best = max(hits.values())
     return next(d for d in hits if hits[d] == best) if best else "general"
 
@@ -212,9 +227,9 @@ def fill_dates(df: DataFrame, column: str, order: Sequence[str], default: str |
     """
     out = out or column
     day = F.unix_date(F.col(column).try_cast("date"))
-    middle = df.agg(F.date_format(F.date_from_unix_date(F.floor(F.median(day)).cast("int")), "yyyy-MM-dd").alias("_m"))
-    filled = ranges.fill(df, column, order, out=out)
-    return filled.crossJoin(F.broadcast(middle)).withColumn(out, F.coalesce(out, "_m", F.lit(default))).drop("_m")  # one row
+    middle = summaries(df, {"day": day}, [0.5])["day"].quantile(0.5)
+    known = F.lit(default) if middle is None else F.date_format(F.date_from_unix_date(F.lit(int(middle // 1))), "yyyy-MM-dd")
+    return ranges.fill(df, column, order, out=out).withColumn(out, F.coalesce(out, known))
 
 
 def default_target(df: DataFrame) -> str:

@@ -54,6 +54,27 @@ def fill(df: DataFrame, column: str, order: Sequence[str], partition: Sequence[s
     return joined.withColumn("_o", value).select(*[c for c in df.columns if c != out], F.col("_o").alias(out))
 
 
+def filled(df: DataFrame, columns: Sequence[str], key: str, order: Sequence[str], backward: bool = False) -> DataFrame:
+    """key and the columns filled forward in an order, of the rows in which one of the columns was null.
+
+    Only the key, the order and these columns are ranged and kept on disk, once for all columns; the caller joins
+    the result to its table by the key, which must be unique. A value crosses a range's border by a row for each range.
+    """
+    rest = [c for c in dict.fromkeys([key, *order]) if c not in columns]
+    r = ranged(df.select(*rest, *columns, F.greatest(*[F.col(c).isNull() for c in columns], F.lit(False)).alias("_open")), [F.col(c) for c in order])
+    at = Window.partitionBy(RANGE).orderBy(*order)
+    ahead, behind = at.rowsBetween(Window.unboundedPreceding, 0), at.rowsBetween(0, Window.unboundedFollowing)
+    kinds = df.select(*columns).schema
+    r = r.withColumns({f"_f{k}": F.last(c, ignorenulls=True).over(ahead) for k, c in enumerate(columns)} | {f"_b{k}": F.first(c, ignorenulls=True).over(behind) if backward else F.lit(None).cast(kinds[c].dataType) for k, c in enumerate(columns)})
+    key_of = F.struct(*order)
+    ends = r.groupBy(RANGE).agg(*[x for k in range(len(columns)) for x in (F.max_by(f"_f{k}", key_of).alias(f"_e{k}"), F.min_by(f"_b{k}", key_of).alias(f"_s{k}"))])
+    line = Window.orderBy(RANGE)  # a row for each range
+    before, after = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.select(F.col(RANGE).alias("_q"), *[x for k in range(len(columns)) for x in (F.last(f"_e{k}", ignorenulls=True).over(before).alias(f"_p{k}"), F.first(f"_s{k}", ignorenulls=True).over(after).alias(f"_n{k}"))])
+    joined = r.filter("_open").join(F.broadcast(ends), F.col(RANGE) == F.col("_q"), "left")  # as many rows as shuffle partitions
+    return joined.select(key, *[F.coalesce(c, f"_f{k}", f"_p{k}", f"_b{k}", f"_n{k}").alias(c) for k, c in enumerate(columns)])
+
+
 def previous(df: DataFrame, columns: dict[str, str], order: Sequence[str], partition: Sequence[str]) -> DataFrame:
     """The rows with the values that columns have in the row before, in the order within the partition; null in the first.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loamworks.functions import columns as C
 from loamworks.functions import synonyms
 from loamworks.functions import text as X
-from loamworks.operators import gates, metrics, models, prepare, profile, quality, ranges
+from loamworks.operators import exact, gates, metrics, models, prepare, profile, quality, ranges
 from loamworks.plans import pipeline, policy
 from loamworks.session import cut, read_table, shared_dir
 from loamworks.sources import html, io
@@ -113,8 +113,8 @@ _SCORE_SQL = f"WITH v AS ({SCORES.format(customer='customer')}), w AS (SELECT ro
 @query(_SCORE_SQL)
 def clean_score(s, d):
     v = s.sql(SCORES, customer=read_table(s, d, "customer")).select("row_id", C.score(F.col("score")).alias("x"))
-    fill = v.agg(F.coalesce(F.median("x"), F.lit(75.0)).alias("m"))
-    return v.crossJoin(F.broadcast(fill)).select("row_id", F.coalesce("x", "m").alias("cleaned"))  # one row
+    middle = exact.summaries(v, {"x": F.col("x")}, [0.5])["x"].quantile(0.5)
+    return v.select("row_id", F.coalesce("x", F.lit(75.0 if middle is None else middle)).alias("cleaned"))
 
 
 @query(f"SELECT visit_no, coalesce({_case(synonyms.flat('gender'), 'lower(trim(gender))')}, lower(trim(gender))) AS gender FROM patient_visit")
