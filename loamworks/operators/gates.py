@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamworks.functions.columns import number
@@ -49,6 +49,22 @@ def unique(column: str) -> Rule:
     return Rule(f"{column}_unique", column, F.lit(False), "critical", repeated=True)
 
 
+def from_spec(spec: Sequence[dict]) -> list[Rule]:
+    """Rules from plain records, as a file holds them: {"range": [column, lo, hi]}, {"set": [column, [values]]}, {"pattern": [column, regex]},
+    {"not_null": column} or {"unique": column}; a record may give a severity, a range `clip`, a set the value of `other`."""
+    out = []
+    for record in spec:
+        kinds = {"range", "set", "pattern", "not_null", "unique"} & record.keys()
+        if len(kinds) != 1:
+            raise ValueError(f"not a rule: {record}")
+        kind = kinds.pop()
+        value = record[kind]
+        more = {k: record[k] for k in ("severity", "clip", "other") if k in record}
+        make = {"range": in_range, "set": in_set, "pattern": matches, "not_null": not_null, "unique": unique}[kind]
+        out.append(make(*(value if isinstance(value, list) else [value]), **more))
+    return out
+
+
 def _flagged(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """The rows with a flag _r0, _r1 ... for each rule.
 
@@ -77,11 +93,19 @@ def violations(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def report(df: DataFrame, rules: Sequence[Rule], samples: int = 5) -> DataFrame:
-    """rule, column_name, severity, violations and the smallest sample values of each rule, in one aggregate."""
+    """rule, column_name, severity, violations, fixable and the smallest `samples` different violating values of each rule.
+
+    Counts are one aggregate. Sample values are made distinct by key and cut to the first ones in each task before they meet.
+    """
     flagged = _flagged(df, rules)
-    one = flagged.agg(*[F.struct(F.count_if(F.col(f"_r{k}")).alias("violations"), F.min(F.when(F.col(f"_r{k}"), F.col(r.column).cast("string"))).alias("sample")).alias(f"r{k}") for k, r in enumerate(rules)])
-    rows = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.column).alias("column_name"), F.lit(r.severity).alias("severity"), F.col(f"r{k}.violations").alias("violations"), F.col(f"r{k}.sample").alias("sample"), F.lit(r.fix is not None).alias("fixable")) for k, r in enumerate(rules)])
-    return one.select(F.explode(rows).alias("x")).select("x.*")
+    one = flagged.agg(*[F.count_if(F.col(f"_r{k}")).alias(f"r{k}") for k in range(len(rules))])
+    rows = F.array(*[F.struct(F.lit(k).alias("_k"), F.lit(r.name).alias("rule"), F.lit(r.column).alias("column_name"), F.lit(r.severity).alias("severity"), F.col(f"r{k}").alias("violations"), F.lit(r.fix is not None).alias("fixable")) for k, r in enumerate(rules)])
+    cells = F.array_compact(F.array(*[F.when(F.col(f"_r{k}") & F.col(r.column).isNotNull(), F.struct(F.lit(k).alias("_s"), F.col(r.column).cast("string").alias("value"))) for k, r in enumerate(rules)]))
+    values = flagged.select(F.explode(cells).alias("x")).select("x.*").distinct()
+    first = values.withColumn("_n", F.row_number().over(Window.partitionBy("_s").orderBy("value"))).filter(F.col("_n") <= samples)
+    first = first.groupBy("_s").agg(F.sort_array(F.collect_list("value")).alias("samples"))  # at most `samples` values a rule
+    out = one.select(F.explode(rows).alias("x")).select("x.*").join(F.broadcast(first), F.col("_k") == F.col("_s"), "left")  # a row for each rule
+    return out.select("rule", "column_name", "severity", "violations", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"), "fixable")
 
 
 def score(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamworks.operators.ranges import running
@@ -49,10 +49,10 @@ def multiclass(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def class_distribution(df: DataFrame, column: str) -> DataFrame:
-    """class, n, and the ratio of the largest class to the smallest. The window is over classes, not rows."""
+    """class, n, and the ratio of the largest class to the smallest."""
     counts = df.groupBy(F.col(column).alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(F.lit(1))
-    return counts.select("class", "n", (F.max("n").over(w) / F.min("n").over(w)).alias("imbalance"))
+    ends = counts.agg((F.max("n") / F.min("n")).alias("imbalance"))
+    return counts.crossJoin(F.broadcast(ends))  # one row
 
 
 def calibration(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:

@@ -210,7 +210,10 @@ def histogram(s, d):
     return profile.histogram(read_table(s, d, "orders"), "o_totalprice").withColumns({"lo": F.round("lo", 4), "hi": F.round("hi", 4)})
 
 
-@query("SELECT * FROM (VALUES ('bigint', 2::BIGINT), ('double', 1), ('string', 2), ('timestamp_ntz', 1)) t(dtype, n)")
+_KIND = "CASE column_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END"
+
+
+@query(f"SELECT {_KIND} AS dtype, count(*) AS n FROM (DESCRIBE orders) GROUP BY 1")
 def dtype_histogram(s, d):
     return profile.dtype_histogram(read_table(s, d, "orders"))
 
@@ -225,19 +228,51 @@ def target_type(s, d):
     return profile.target_kind(read_table(s, d, "lineitem"), "l_quantity")
 
 
-@query("SELECT 'healthcare' AS domain")
+_DOMAIN_TABLES = ("patient_visit", "order_intake", "test_data", "orders", "customer", "lineitem", "documents", "scraping_result", "structured_card", "events")
+_DOMAIN_ROWS = ", ".join(f"('{domain}', {-k}, '{word}')" for k, (domain, words) in enumerate(profile.DOMAIN_WORDS.items()) for word in words)
+_DOMAIN_NAMES = " UNION ALL ".join(f"SELECT '{t}' AS table_name, lower(column_name) AS c FROM (DESCRIBE {t})" for t in _DOMAIN_TABLES)
+
+
+@query(f"WITH n AS ({_DOMAIN_NAMES}), w(domain, rank, word) AS (VALUES {_DOMAIN_ROWS}), h AS (SELECT table_name, domain, rank, count(DISTINCT word) FILTER (WHERE contains(c, word)) AS hits FROM n, w GROUP BY 1, 2, 3) SELECT table_name, CASE WHEN max(hits) = 0 THEN 'general' ELSE arg_max(domain, hits * 10 + rank) END AS domain FROM h GROUP BY 1")
 def domain_detect(s, d):
-    return s.createDataFrame([(profile.domain_of(visits(s, d).columns),)], "domain string")
+    return s.createDataFrame([(t, profile.domain_of(read_table(s, d, t).columns)) for t in _DOMAIN_TABLES], "table_name string, domain string")
+
+
+_WARNED = {"orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"), "test_data": ("row_id", "id", "feed", "load_no")}
+_NUMERIC = ("o_orderkey", "o_custkey", "o_totalprice", "row_id", "load_no")
 
 
-@query("SELECT 'o_orderkey' AS column_name, 'numeric_identifier' AS warning UNION ALL SELECT 'o_custkey', 'numeric_identifier'")
+def _warning_sql(t: str, c: str) -> str:
+    named = c in _NUMERIC and any(w in c for w in ("id", "key", "code", "number"))
+    rules = [(f"count({c}) = 0 AND count(*) > 0", "all_missing"), (f"count(DISTINCT {c}) = 1", "constant")] + [("count(*) > 0", "numeric_identifier")] * named
+    return " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{name}' AS warning FROM {t} HAVING {rule}" for rule, name in rules)
+
+
+@query(" UNION ALL ".join(_warning_sql(t, c) for t, cs in _WARNED.items() for c in cs))
 def schema_warnings(s, d):
-    return profile.schema_warnings(read_table(s, d, "orders"))
+    each = [profile.schema_warnings(read_table(s, d, t), list(cs)).select(F.lit(t).alias("table_name"), "column_name", "warning") for t, cs in _WARNED.items()]
+    return each[0].unionByName(each[1])
+
+
+_TYPED = ("customer_id", "name", "email", "phone", "age", "status", "order_date", "price", "rating", "category")
+
+
+def _type_sql(c: str) -> str:
+    """The cascade of column types for a text column, over its values and its first 100 values."""
+    has = lambda *ws: "true" if any(w in c for w in ws) else "false"
+    share = lambda p: f"(SELECT avg(regexp_matches({c}, '{p}')::INTEGER) FROM (SELECT {c} FROM order_intake WHERE {c} IS NOT NULL ORDER BY order_no LIMIT 100))"
+    u = f"count(DISTINCT {c})"
+    return (
+        f"SELECT '{c}' AS column_name, CASE WHEN {has('id', 'key', 'hash', 'uuid')} AND ({u} = count(*) OR {u} > 0.95 * count(*)) THEN 'id_hash' WHEN {u} <= 2 AND coalesce(bool_and(lower({c}) IN ('true', 'false', '1', '0', 'yes', 'no', 'y', 'n')), true) THEN 'boolean' "
+        f"WHEN {has('email')} OR {share('^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{2,}$')} > 0.7 THEN 'email' WHEN {has('phone')} OR {share('[+]?[1-9]?[0-9]{7,15}')} > 0.5 THEN 'phone' WHEN {has('url', 'link')} OR {share('^[A-Za-z][A-Za-z0-9+.-]*://[^/?#[:space:]]+')} > 0.5 THEN 'url' "
+        f"WHEN {has('date', 'time', 'created', 'updated')} THEN 'date_datetime' WHEN {has('price', 'cost', 'amount', 'value', 'currency')} THEN 'currency_price' WHEN {has('rating', 'score', 'grade', 'rank')} THEN 'rating_score' WHEN {has('code', 'sku', 'product_id')} THEN 'code' "
+        f"WHEN {u} < 50 THEN 'categorical_low' WHEN {u} < 0.1 * count(*) THEN 'categorical_high' ELSE 'free_text' END AS column_type FROM order_intake"
+    )
 
 
-@query("SELECT * FROM (VALUES ('customer_id', 'categorical_high'), ('email', 'email'), ('phone', 'phone'), ('status', 'categorical_low'), ('order_date', 'date_datetime'), ('price', 'currency_price'), ('rating', 'rating_score'), ('category', 'categorical_low')) t(column_name, column_type) WHERE column_name <> 'customer_id'")
+@query(" UNION ALL ".join(map(_type_sql, _TYPED)))
 def column_types(s, d):
-    return profile.column_types(orders(s, d), ["order_no"], ["email", "phone", "status", "order_date", "price", "rating", "category"])
+    return profile.column_types(orders(s, d), ["order_no"], list(_TYPED))
 
 
 # ---- imputation, outliers, encoding, scaling
@@ -357,9 +392,17 @@ def gate_unique(s, d):
     return gates.violations(visits(s, d), [gates.unique("patient_id")]).select("visit_no", (F.size("violated") > 0).alias("repeated"))
 
 
-@query("SELECT severity, count(*) AS n FROM (VALUES ('high'), ('medium'), ('critical')) t(severity) GROUP BY 1")
+@query(f"SELECT 'high' AS severity, count(*) FILTER (WHERE {_BAD_AGE}) AS n FROM patient_visit UNION ALL SELECT 'medium', count(*) FILTER (WHERE {_BAD_GENDER}) FROM patient_visit UNION ALL SELECT 'critical', count(*) FILTER (WHERE {_BAD_ID}) FROM patient_visit")
 def gate_severities(s, d):
-    return gates.report(visits(s, d), _visit_rules()).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    return gates.report(visits(s, d), _visit_rules()).groupBy("severity").agg(F.sum("violations").alias("n"))
+
+
+_SAMPLES = [("age_range", "age", _BAD_AGE), ("gender_values", "gender", _BAD_GENDER)]
+
+
+@query(" UNION ALL ".join(f"SELECT '{rule}' AS rule, coalesce(string_agg(v, '|' ORDER BY v), '') AS samples FROM (SELECT DISTINCT {c}::VARCHAR AS v FROM patient_visit WHERE {bad} AND {c} IS NOT NULL ORDER BY v LIMIT 5)" for rule, c, bad in _SAMPLES))
+def gate_samples(s, d):
+    return gates.report(visits(s, d), _visit_rules()[:2]).select("rule", F.array_join("samples", "|").alias("samples"))
 
 
 @query(f"SELECT visit_no, {_BAD} AS quarantined FROM patient_visit")
@@ -460,10 +503,13 @@ def scrape_counts(s, d):
     return read_table(s, d, "scraping_result").agg(F.count_if("success").alias("succeeded"), F.count_if(~F.col("success")).alias("failed"))
 
 
-@query("SELECT result_id, result_id % 2 = 1 AS allowed FROM scraping_result")
+# Robots texts made of each page's url, so that rules of several forms occur.
+_ROBOTS = "CASE result_id % 5 WHEN 0 THEN concat('User-agent: *', chr(10), '  Disallow: /', split_part(url, '/', 4), ' ') WHEN 1 THEN concat('# ', url, chr(10), 'User-agent: *', chr(10), 'Allow: /') WHEN 2 THEN concat('User-agent: ', split_part(url, '/', 3), chr(10), 'Disallow:', chr(10), 'Sitemap: ', url) WHEN 3 THEN concat('USER-AGENT: *', chr(13), chr(10), 'DISALLOW: /', chr(13), chr(10)) END"
+
+
+@query(f"SELECT result_id, coalesce(NOT list_bool_or(list_transform(string_split({_ROBOTS}, chr(10)), lambda x: starts_with(lower(regexp_replace(x, '^\\s+|\\s+$', '', 'g')), 'disallow: /'))), true) AS allowed FROM scraping_result")
 def robots_check(s, d):
-    text = F.when(F.col("result_id") % 2 == 0, "User-agent: *\n  Disallow: / ").otherwise("User-agent: *\nAllow: /")
-    return read_table(s, d, "scraping_result").select("result_id", X.robots_allows(text).alias("allowed"))
+    return read_table(s, d, "scraping_result").select("result_id", X.robots_allows(F.expr(_ROBOTS)).alias("allowed"))
 
 
 @query("SELECT card_id, coalesce(array_to_string(entities['EMAIL'], ', '), '') AS emails FROM structured_card")
@@ -494,13 +540,8 @@ def html_cards(s, d):
     return cards.select("url", "card_type", "title", F.element_at("content", 1).alias("content"), html.by_label(F.col("entities"), "EMAIL").alias("emails"))
 
 
-@query("SELECT url, 'Founded in the year ' || result_id::VARCHAR || '. Write to desk' || result_id::VARCHAR || '@firm.example now. a' || result_id::VARCHAR AS summary FROM scraping_result WHERE false")
-def html_summary(s, d):
-    return html.extract(_pages(s, d)).filter(F.length("summary") < 5).select("url", "summary")
-
-
 @query("SELECT url, 'Founded in the year ' || result_id::VARCHAR || '. Write to desk' || result_id::VARCHAR || '@firm.example now.' AS summary FROM scraping_result")
-def html_page_summary(s, d):
+def html_summary(s, d):
     return html.extract(_pages(s, d)).select("url", "summary")
 
 
@@ -650,9 +691,12 @@ def unique_ratio(s, d):
     return profile.unique_ratio(orders(s, d), "customer_id")
 
 
-@query("SELECT 'category' AS target")
+_TARGETS = ("order_intake", "patient_visit", "orders", "lineitem", "documents")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, coalesce(max_by(column_name, k) FILTER (WHERE column_type = 'VARCHAR'), max_by(column_name, k)) AS target FROM (SELECT *, row_number() OVER () AS k FROM (DESCRIBE {t}))" for t in _TARGETS))
 def default_target(s, d):
-    return s.createDataFrame([(profile.default_target(orders(s, d).drop("loaded_at")),)], "target string")
+    return s.createDataFrame([(t, profile.default_target(read_table(s, d, t))) for t in _TARGETS], "table_name string, target string")
 
 
 @query("SELECT card_id, value FROM (SELECT card_id, unnest(entities['EMAIL']) AS value FROM structured_card)")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -85,7 +86,8 @@ class FileResult:
 
 
 def clean_file(spark: SparkSession, path: str, out: str, rules: Sequence[gates.Rule] = (), row_id: str | None = None, kind: str = "parquet", quarantine: bool = True) -> FileResult:
-    """Read, clean by column types, hold against rules, and write: data, quarantine, audit, metrics, report.
+    """Read, clean by column types, hold against rules, and write: data, model-ready data with its mappings, quarantine,
+    audit, profile, log, metrics, report.
 
     One plan for every size. Violating rows are left out of the data if `quarantine` is on, else kept; they are
     written apart in both cases. Errors of the input give success=False.
@@ -103,10 +105,21 @@ def clean_file(spark: SparkSession, path: str, out: str, rules: Sequence[gates.R
     paths = io.write((clean if quarantine else done.cleaned).drop(*drop), f"{out}/cleaned", kind)
     rows = bad.withColumn("violated", F.array_join("violated", ", ")).unionByName(done.quarantined.select(F.col("row_id").alias(key), "column_name", "original_value", "reason"), allowMissingColumns=True)
     io.write(rows, f"{out}/quarantine")
+    shown = done.cleaned.drop(*drop)
+    ready = preprocess(shown)
+    paths |= {f"ml_ready_{k}": v for k, v in io.write(ready.ml_ready, f"{out}/ml_ready", kind).items()}
+    for c, mapping in ready.mappings.items():
+        paths[f"mapping_{c}"] = io.write(mapping, f"{out}/mappings/{c}", "csv")["csv"]
+    overview = {"rows": done.audit.rows_in, "columns": len(shown.columns), "dtypes": dict(shown.dtypes), "domain": profile.domain_of(shown.columns), "profile": [r.asDict() for r in profile.column_profile(shown).collect()]}  # a row for each column
+    io.write_json(overview, f"{out}/data_profile.json")
+    log = [{"step": f"clean {d.column}", "type": d.column_type, "rules": d.rules} for d in done.audit.decisions] + ready.steps
+    io.write_json(log, f"{out}/cleaning_log.json")
+    io.write_text(report.log_summary(log), f"{out}/cleaning_log.txt")
     score = gates.score(done.cleaned, rules).first()
     violated = [r.asDict() for r in gates.report(done.cleaned, rules).collect()] if rules else []
     io.write_json(done.audit.as_dict(), f"{out}/audit.json")
-    io.write_json({"quality_score": score["quality_score"], "violations": violated}, f"{out}/quality.json")
+    by = Counter(v["severity"] for v in violated if v["violations"])
+    io.write_json({"quality_score": score["quality_score"], "rows": score["rows"], "rules": len(rules), "rules_violated": score["rules_violated"], "violating_cells": sum(v["violations"] for v in violated), "by_severity": by, "fixable": sum(v["fixable"] for v in violated), "violations": violated}, f"{out}/quality.json")
     report.write_markdown(f"{out}/quality.md", score["quality_score"], violated)
-    paths |= {"quarantine": f"{out}/quarantine", "audit": f"{out}/audit.json", "quality": f"{out}/quality.json", "report": f"{out}/quality.md"}
+    paths |= {"profile": f"{out}/data_profile.json", "log": f"{out}/cleaning_log.json", "log_text": f"{out}/cleaning_log.txt", "quarantine": f"{out}/quarantine", "audit": f"{out}/audit.json", "quality": f"{out}/quality.json", "report": f"{out}/quality.md"}
     return FileResult(True, paths, score["quality_score"], score["rows"], rows.count(), time.monotonic() - began)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamworks.sources import io
+
 
 def quality_markdown(score: float, violations: list[dict]) -> str:
     """Score, counts by severity, violations with a sample, fixes and advice."""
@@ -16,15 +17,13 @@ def quality_markdown(score: float, violations: list[dict]) -> str:
     by = Counter(v["severity"] for v in broken)
     lines = ["# Data quality report", "", f"Score: {score:.3f}", "", "## By severity", *(f"- {s}: {n}" for s, n in sorted(by.items())), "", "## Violations"]
     for v in broken:
-        lines.append(f"- {v['rule']} ({v['severity']}) on {v['column_name']}: {v['violations']} rows, for example {v['sample']!r}" + (", can be fixed" if v.get("fixable") else ""))
+        lines.append(f"- {v['rule']} ({v['severity']}) on {v['column_name']}: {v['violations']} rows, for example " + ", ".join(map(repr, v["samples"])) + (", can be fixed" if v.get("fixable") else ""))
     lines += ["", "## Advice", "Look into the violations before using the data." if score < 0.8 else "The data can be used."]
     return "\n".join(lines) + "\n"
 
 
 def write_markdown(path: str, score: float, violations: list[dict]) -> str:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(quality_markdown(score, violations))
-    return path
+    return io.write_text(quality_markdown(score, violations), path)
 
 
 def log_summary(steps: list[dict]) -> str:
@@ -33,16 +32,21 @@ def log_summary(steps: list[dict]) -> str:
 
 
 def cards_markdown(cards: DataFrame, most: int = 1000) -> str:
-    """Cards (url, card_type, title, content) as a page; up to `most` of them."""
-    rows = cards.orderBy("url", "card_type").limit(most).collect()
+    """Cards (url, card_type, title, content) as a page; more than `most` are an error: write them with `write_cards`."""
+    rows = cards.orderBy("url", "card_type").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} cards: write them to files")
     return "\n".join(x for r in rows for x in (f"## {r['title']} ({r['card_type']})", r["url"] or "", *(f"- {c}" for c in r["content"] or []), ""))
 
 
 def write_cards(cards: DataFrame, out: str) -> dict[str, str]:
-    """Cards as JSON lines, and their content as plain text."""
+    """All cards as JSON lines, as a table in CSV (lists and entities as JSON), as markdown, and their content as plain text."""
     cards.write.mode("overwrite").json(f"{out}/cards")
+    io.write(cards, f"{out}/cards_csv", "csv")
+    page = F.concat(F.format_string("## %s (%s)\n", F.coalesce("title", F.lit("")), "card_type"), F.coalesce("url", F.lit("")), F.array_join(F.transform(F.coalesce("content", F.array().cast("array<string>")), lambda c: F.concat(F.lit("\n- "), c)), ""), F.lit("\n"))
+    cards.sortWithinPartitions("url", "card_type").select(page.alias("value")).write.mode("overwrite").text(f"{out}/markdown")
     cards.select(F.array_join("content", "\n").alias("value")).filter("value IS NOT NULL").write.mode("overwrite").text(f"{out}/text")
-    return {"cards": f"{out}/cards", "text": f"{out}/text"}
+    return {"cards": f"{out}/cards", "csv": f"{out}/cards_csv", "markdown": f"{out}/markdown", "text": f"{out}/text"}
 
 
 def export_log(steps: list[dict], kind: str = "json") -> str:
@@ -62,9 +66,10 @@ def write_entities(cards: DataFrame, out: str, labels: list[str]) -> dict[str, s
     return paths
 
 
-def merged_audits(audits: DataFrame) -> DataFrame:
-    """Audits (rows_in, quarantined_cells, decisions) of parts as one: sums, and all decisions."""
-    return audits.agg(F.sum("rows_in").alias("rows_in"), F.sum("quarantined_cells").alias("quarantined_cells"), F.flatten(F.collect_list("decisions")).alias("decisions"))
+def merged_audits(audits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Audits (rows_in, quarantined_cells, decisions) of parts as one: a row of sums, and all decisions, a row for each."""
+    sums = audits.agg(F.sum("rows_in").alias("rows_in"), F.sum("quarantined_cells").alias("quarantined_cells"), F.coalesce(F.sum(F.size("decisions")), F.lit(0)).alias("decisions"))
+    return sums, audits.select(F.explode("decisions").alias("d")).select("d.*")
 
 
 def progress(spark: SparkSession) -> dict[int, tuple[int, int]]:

@@ -69,13 +69,27 @@ def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: Sequenc
     return out
 
 
-def write_json(value: dict, path: str) -> str:
-    """A small record as a JSON file of the driver."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value, indent=2, ensure_ascii=False, default=lambda x: x.isoformat() if isinstance(x, datetime) else str(x)))
+def write_text(text: str, path: str) -> str:
+    """A small text as one file of the file system that the path names (as Spark would write it); overwrites."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(text)
+        return path
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
     return path
 
 
+def write_json(value: dict | list, path: str) -> str:
+    """A small record as a JSON file."""
+    return write_text(json.dumps(value, indent=2, ensure_ascii=False, default=lambda x: x.isoformat() if isinstance(x, datetime) else str(x)), path)
+
+
 def write_mappings(mappings: DataFrame, path: str, kind: str = "csv", most: int = 100_000) -> str:
     """Label mappings (column_name, code, original_value) as `csv` (by Spark), or `json` or `markdown` (by the driver, up to `most` rows)."""
     if kind == "csv":
@@ -90,5 +104,4 @@ def write_mappings(mappings: DataFrame, path: str, kind: str = "csv", most: int
     if kind == "json":
         return write_json(by, path)
     lines = [x for c, m in by.items() for x in (f"## {c}", "", "| code | value |", "|---|---|", *(f"| {k} | {v} |" for k, v in m.items()), "")]
-    Path(path).write_text("\n".join(["# Mappings", "", *lines]))
-    return path
+    return write_text("\n".join(["# Mappings", "", *lines]), path)

@@ -50,7 +50,7 @@ def test_entry(spark, small):
 def test_every_page_has_its_summary(spark, small):
     """The query gives a row for each page; long cards end in dots and pages without cards say so."""
     pages = spark.read.parquet(f"{small}/scraping_result.parquet").count()
-    got = catalog.QUERIES["html_page_summary"](spark, small).collect()
+    got = catalog.QUERIES["html_summary"](spark, small).collect()
     assert len(got) == pages > 0 and all(r["summary"].startswith("Founded in the year ") for r in got)
     long = "<h2>About us</h2><p>" + " ".join(f"word{i}" for i in range(30)) + "</p>"
     rows = [("a", f"<html><body>{long}</body></html>"), ("b", "<html><body></body></html>")]

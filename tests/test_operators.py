@@ -99,6 +99,54 @@ def test_file_clean_round_trip(spark, tmp_path):
     bad = pipeline.clean_file(spark, f"{tmp_path}/x.txt", f"{tmp_path}/o2")
     assert not bad.success and "Unsupported file format" in bad.error
     assert cli.parser().parse_args(["clean-data", "a", "b"]).command == "clean-data"
+    # the model-ready table, the profile and the log are written too
+    assert spark.read.parquet(done.paths["ml_ready_parquet"]).count() == 3
+    overview = json.load(open(done.paths["profile"]))
+    assert overview["rows"] == 3 and {r["column_name"] for r in overview["profile"]} == {"rid", "Email", "age"}
+    assert json.load(open(done.paths["log"])) and "clean Email" in open(done.paths["log_text"]).read()
+    quality = json.load(open(done.paths["quality"]))
+    assert quality["rules_violated"] == 1 and quality["by_severity"] == {"high": 1} and quality["violations"][0]["samples"] == ["200.0"]
+
+
+def test_rules_by_domain(spark, tmp_path):
+    path = f"{tmp_path}/rules.json"
+    spec = {"clinic": [{"range": ["age", 0, 150], "clip": True}, {"set": ["kind", ["a", "b"]], "severity": "low"}, {"not_null": "rid"}, {"unique": "rid"}, {"pattern": ["kind", "^.$"]}]}
+    with open(path, "w") as f:
+        json.dump(spec, f)
+    rules = cli.rules_of(spark, path, "clinic")
+    df = spark.createDataFrame([(1, 200, "a"), (1, 5, "cc"), (None, -1, None)] + [(k, 300 + k, "b") for k in range(2, 9)], "rid int, age int, kind string")
+    got = {r["rule"]: r for r in gates.report(df, rules).collect()}
+    assert got["age_range"]["violations"] == 9 and got["age_range"]["samples"] == ["-1", "200", "302", "303", "304"]
+    assert got["kind_values"]["samples"] == ["cc"] and got["rid_not_null"]["samples"] == [] and got["rid_unique"]["violations"] == 2
+    assert cli.rules_of(spark, None, "general") == [] and cli.rules_of(spark, path, "general") == []
+    with pytest.raises(ValueError, match="no rules of domain"):
+        cli.rules_of(spark, path, "none")
+    with pytest.raises(ValueError, match="not a rule"):
+        gates.from_spec([{"range": ["a", 0, 1], "set": ["a", []]}])
+    assert cli.main(["clean-data", f"{tmp_path}/none.txt", f"{tmp_path}/o", "--disable-quality-gates"]) == 1
+
+
+def test_domains_count_words_not_columns():
+    # three columns of one word weigh no more than one
+    assert profile.domain_of(["amount_a", "amount_b", "amount_c", "product", "review"]) == "retail"
+    assert profile.domain_of(["Treatment", "debit", "payment"]) == "finance" and profile.domain_of(["inventory"]) == "retail"
+    assert profile.domain_of(["patient_id", "account"]) == "healthcare" and profile.domain_of(["xyz"]) == "general" and profile.domain_of([]) == "general"
+    for domain, words in profile.DOMAIN_WORDS.items():
+        assert all(profile.domain_of([w.upper()]) == domain for w in words)
+
+
+def test_dates_filled_on_narrow_rows(spark):
+    rows = [(k, None if k % 3 else f"2020-01-{k % 28 + 1:02d}", None if k < 50 or k % 7 else float(k), "wide") for k in range(200)]
+    df = spark.createDataFrame(rows, "rid int, day string, x double, other string").repartition(7)
+    for backward in (False, True):
+        got = {r["rid"]: (r["day"], r["x"]) for r in ranges.filled(df, ["day", "x"], "rid", ["rid"], backward).collect()}
+        day, x = None, None
+        for rid, d, v, _ in rows:
+            day, x = d or day, v if v is not None else x
+            if d is None or v is None:
+                assert got[rid] == (day, x if x is not None or not backward else 56.0)
+            else:
+                assert rid not in got
 
 
 def test_headers(spark):
@@ -144,16 +192,38 @@ def test_fetch(spark):
 
     urls = spark.createDataFrame([("http://a",), ("http://bad",), (None,)], "url string")
     got = {r["url"]: r for r in fetch.fetch_pages(urls, attempts=2, backoff=0.0, fetch=source).collect()}
+    # a host's robots text is asked for first
+    asked = []
+
+    def guarded(url):
+        asked.append(url)
+        return "User-agent: *\nDisallow: /private" if url.endswith("robots.txt") else "page"
+
+    known = {}
+    assert fetch.robots_rules("http://h", guarded, known) == fetch.robots_rules("http://h", guarded, known) and asked == ["http://h/robots.txt"]
+    assert fetch.blocked(known["http://h"], "http://h/open") and not fetch.blocked(known["http://h"], "http://h/open", "loamworks") and fetch.blocked(known["http://h"], "http://h/private/x", "loamworks")
+    assert not fetch.blocked(None, "http://h/x") and not fetch.blocked("User-agent: *\nAllow: /", "http://h/x")
+    pages = spark.createDataFrame([("http://h/a",)], "url string")
+    shut = lambda u: "Disallow: /" if u.endswith("robots.txt") else "page"
+    row = fetch.fetch_pages(pages, fetch=shut).first()
+    assert not row["success"] and row["error_message"] == "blocked by robots.txt"
+    assert fetch.fetch_pages(pages, fetch=shut, robots=False).first()["success"]
     assert got["http://a"]["success"] and not got["http://bad"]["success"] and "no route" in got["http://bad"]["error_message"] and not got[None]["success"]
 
 
 def test_reports(spark, tmp_path):
-    text = report.quality_markdown(0.5, [{"rule": "r", "severity": "high", "column_name": "c", "violations": 2, "sample": "x", "fixable": True}])
+    text = report.quality_markdown(0.5, [{"rule": "r", "severity": "high", "column_name": "c", "violations": 2, "samples": ["x", "y"], "fixable": True}])
     assert "high: 1" in text and "can be fixed" in text
     assert report.log_summary([{"step": "a", "n": 1}]) == "1. a: n=1"
     cards = spark.createDataFrame([("u", "about", "T", ["x", "y"])], "url string, card_type string, title string, content array<string>")
     assert "- y" in report.cards_markdown(cards)
-    assert spark.read.text(report.write_cards(cards, str(tmp_path))["text"]).count() == 2
+    paths = report.write_cards(cards, str(tmp_path))
+    assert spark.read.text(paths["text"]).count() == 2 and "- y" in [r[0] for r in spark.read.text(paths["markdown"]).collect()]
+    assert spark.read.option("header", True).option("escape", '"').csv(paths["csv"]).first()["content"] == '["x","y"]'
+    with pytest.raises(ValueError, match="more than"):
+        report.cards_markdown(cards.unionAll(cards), 1)
+    sums, decisions = report.merged_audits(spark.createDataFrame([(3, 1, [("a", "t")]), (4, 0, [("b", "t"), ("c", "u")])], "rows_in int, quarantined_cells int, decisions array<struct<column: string, column_type: string>>"))
+    assert tuple(sums.first()) == (7, 1, 3) and {r["column"] for r in decisions.collect()} == {"a", "b", "c"}
 
 
 def test_models(spark):
