@@ -1,9 +1,8 @@
 """Column-level quality profile of large Parquet tables (problem 3).
 
 Footers are read in tasks: a column chunk's statistics give its exact nulls, and its
-extrema where they are complete. Dictionary-encoded chunks are decoded by dictionary
-entry for distinct candidates. Only chunks whose statistics leave the question open are
-scanned. For the profile of each feed and load a chunk is settled by its footer where it
+extrema where they are proved. The dictionary page of a chunk gives its distinct values,
+and the extrema that the footer leaves open. Only chunks that neither settles are scanned. For the profile of each feed and load a chunk is settled by its footer where it
 holds a single load and nothing but nulls in the column; else its values are counted once
 for each load, and all measures follow from these counts.
 """
@@ -16,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamworks.operators.chunks import chunk_dictionary
 from loamworks.operators.ranges import previous
 from loamworks.session import cut
 
@@ -26,107 +26,148 @@ NO_SIGN = r"^[^\p{L}\p{N}@]*$"
 AGE_FORM = r"^[+-]?[0-9]+([.][0-9]+)?$"
 EMAIL_FORM = r"^[^\s\p{Z}@]+@[^\s\p{Z}@]+[.][^\s\p{Z}@.]+$"
 EPSILON = 1e-9
-SETTLED = 10_000  # files at most that are left out of a scan by their footers
 
 CHUNK_SCHEMA = "file string, row_group int, rows long, column_name string, nulls long, lo string, hi string, exact boolean, dictionary boolean"
+FIXED_WIDTH = ("BOOLEAN", "INT32", "INT64")  # physical types whose statistics are never cut short
 
 
-def files_of(spark: SparkSession, path: str, per_task: int = 4) -> DataFrame:
-    """The data files of a Parquet table, spread over tasks."""
-    files = sorted(spark.read.parquet(path).inputFiles())
-    return spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, len(files) // per_task))
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """The data files of a Parquet table, found by tasks: a scan of no column yields the files' names."""
+    return spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file")).distinct()
 
 
-def _open(uri: str):
+def _system(uri: str):
     from urllib.parse import unquote
 
     import pyarrow.fs as fs
-    import pyarrow.parquet as pq
 
     system, place = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-    return pq.ParquetFile(unquote(place) if "%" in place else place, filesystem=system)
+    return system, unquote(place) if "%" in place else place
 
 
-def footer_chunks(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+def _proved(chunk, nulls: int | None, rows: int) -> bool:
+    """Whether a chunk's extrema are proved by its footer: of a type that no writer cuts short, or marked as exact; or no value at all."""
+    s = chunk.statistics
+    if nulls is not None and nulls == rows:
+        return True
+    if s is None or not s.has_min_max:
+        return False
+    return chunk.physical_type in FIXED_WIDTH or (getattr(s, "is_min_value_exact", None) is True and getattr(s, "is_max_value_exact", None) is True)
+
+
+def _nulls(chunk) -> int | None:
+    return chunk.statistics.null_count if chunk.statistics is not None and chunk.statistics.has_null_count else None
+
+
+def footer_chunks(spark: SparkSession, path: str, columns: Sequence[str], coded: Sequence[str] = ()) -> DataFrame:
     """A row for each column chunk of a table, from footers alone: rows, nulls (null if the footer has none), extrema as text.
 
-    `exact` says that nulls and extrema are valid: statistics are there and neither end is cut short.
+    `exact` says that nulls and extrema are valid: the nulls are counted and the extrema proved not to be cut short.
+    The dictionary page proves them for the columns in `coded` whose footers don't.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.parquet as pq
+
         for b in batches:
             out = []
             for uri in b["file"]:
-                meta = _open(uri).metadata
+                system, place = _system(uri)
+                meta = pq.ParquetFile(place, filesystem=system).metadata
                 places = {meta.schema.column(i).path: i for i in range(len(meta.schema))}
                 for g in range(meta.num_row_groups):
                     group = meta.row_group(g)
                     for c in columns:
                         chunk = group.column(places[c])
-                        s = chunk.statistics
-                        nulls = s.null_count if s is not None and s.has_null_count else None
-                        ends = s is not None and s.has_min_max and getattr(s, "is_min_value_exact", None) is not False and getattr(s, "is_max_value_exact", None) is not False
-                        coded = any(str(e).endswith("DICTIONARY") for e in chunk.encodings)
-                        out.append((uri, g, group.num_rows, c, nulls, str(s.min) if ends else None, str(s.max) if ends else None, nulls is not None and (ends or nulls == group.num_rows), coded))
+                        nulls, proved = _nulls(chunk), _proved(chunk, _nulls(chunk), group.num_rows)
+                        lo, hi = (chunk.statistics.min, chunk.statistics.max) if proved and nulls != group.num_rows else (None, None)
+                        if not proved and c in coded:
+                            with system.open_input_file(place) as file:
+                                found = chunk_dictionary(file, chunk)
+                            proved = found.complete
+                            values = [v.decode("utf-8", "surrogateescape") if isinstance(v, bytes) else v for v in found.values]
+                            lo, hi = min(values, default=None), max(values, default=None)
+                        out.append((uri, g, group.num_rows, c, nulls, None if lo is None else str(lo), None if hi is None else str(hi), nulls is not None and proved, chunk.has_dictionary_page))
             yield pd.DataFrame(out, columns=[f.split()[0] for f in CHUNK_SCHEMA.split(", ")])
 
     return files_of(spark, path).mapInPandas(read, CHUNK_SCHEMA)
 
 
-def distinct_candidates(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """column_name and value: the values of each chunk, once, from its dictionary."""
+READ_SCHEMA = "column_name string, value string, rows long, nulls long, lo string, hi string, footer long, dictionary long, scan long, of long"
+
+
+def chunk_values(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """For each column chunk a row with its rows, nulls and extrema, and a row for each of its distinct values.
+
+    The footer gives nulls and proved extrema, the dictionary page the distinct values and extrema that the footer
+    leaves open; only a chunk whose data pages do not all refer to a dictionary, or whose nulls are not counted, is
+    scanned, it alone. `footer`, `dictionary` and `scan` are 1 for the source of a chunk's distinct values (`footer`: a
+    chunk without values); `of` is the number of bytes of the chunk that were read.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow as pa
+        import pyarrow.parquet as pq
 
+        names = [f.split()[0] for f in READ_SCHEMA.split(", ")]
         for b in batches:
             for uri in b["file"]:
-                file = _open(uri)
-                for g in range(file.num_row_groups):
-                    for c in columns:
-                        column = file.read_row_group(g, columns=[c]).column(0)
-                        values: set = set()
-                        for part in column.chunks:
-                            coded = part if pa.types.is_dictionary(part.type) else part.dictionary_encode()
-                            values.update(coded.dictionary.to_pylist())
-                        values.discard(None)
-                        if values:
-                            yield pd.DataFrame({"column_name": c, "value": sorted(map(str, values))})
-
-    return files_of(spark, path).mapInPandas(read, "column_name string, value string")
+                system, place = _system(uri)
+                whole = pq.ParquetFile(place, filesystem=system)
+                meta = whole.metadata
+                places = {meta.schema.column(i).path: i for i in range(len(meta.schema))}
+                with system.open_input_file(place) as file:
+                    for g in range(meta.num_row_groups):
+                        for c in columns:
+                            chunk = meta.row_group(g).column(places[c])
+                            yield pd.DataFrame(_chunk_rows(whole, file, g, c, chunk, meta.row_group(g).num_rows), columns=names)
+
+    return files_of(spark, path).mapInPandas(read, READ_SCHEMA)
+
+
+def _chunk_rows(whole, file, g: int, c: str, chunk, rows: int) -> list[tuple]:
+    nulls = _nulls(chunk)
+    if nulls is not None and nulls == rows:
+        return [(c, None, rows, nulls, None, None, 1, 0, 0, 0)]
+    found = chunk_dictionary(file, chunk)
+    read, scanned = found.bytes_read, 0
+    if found.complete and nulls is not None:
+        values = {v.decode("utf-8", "surrogateescape") if isinstance(v, bytes) else v for v in found.values}
+    else:
+        cells = whole.read_row_group(g, columns=[c]).column(0)
+        nulls, scanned, read = cells.null_count, 1, read + chunk.total_compressed_size
+        values = {v for v in cells.unique().to_pylist() if v is not None}
+    if _proved(chunk, nulls, rows) and nulls != rows:
+        lo, hi = chunk.statistics.min, chunk.statistics.max
+    else:
+        lo, hi = min(values, default=None), max(values, default=None)
+    text = lambda v: None if v is None else str(v)
+    return [(c, None, rows, nulls, text(lo), text(hi), 0, 1 - scanned, scanned, read)] + [(c, str(v), 0, 0, None, None, 0, 0, 0, 0) for v in values]
 
 
 def table_profile(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """rows, nulls, distinct values and extrema (as text) of each column of a Parquet table.
+    """rows, nulls, distinct values and extrema (as text) of each column of a Parquet table, by `chunk_values`.
 
-    Nulls and extrema come from footers; a column is scanned only if some chunk's statistics are not exact.
-    An empty table gives 0 rows and null extrema. Columns must be text or integers.
+    Values are made distinct by (column, value) with sums before the shuffle. An empty table gives 0 rows and
+    null extrema. Columns must be text or integers.
     """
-    chunks = footer_chunks(spark, path, columns)
     kinds = dict(spark.read.parquet(path).dtypes)
-    summed = chunks.groupBy("column_name").agg(F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.bool_and("exact").alias("exact"), *[x for c in columns for x in _extrema(c, kinds[c])])
-    rows = {r["column_name"]: r for r in summed.collect()}  # a row for each column
-    distinct = distinct_candidates(spark, path, columns).distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
-    found = {r["column_name"]: r["n"] for r in distinct.collect()}
-    open_columns = [c for c in columns if c not in rows or not rows[c]["exact"]]
-    scanned = {}
-    if open_columns:
-        t = spark.read.parquet(path)
-        one = t.agg(*[x for c in open_columns for x in (F.count(F.lit(1)).alias(f"{c}|rows"), F.count_if(F.col(c).isNull()).alias(f"{c}|nulls"), F.min(c).cast("string").alias(f"{c}|lo"), F.max(c).cast("string").alias(f"{c}|hi"))]).first()
-        scanned = one.asDict()
-    out = []
-    for c in columns:
-        if c in open_columns:
-            out.append((c, scanned[f"{c}|rows"], scanned[f"{c}|nulls"], found.get(c, 0), scanned[f"{c}|lo"], scanned[f"{c}|hi"]))
-        else:
-            out.append((c, rows[c]["rows"], rows[c]["nulls"], found.get(c, 0), rows[c][f"lo_{c}"], rows[c][f"hi_{c}"]))
-    return spark.createDataFrame(out, "column_name string, rows long, nulls long, distinct_values long, lo string, hi string")
+    by_value = chunk_values(spark, path, columns).groupBy("column_name", "value").agg(F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), *[x for c in columns for x in _extrema(c, kinds[c])])
+    one = by_value.groupBy("column_name").agg(F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.count("value").alias("d"), *[f(x).alias(x) for c in columns for f, x in ((F.min, f"lo_{c}"), (F.max, f"hi_{c}"))])
+    end = lambda side: F.coalesce(*[F.when(F.col("column_name") == c, F.col(f"{side}_{c}").cast("string")) for c in columns])
+    named = spark.createDataFrame([(c,) for c in columns], "column_name string")
+    out = named.join(F.broadcast(one), "column_name", "left")  # a row for each column
+    return out.select("column_name", *[F.coalesce(x, F.lit(0)).alias(y) for x, y in (("rows", "rows"), ("nulls", "nulls"), ("d", "distinct_values"))], end("lo").alias("lo"), end("hi").alias("hi"))
+
+
+def profile_costs(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """For each column: how many chunks its footers, dictionaries and scans settled, and the bytes of chunks that were read."""
+    return chunk_values(spark, path, columns).groupBy("column_name").agg(*[F.sum(x).alias(y) for x, y in (("footer", "by_footer"), ("dictionary", "by_dictionary"), ("scan", "by_scan"), ("of", "bytes_read"))])
 
 
 def _extrema(c: str, kind: str) -> list[Column]:
     own = F.col("column_name") == c
     as_kind = lambda x: F.when(own, F.col(x).try_cast(kind))
-    return [F.min(as_kind("lo")).cast("string").alias(f"lo_{c}"), F.max(as_kind("hi")).cast("string").alias(f"hi_{c}")]
+    return [F.min(as_kind("lo")).alias(f"lo_{c}"), F.max(as_kind("hi")).alias(f"hi_{c}")]
 
 
 def trimmed(c: Column) -> Column:
@@ -144,24 +185,21 @@ def load_counts(spark: SparkSession, path: str, columns: Sequence[str], feed: st
     Partial counts run before the shuffle, which is keyed by load, column and value: no load is one task's work.
     Files that their footers settle (one load, nothing but nulls in every column) are not scanned.
     """
-    chunks = footer_chunks(spark, path, [feed, load, *columns])
+    chunks = footer_chunks(spark, path, [feed, load, *columns], [feed, load])
     per_file = chunks.groupBy("file").agg(
         F.max(F.when(F.col("column_name") == feed, F.col("lo"))).alias("feed"), F.max(F.when(F.col("column_name") == load, F.col("lo"))).alias("load_no"),
         F.bool_and(F.when(F.col("column_name").isin(feed, load), F.col("exact") & (F.col("nulls") == 0) & (F.col("lo") == F.col("hi")))).alias("one_each"),
         F.countDistinct(F.when(F.col("column_name").isin(feed, load), F.struct("column_name", "lo"))).alias("keys"),
         F.bool_and(F.when(~F.col("column_name").isin(feed, load), F.coalesce(F.col("nulls") == F.col("rows"), F.lit(False)))).alias("empty"), F.sum(F.when(F.col("column_name") == feed, F.col("rows"))).alias("rows"),
     ).filter("one_each and empty and keys = 2")
-    # files beyond SETTLED are scanned like any other: the result is the same
-    settled = [(r["file"], r["feed"], int(r["load_no"]), r["rows"]) for r in per_file.limit(SETTLED).collect()]
-    t = spark.read.parquet(path)
-    if settled:
-        t = t.filter(~F.col("_metadata.file_path").isin(*[s[0] for s in settled]))
+    settled = cut(per_file.select("file", "feed", F.col("load_no").cast("int").alias("load_no"), "rows"))  # a row for each such file
+    t = spark.read.parquet(path).withColumn("_file", F.col("_metadata.file_path"))
+    t = t.join(settled.select(F.col("file").alias("_file")), "_file", "left_anti")
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lower(trimmed(F.col(c).cast("string"))).alias("cell")) for c in columns]))
     long = t.select(F.col(feed).alias("feed"), F.col(load).alias("load_no"), cells.alias("x")).select("feed", "load_no", "x.column_name", F.when(~is_missing(F.col("x.cell")), F.col("x.cell")).alias("value"))
     counts = long.groupBy("feed", "load_no", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    if settled:
-        known = spark.createDataFrame([(f, n, c, None, rows) for _, f, n, rows in settled for c in columns], "feed string, load_no int, column_name string, value string, n long")
-        counts = counts.unionByName(known).groupBy("feed", "load_no", "column_name", "value").agg(F.sum("n").alias("n"))
+    known = settled.select("feed", "load_no", F.explode(F.array(*map(F.lit, columns))).alias("column_name"), F.lit(None).cast("string").alias("value"), F.col("rows").alias("n"))
+    counts = counts.unionByName(known).groupBy("feed", "load_no", "column_name", "value").agg(F.sum("n").alias("n"))
     return counts
 
 

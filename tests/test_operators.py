@@ -300,6 +300,43 @@ def test_table_profile_reads_footers(spark, tmp_path):
     assert (rows["c"]["nulls"], rows["c"]["distinct_values"], rows["c"]["lo"]) == (4, 0, None)
 
 
+CHUNKS = {"n": [None if i % 7 == 0 else i % 50 for i in range(4000)], "t": [None if i % 5 == 0 else f"wörd {i % 300} " + "x" * (i % 90) for i in range(4000)], "u": [f"only {i}" for i in range(4000)], "e": [None] * 4000}
+
+
+@pytest.mark.parametrize("options", [
+    {"compression": "none"}, {"compression": "snappy", "data_page_version": "2.0"}, {"compression": "gzip", "data_page_size": 500}, {"compression": "zstd", "row_group_size": 777}, {"compression": "lz4"}, {"compression": "brotli", "data_page_size": 200, "data_page_version": "2.0"},
+    {"use_dictionary": False}, {"dictionary_pagesize_limit": 300, "data_page_size": 300}, {"write_statistics": False, "row_group_size": 900}, {"use_dictionary": ["t"], "write_statistics": ["n", "e"]},
+])
+def test_profile_of_chunks_in_every_form(spark, tmp_path, options):
+    """Dictionary pages give what footers leave open; plain chunks, half plain ones and those without statistics are scanned."""
+    path = f"{tmp_path}/p.parquet"
+    pq.write_table(pa.table({"n": pa.array(CHUNKS["n"], pa.int32()), "t": CHUNKS["t"], "u": CHUNKS["u"], "e": pa.array(CHUNKS["e"], pa.string())}), path, **options)
+    rows = {r["column_name"]: r for r in quality.table_profile(spark, path, list(CHUNKS)).collect()}
+    costs = {r["column_name"]: r for r in quality.profile_costs(spark, path, list(CHUNKS)).collect()}
+    for c, values in CHUNKS.items():
+        there = [v for v in values if v is not None]
+        assert (rows[c]["rows"], rows[c]["nulls"], rows[c]["distinct_values"]) == (4000, 4000 - len(there), len(set(there)))
+        assert (rows[c]["lo"], rows[c]["hi"]) == ((str(min(there)), str(max(there))) if there else (None, None))
+    if options.get("use_dictionary") is False or options.get("write_statistics") is False:
+        assert costs["t"]["by_dictionary"] == 0 < costs["t"]["by_scan"]
+    elif "dictionary_pagesize_limit" in options:
+        assert costs["u"]["by_scan"] == 1  # some of its pages are plain
+    elif "use_dictionary" not in options:
+        size = sum(pq.ParquetFile(path).metadata.row_group(g).column(1).total_compressed_size for g in range(pq.ParquetFile(path).num_row_groups))
+        assert costs["t"]["by_scan"] == 0 < costs["t"]["by_dictionary"] and costs["e"]["bytes_read"] == 0
+        assert "data_page_size" in options or costs["t"]["bytes_read"] <= size * 1.2 + 8192 * 6
+
+
+def test_cut_statistics_are_not_trusted(spark, tmp_path):
+    """Extrema of text in a footer may be cut short, so they count only if a dictionary or a scan gives them."""
+    path = f"{tmp_path}/p.parquet"
+    pq.write_table(pa.table({"t": ["y" * 500, "a" * 500]}), path)
+    row = quality.footer_chunks(spark, path, ["t"]).first()
+    assert not row["exact"] and row["lo"] is None
+    row = quality.footer_chunks(spark, path, ["t"], ["t"]).first()
+    assert row["exact"] and row["lo"] == "a" * 500 and row["hi"] == "y" * 500
+
+
 def test_cut_survives_and_keeps_types(spark):
     df = spark.createDataFrame([(1, [1, 2], {"a": "b"})], "a int, b array<int>, c map<string,string>")
     assert cut(df).schema == df.schema and cut(df).collect() == df.collect()
