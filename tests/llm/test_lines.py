@@ -40,13 +40,26 @@ def test_repeated_lines(spark):
 
 
 def test_chunks_do_not_depend_on_place():
-    line = "letters " * 300
-    one = R.line_hashes([line])[0]
-    assert R.line_hashes(["before", "", line.upper(), "after"])[2] == one
+    r = random.Random(5)
+    line = " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(1500))
+    whole, chunks = R.line_hashes([line])[0]
+    assert R.line_hashes(["before", "", line.upper(), "after"])[2] == (whole, chunks)
+    assert len(chunks) > 20 and whole not in chunks
     assert R.line_hashes(["1 2 3", "", "½"])[0] is None
-    words = " ".join("".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=6)) for i in range(1500))
-    whole, chunks = R.line_hashes([words])[0]
-    assert len(chunks) > 5 and whole not in chunks
+    # newlines are no cuts: most chunks of two halves are those of the whole, and none is new but near the break
+    half = len(line) // 2
+    halves = [c for h in R.line_hashes([line[:half], line[half:]]) for c in h[1]]
+    assert set(halves) <= set(chunks) and len(halves) >= len(chunks) - 2
+
+
+def test_lines_settled_by_chunks(spark):
+    """Long lines that few pages hold are settled by their chunks; those that share some chunks with repeated ones are counted whole."""
+    words = lambda i, n=300: " ".join("".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(1)) + " " + " ".join("".join(random.Random(i * 1000 + k).choices("abcdefghijklmnopqrstuvwxyz", k=5)) for k in range(n))
+    common = words(1)
+    rows = [(i, f"http://a.example/{i}", f"{common}\n{words(100 + i)}\n{common} and {words(200 + i, 50)}\nshort {i % 2 * 'x'}") for i in range(9)]
+    got = {tuple(r) for r in R.repeated_lines(table(spark, rows)).collect()}
+    assert got == brute(rows) == {(i, 0) for i in range(9)}
+    assert {tuple(r) for r in R.repeated_lines(table(spark, rows), pages=4).collect()} == brute(rows, 4)
 
 
 def test_repeated_lines_on_the_tables(spark, small):
@@ -205,6 +218,7 @@ def test_cues_and_lists_in_long_lines():
 def test_a_line_is_not_counted_with_longer_ones_that_hold_it(spark):
     words = " ".join("".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=6)) for i in range(1500))
     letters = words.replace(" ", "")
-    heads = [n for n in range(40, 3000) if (h := R.line_hashes([letters[:n]])[0]) and len(h[1]) == 1 and h[1][0] == R.line_hashes([letters])[0][1][0]]
+    heads = [n for n in range(40, 3000) if len(R.line_hashes([letters[:n]])[0][1]) == 1]  # holds the first chunk of the longer line
+    assert R.line_hashes([letters[: heads[0]]])[0][1][0] == R.line_hashes([letters])[0][1][0]
     rows = [(i, f"http://a.example/{i}", letters if i < 5 else letters[: heads[0]]) for i in range(8)]
     assert heads and R.repeated_lines(table(spark, rows)).count() == 0
