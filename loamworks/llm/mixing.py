@@ -1,27 +1,35 @@
 """Mixing sources to target shares of tokens (problem 7).
 
-Documents of a source are packed end to end, in the order of a pseudorandom index
-permutation, into a stream of tokens cut into fixed-length blocks. Output shards
-draw how many of their slots each source gets; the draws are multinomial counts
-conditioned on the exact totals (drawn without replacement), since free draws would
-miss the target shares by their sampling error. A slot's number maps through the
-source's permutation to a block, and blocks are joined by index.
+Documents of a source are packed end to end, in a pseudorandom order, into a stream of
+tokens cut into fixed-length blocks. How many tokens, and so blocks, a source gives follows
+from its target; the documents that lie in these blocks are the mix. Output shards draw how
+many of their slots each source gets: multinomial counts conditioned on the exact totals
+(drawn without replacement), since free draws would miss the target shares by their sampling
+error. The draws form a seeded tree that halves the shards, so each task draws its own shards
+and none is planned on the driver. A slot's number maps through the source's pseudorandom
+index permutation to a block, and blocks are joined by index.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamworks.llm.tokenize import token_count
+from loamworks.operators.ranges import running
 from loamworks.session import cut
 
-BUCKETS = 1024  # ranges of the permuted index in which a source's tokens are summed
 BLOCK = 1024  # tokens of a block
 SLOTS = 256  # blocks of an output shard
+TARGETS_MOST = 10_000  # named sources at most; more are an error
+DRAWN_MOST = 500_000_000  # blocks up to which a node of the tree is drawn; larger ones are split in proportion, whose error is far below a block in a million
 
 
 def permuted_index(slot: Column, n: Column, seed: Column) -> Column:
@@ -64,64 +72,104 @@ def feistel(k: np.ndarray, n: int, seed: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def sized(documents: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **tokenizer) -> DataFrame:
-    """key, source, tokens and place of the documents of named sources; the place is the pseudorandom order within the source.
+@dataclass
+class Budget:
+    """What a named source has and gives: whole passes over its documents, and `rest` tokens of one more."""
+
+    source: str
+    target_share: float
+    max_repeats: int
+    source_docs: int = 0
+    source_tokens: int = 0
+    total_tokens: int = 0
+    ahead: int = 0  # tokens of the sources before it in order
+
+    @property
+    def budget(self) -> int:
+        """The share of the total, or all that max_repeats uses give."""
+        return min(math.floor(self.target_share * self.total_tokens + 0.5), self.max_repeats * self.source_tokens)
+
+    @property
+    def passes(self) -> int:
+        return self.budget // self.source_tokens if self.source_tokens else 0
+
+    @property
+    def rest(self) -> int:
+        return self.budget - self.passes * self.source_tokens
+
+
+def named(targets: DataFrame) -> dict[str, Budget]:
+    """The targets by source. A null share or limit counts as 0; a source named twice gets the sum of its shares and the larger limit."""
+    grouped = targets.filter(F.col("source").isNotNull()).groupBy("source").agg(F.coalesce(F.sum("target_share"), F.lit(0.0)).alias("share"), F.coalesce(F.max("max_repeats"), F.lit(0)).alias("repeats"))
+    rows = grouped.limit(TARGETS_MOST + 1).collect()
+    if len(rows) > TARGETS_MOST:
+        raise ValueError(f"more than {TARGETS_MOST} named sources")
+    return {r["source"]: Budget(r["source"], float(r["share"]), int(r["repeats"])) for r in rows}
+
+
+def sized(documents: DataFrame, sources: list[str], key: str = "doc_id", source: str = "source", text: str = "text", **tokenizer) -> DataFrame:
+    """doc_id, source, tokens and place of the documents of named sources; the place is a pseudorandom number.
 
     The text goes no further than this projection; documents of other or no sources are left out.
     """
-    names = targets.select(F.col("source").alias("_s")).distinct()
+    names = documents.sparkSession.createDataFrame([(s,) for s in sources], "_s string")  # at most TARGETS_MOST
     kept = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("_text"))
-    kept = kept.join(F.broadcast(names), F.col("source") == F.col("_s"), "left_semi")  # one row for each target: a fixed table
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 40))
-    return kept.select("doc_id", "source", token_count(F.col("_text"), **tokenizer).alias("tokens"), place.alias("place"))
+    kept = kept.join(F.broadcast(names), F.col("source") == F.col("_s"), "left_semi")
+    return kept.select("doc_id", "source", token_count(F.col("_text"), **tokenizer).alias("tokens"), F.xxhash64(F.col("doc_id"), F.lit(7)).alias("place"))
 
 
-def source_budgets(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each target: tokens there are, tokens to use, whole passes and the rest of the last pass.
+@dataclass
+class Mix:
+    """documents: doc_id, source, tokens, start (in the source's stream), uses, extra (a use beyond the whole passes), at (the place of that use)."""
 
-    The total is the tokens of all documents of named sources used once. A source gets its share
-    of it, or all that max_repeats uses give. A null share or limit counts as 0; a source named twice
-    gets the sum of its shares and the larger limit.
-    """
-    have = documents.groupBy("source").agg(F.sum("tokens").alias("source_tokens"), F.count(F.lit(1)).alias("source_docs"))
-    named = targets.filter(F.col("source").isNotNull()).groupBy("source").agg(F.coalesce(F.sum("target_share"), F.lit(0.0)).alias("target_share"), F.coalesce(F.max("max_repeats"), F.lit(0)).cast("long").alias("max_repeats"))
-    all_of = named.join(have, "source", "left").na.fill(0, ["source_tokens", "source_docs"])
-    total = all_of.agg(F.sum("source_tokens").alias("total_tokens"))
-    wish = F.col("target_share") * F.col("total_tokens")
-    most = F.col("max_repeats") * F.col("source_tokens")
-    out = all_of.crossJoin(total).withColumn("budget", F.least(F.round(wish).cast("long"), most))  # crossJoin: one row, the total
-    passes = F.when(F.col("source_tokens") > 0, F.floor(F.col("budget") / F.greatest("source_tokens", F.lit(1)))).otherwise(F.lit(0)).cast("long")
-    return out.withColumn("passes", passes).withColumn("rest", F.col("budget") - F.col("passes") * F.col("source_tokens"))
-
-
-def chosen(documents: DataFrame, budgets: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, source, tokens, uses: every document `passes` times, and those at the head of the permuted order once more.
-
-    The head ends before it would exceed `rest`; of the documents after it the one that brings the source
-    nearest to `rest` follows, if any does. Running sums are taken in two steps, over the sums of fixed
-    ranges of the order and then within the ranges, so that no source, however large, is put in order by
-    one task. Documents with no use are left out. Rows of the same doc_id count as documents of their own.
+    documents: DataFrame
+    budgets: dict[str, Budget]
+
+    def shares(self) -> DataFrame:
+        """One row for each target: what was asked for and what the mix holds."""
+        spark = self.documents.sparkSession
+        used = {r["source"]: r for r in self.documents.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("t"), F.count(F.lit(1)).alias("d"), F.max("uses").alias("m")).collect()}  # a row for each target
+        mix = sum(r["t"] for r in used.values())
+        rows = []
+        for b in self.budgets.values():
+            t, d, m = (used[b.source][c] for c in ("t", "d", "m")) if b.source in used else (0, 0, 0)
+            rows.append((b.source, b.target_share, b.max_repeats, b.source_docs, b.source_tokens, b.total_tokens, d, t, m, t / b.total_tokens if b.total_tokens else 0.0, t / mix if mix else 0.0))
+        return spark.createDataFrame(rows, "source string, target_share double, max_repeats long, source_docs long, source_tokens long, total_tokens long, used_docs long, used_tokens long, most_uses int, actual_share double, mix_share double")
+
+
+def mix(documents: DataFrame, targets: DataFrame, **options) -> Mix:
+    """The documents that are used, and how often, so that each source gives its share of all tokens of named sources used once.
+
+    Every document of a source is used `passes` times. Those at the head of its stream are used once more, as far as
+    they do not exceed `rest`; of the documents after them the one that brings the source nearest to `rest` follows, if any
+    does. Places in the streams are running sums taken range by range, so no source, however large, is put in order
+    by one task. Documents without a use are left out. Rows of the same doc_id count as documents of their own.
     """
-    d = documents.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(buckets)).cast("int"))
-    sums = d.groupBy("source", "bucket").agg(F.sum("tokens").alias("bucket_tokens"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("ahead", F.coalesce(F.sum("bucket_tokens").over(before), F.lit(0)))  # at most `buckets` rows a source
-    plan = sums.join(F.broadcast(budgets.select("source", "passes", "rest")), "source")  # a row for each target and bucket
-    rows = d.join(F.broadcast(plan), ["source", "bucket"])
-    within = Window.partitionBy("source", "bucket").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = (F.col("ahead") <= F.col("rest")) & (F.col("ahead") + F.col("bucket_tokens") > F.col("rest"))
-    whole = rows.filter(~at_cut).withColumn("extra", (F.col("ahead") + F.col("bucket_tokens") <= F.col("rest")).cast("int") * (F.col("rest") > 0).cast("int"))
-    at_head = rows.filter(at_cut).withColumn("start", F.col("ahead") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
-    cut_rows = at_head.withColumn("extra", ((F.col("start") + F.col("tokens")) <= F.col("rest")).cast("int") * (F.col("rest") > 0).cast("int")).drop("start")
-    both = cut(whole.unionByName(cut_rows).select("doc_id", "source", "tokens", "place", "passes", "rest", "extra"))
-    gaps = both.groupBy("source").agg((F.max("rest") - F.sum(F.col("tokens") * F.col("extra"))).alias("gap")).filter("gap > 0")
-    left = both.filter("extra = 0 AND rest > 0 AND tokens > 0").join(F.broadcast(gaps), "source")  # a row for each target
+    spark = documents.sparkSession
+    budgets = named(targets)
+    d = cut(sized(documents, sorted(budgets), **options))  # tokens are counted once; a few numbers a document are kept
+    for r in d.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect():  # a row for each target
+        budgets[r["source"]].source_tokens, budgets[r["source"]].source_docs = int(r["t"]), r["n"]
+    total = sum(b.source_tokens for b in budgets.values())
+    before = 0
+    for s in sorted(budgets, key=lambda x: x.encode("utf-8", "surrogatepass")):  # the order in which Spark sorts text
+        budgets[s].total_tokens, budgets[s].ahead = total, before
+        before += budgets[s].source_tokens
+    plan = F.broadcast(spark.createDataFrame([(b.source, b.passes, b.rest, b.ahead) for b in budgets.values()], "source string, passes long, rest long, ahead long"))  # at most TARGETS_MOST
+    order = [F.col("source"), F.col("place"), F.col("doc_id"), F.col("tokens")]
+    r = running(d, order, {"upto": F.col("tokens")}).join(plan, "source")
+    r = cut(r.select("doc_id", "source", "tokens", (F.col("upto") - F.col("ahead") - F.col("tokens")).alias("start"), "passes", "rest", F.expr("rest > 0 AND upto - ahead <= rest").cast("int").alias("extra")))
+    gaps = {x["source"]: budgets[x["source"]].rest - int(x["t"]) for x in r.groupBy("source").agg(F.sum(F.col("tokens") * F.col("extra")).alias("t")).collect()}
+    open_gaps = F.broadcast(spark.createDataFrame([(s, g, budgets[s].rest - g) for s, g in gaps.items() if g > 0], "source string, gap long, filled long"))  # at most TARGETS_MOST
+    left = r.filter("extra = 0 AND rest > 0 AND tokens > 0").join(open_gaps, "source")
     off = F.abs(F.col("gap") - F.col("tokens"))
-    fits = left.filter(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), F.col("place"), F.col("doc_id"))).alias("b"))
-    fits = fits.select(F.col("source").alias("_s"), F.col("b.doc_id").alias("_d"))
-    both = both.join(F.broadcast(fits), (F.col("source") == F.col("_s")) & (F.col("doc_id") == F.col("_d")) & (F.col("extra") == 0), "left")
-    uses = F.col("passes") + F.col("extra") + F.col("_d").isNotNull().cast("int")
-    return both.select("doc_id", "source", "tokens", uses.cast("int").alias("uses")).filter("uses > 0")
+    fits = left.filter(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), F.col("start"), F.col("doc_id"), F.col("filled"))).alias("b")).collect()  # a row for each target
+    # a place in the stream names a row, as documents of no tokens are never chosen here
+    fit = F.broadcast(spark.createDataFrame([(x["source"], x["b"]["start"], x["b"]["filled"]) for x in fits], "_s string, _start long, _at long"))
+    r = r.join(fit, (F.col("source") == F.col("_s")) & (F.col("start") == F.col("_start")) & (F.col("tokens") > 0), "left")
+    more = F.col("extra") + F.col("_at").isNotNull().cast("int")
+    out = r.select("doc_id", "source", "tokens", "start", (F.col("passes") + more).cast("int").alias("uses"), more.alias("extra"), F.coalesce("_at", "start").alias("at")).filter("uses > 0")
+    return Mix(cut(out), budgets)
 
 
 def mixed(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
@@ -131,70 +179,76 @@ def mixed(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
     sources used once; mix_share is over all tokens in the mix. An empty table, or one in which
     no source is named, gives an empty mix. Null and empty texts have 0 tokens.
     """
-    d = cut(sized(documents, targets, **options))  # tokens are counted once; a few numbers a document are kept
-    budgets = cut(source_budgets(d, targets))  # a row for each target, used three times
-    picked = cut(chosen(d, budgets))
-    shares = actual_shares(picked, budgets)
-    return picked.join(F.broadcast(shares.select("source", "target_share", "actual_share", "mix_share")), "source").select("doc_id", "source", "tokens", "uses", "target_share", "actual_share", "mix_share")
-
+    m = mix(documents, targets, **options)
+    return m.documents.join(F.broadcast(m.shares().select("source", "target_share", "actual_share", "mix_share")), "source").select("doc_id", "source", "tokens", "uses", "target_share", "actual_share", "mix_share")
 
-def actual_shares(picked: DataFrame, budgets: DataFrame) -> DataFrame:
-    """One row for each target: what was asked for and what the mix holds."""
-    used = picked.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"), F.count(F.lit(1)).alias("used_docs"), F.max("uses").alias("most_uses"))
-    out = budgets.join(used, "source", "left").na.fill(0, ["used_tokens", "used_docs", "most_uses"])
-    mix = out.agg(F.sum("used_tokens").alias("mix_tokens"))
-    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-    out = out.crossJoin(mix)  # one row
-    return out.select("source", "target_share", "max_repeats", "source_docs", "source_tokens", "total_tokens", "used_docs", "used_tokens", "most_uses", ratio("used_tokens", "total_tokens").alias("actual_share"), ratio("used_tokens", "mix_tokens").alias("mix_share"))
 
+def packed(m: Mix, block: int = BLOCK) -> DataFrame:
+    """source, block_no, block_from, doc_id, use_no, token_from, token_to: which tokens of which document fill each block.
 
-def shard_counts(blocks: dict[str, int], slots: int = SLOTS, seed: int = 7) -> list[tuple[int, str, int, int]]:
-    """(shard, source, first slot number of the source, count): multinomial counts of each shard, conditioned on the totals.
-
-    A shard of `slots` blocks is drawn from the blocks that are left, without replacement, so every
-    source's counts add up to its blocks. One row for each shard and source that it holds.
+    Pass after pass of a source is laid end to end, then the uses beyond them. A document that spans several blocks
+    has a row in each. Documents of 0 tokens take no place.
+    """
+    totals = m.documents.sparkSession.createDataFrame([(b.source, b.source_tokens) for b in m.budgets.values()], "source string, source_tokens long")
+    each = m.documents.filter("tokens > 0").join(F.broadcast(totals), "source")  # at most TARGETS_MOST
+    each = each.select("*", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("use_no"))
+    last = F.col("use_no") > F.col("uses") - F.col("extra")
+    at = F.when(last, (F.col("uses") - F.col("extra")) * F.col("source_tokens") + F.col("at")).otherwise((F.col("use_no") - 1) * F.col("source_tokens") + F.col("start"))
+    each = each.withColumn("_p", at).withColumn("block_no", F.explode(F.sequence(F.floor(F.col("_p") / block), F.floor((F.col("_p") + F.col("tokens") - 1) / block))))
+    lo = F.greatest(F.col("_p"), F.col("block_no") * block)
+    hi = F.least(F.col("_p") + F.col("tokens"), (F.col("block_no") + 1) * block)
+    return each.select("source", "block_no", (lo - F.col("block_no") * block).cast("int").alias("block_from"), "doc_id", "use_no", (lo - F.col("_p")).alias("token_from"), (hi - F.col("_p")).alias("token_to"))
+
+
+def shard_draw(shard: int, shards: int, totals: np.ndarray, slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks of each source in the shards before this one, blocks of each in it): a leaf of the seeded tree that halves the shards.
+
+    At each node the first half's blocks are drawn from those at hand without replacement; the node's own seed makes
+    every task draw the same. All shards but the last hold `slots` blocks.
     """
-    names = sorted(n for n, count in blocks.items() if count > 0)
-    left = np.array([blocks[n] for n in names], np.int64)
-    given = np.zeros_like(left)
-    rng, out, shard = np.random.default_rng(seed), [], 0
-    while left.sum() > 0:
-        draw = rng.multivariate_hypergeometric(left, int(min(slots, left.sum())), method="marginals")
-        out += [(shard, n, int(g), int(c)) for n, g, c in zip(names, given, draw) if c]
-        left -= draw
-        given += draw
-        shard += 1
-    return out
-
-
-def block_plan(picked: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = 7) -> DataFrame:
-    """Every slot of every output shard with the block it takes: shard, slot, source, block_no.
-
-    The tokens in the mix of each source are packed into blocks of `block` tokens (the last may be
-    short). Only the number of blocks of each target reaches the driver.
+    lo, hi, left, given = 0, shards, totals.astype(np.int64), np.zeros(totals.size, np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        size, total = slots * (mid - lo), int(left.sum())
+        if total <= DRAWN_MOST:
+            draw = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(left, size, method="marginals")
+        else:
+            wish = [int(x) * size for x in left]
+            draw = np.array([w // total for w in wish], np.int64)
+            for k in sorted(range(len(wish)), key=lambda k: -(wish[k] % total))[: size - int(draw.sum())]:
+                draw[k] += 1
+        if shard < mid:
+            left, hi = draw, mid
+        else:
+            left, given, lo = left - draw, given + draw, mid
+    return given, left
+
+
+def block_plan(m: Mix, block: int = BLOCK, slots: int = SLOTS, seed: int = 7) -> DataFrame:
+    """Every slot of every output shard with the block it takes: shard, slot (of the source), source, block_no.
+
+    The tokens in the mix of each source make up blocks of `block` tokens (the last may be short). Only the
+    number of tokens of each target reaches the driver; shards are drawn by tasks.
     """
-    spark = picked.sparkSession
-    sums = picked.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("t"))
-    counts = {r["source"]: -(-int(r["t"]) // block) for r in sums.collect()}  # one row for each target
-    draws = shard_counts(counts, slots, seed)
-    schema = "shard int, source string, first_slot long, n long, blocks long, seed long"
-    rows = [(s, n, first, c, counts[n], seed + 1 + i) for i, name in enumerate(sorted(counts)) for s, n, first, c in draws if n == name]
-    plan = spark.createDataFrame(rows, schema)
+    spark = m.documents.sparkSession
+    sums = {r["source"]: -(-int(r["t"]) // block) for r in m.documents.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("t")).collect()}  # a row for each target
+    names = sorted(s for s, n in sums.items() if n > 0)
+    totals = np.array([sums[s] for s in names], np.int64)
+    shards = -(-int(totals.sum()) // slots)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for shard in b["id"]:
+                given, own = shard_draw(int(shard), shards, totals, slots, seed)
+                rows += [(int(shard), names[k], int(given[k]), int(own[k]), int(totals[k]), seed + 1 + k) for k in np.flatnonzero(own)]
+            yield pd.DataFrame(rows, columns=["shard", "source", "first_slot", "n", "blocks", "seed"])
+
+    plan = spark.range(shards).mapInPandas(draw, "shard long, source string, first_slot long, n long, blocks long, seed long")
     each = plan.select("shard", "source", "blocks", "seed", F.explode(F.sequence(F.col("first_slot"), F.col("first_slot") + F.col("n") - 1)).alias("slot"))
     return each.select("shard", "slot", "source", permuted_index(F.col("slot"), F.col("blocks"), F.col("seed")).alias("block_no"))
 
 
-def packed(picked: DataFrame, block: int = BLOCK, buckets: int = BUCKETS) -> DataFrame:
-    """Where each use of each document lies in its source's stream: doc_id, use_no, source, first_block, last_block, offset.
-
-    The running sums are taken in two steps as in `chosen`. Documents of 0 tokens take no place and are left out.
-    """
-    each = picked.filter("tokens > 0").select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("use_no"))
-    each = each.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "use_no"), F.lit(buckets)).cast("int"))
-    sums = each.groupBy("source", "bucket").agg(F.sum("tokens").alias("bt"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", "bucket", F.coalesce(F.sum("bt").over(before), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("source", "bucket").orderBy(F.xxhash64("use_no", "doc_id"), "doc_id", "use_no").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.col("ahead") + F.coalesce(F.sum("tokens").over(within), F.lit(0))
-    each = each.join(F.broadcast(sums), ["source", "bucket"]).withColumn("at", at)
-    return each.select("doc_id", "use_no", "source", F.floor(F.col("at") / block).alias("first_block"), F.floor((F.col("at") + F.col("tokens") - 1) / block).alias("last_block"), (F.col("at") % block).alias("offset"))
+def sharded(m: Mix, block: int = BLOCK, slots: int = SLOTS, seed: int = 7) -> DataFrame:
+    """What fills each slot: the plan joined to the blocks by index; shard, slot, source, block_no, block_from, doc_id, use_no, token_from, token_to."""
+    return block_plan(m, block, slots, seed).join(packed(m, block), ["source", "block_no"]).select("shard", "slot", "source", "block_no", "block_from", "doc_id", "use_no", "token_from", "token_to")

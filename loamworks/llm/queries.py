@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamworks.llm import boilerplate, lookalike, mixing, pii, repeated_lines, residue, tokenize
-from loamworks.session import cut, read_table
+from loamworks.session import read_table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,17 +61,11 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    documents = cut(mixing.sized(read_table(spark, d, "documents"), read_table(spark, d, "mix_target")))
-    budgets = cut(mixing.source_budgets(documents, read_table(spark, d, "mix_target")))
-    return mixing.actual_shares(mixing.chosen(documents, budgets), budgets)
+    return mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_target")).shares()
 
 
 def p7_blocks(spark: SparkSession, d: str) -> DataFrame:
-    documents = cut(mixing.sized(read_table(spark, d, "documents"), read_table(spark, d, "mix_target")))
-    budgets = cut(mixing.source_budgets(documents, read_table(spark, d, "mix_target")))
-    picked = cut(mixing.chosen(documents, budgets))
-    blocks = mixing.packed(picked).groupBy("source", F.col("first_block").alias("block_no")).agg(F.count(F.lit(1)).alias("documents_begun"))
-    return mixing.block_plan(picked).join(blocks, ["source", "block_no"], "left").na.fill(0, ["documents_begun"]).select("shard", "slot", "source", "block_no", "documents_begun")
+    return mixing.sharded(mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_target")))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

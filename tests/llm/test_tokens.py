@@ -90,18 +90,56 @@ def test_mix_edges(spark):
 def test_permutation_and_draws():
     for n in (1, 2, 5, 1000, 4097):
         assert sorted(M.feistel(np.arange(n), n, 3)) == list(range(n))
-    counts = {"a": 700, "b": 300, "c": 0}
-    draws = M.shard_counts(counts, 100)
-    assert {s: sum(c for _, n, _, c in draws if n == s) for s in "ab"} == {"a": 700, "b": 300}
-    assert all(sum(c for k, _, _, c in draws if k == shard) == 100 for shard in range(10))
+    totals = np.array([700, 300, 5])
+    draws = [M.shard_draw(k, 11, totals, 100, 7) for k in range(11)]
+    before = np.zeros(3, np.int64)
+    for given, own in draws:  # every task draws the same tree
+        assert (given == before).all()
+        before = before + own
+    assert (before == totals).all() and [int(own.sum()) for _, own in draws] == [100] * 10 + [5]
+    # far more blocks than numpy draws from: split in proportion, then drawn
+    huge = np.array([4_000_000_000, 1_000_000_001])
+    shards = -(-int(huge.sum()) // 256)
+    given, own = M.shard_draw(shards - 1, shards, huge, 256, 7)
+    assert (given + own == huge).all() and own.sum() == int(huge.sum()) - 256 * (shards - 1)
 
 
 def test_blocks_cover_each_source_once(spark):
-    picked = spark.createDataFrame([(i, "a" if i % 3 else "b", 100, 1 + i % 2) for i in range(300)], "doc_id long, source string, tokens long, uses int")
-    plan = M.block_plan(picked, 64, 10).collect()
-    assert len({(r["source"], r["block_no"]) for r in plan}) == len(plan) == len({(r["shard"], r["slot"], r["source"]) for r in plan})
-    spans = M.packed(picked, 64).collect()
-    assert len(spans) == 450 and max(r["last_block"] for r in spans if r["source"] == "b") == max(r["block_no"] for r in plan if r["source"] == "b")
+    docs = [doc(i, "a" if i % 3 else "b", 30 + i % 50) for i in range(300)] + [doc(299, "b", 44), doc(900, "a", 0)]
+    m = M.mix(*(spark.createDataFrame(x, y) for x, y in ((docs, "doc_id long, text string, source string, tokens string, place string, bucket string"), ([("a", 0.3, 1), ("b", 0.7, 5)], "source string, target_share double, max_repeats int"))))
+    picked = m.documents.collect()
+    plan = M.block_plan(m, 64, 10).collect()
+    assert len({(r["source"], r["block_no"]) for r in plan}) == len(plan) == len({(r["slot"], r["source"]) for r in plan})
+    used = {s: sum(r["tokens"] * r["uses"] for r in picked if r["source"] == s) for s in "ab"}
+    assert {s: sum(r["source"] == s for r in plan) for s in "ab"} == {s: -(-t // 64) for s, t in used.items()}
+    # each block is filled without gaps or overlaps, and each use of a document comes out whole
+    blocks, uses = {}, {}
+    for r in M.sharded(m, 64, 10).collect():
+        n = r["token_to"] - r["token_from"]
+        blocks.setdefault((r["source"], r["block_no"]), []).append((r["block_from"], n))
+        uses.setdefault((r["source"], r["doc_id"], r["use_no"]), []).append((r["token_from"], n))
+    last = {s: -(-t // 64) - 1 for s, t in used.items()}
+    for (s, b), parts in blocks.items():
+        at = 0
+        for start, n in sorted(parts):
+            assert start == at
+            at += n
+        assert at == (64 if b != last[s] else used[s] - 64 * b)
+    assert sum(n for parts in uses.values() for _, n in parts) == sum(used.values())
+    total = sum(t for t in (r["tokens"] for r in M.sized(spark.createDataFrame(docs, "doc_id long, text string, source string, tokens string, place string, bucket string"), ["a", "b"]).collect()))
+    assert all(abs(used[s] - share * total) <= 64 for s, share in (("a", 0.3), ("b", 0.7)))  # within a block
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    out, _, _ = mix(spark, [doc(1, "a", 10)] * 7 + [doc(2, "b", 30)], [("a", 0.43, 3), ("b", 0.0, 1)])
+    rows = out.collect()
+    assert len(rows) == 4 and {r["uses"] for r in rows} == {1}  # 43 of 100 tokens: four rows of ten, none counted for the others
+
+
+def test_too_many_targets(spark, monkeypatch):
+    monkeypatch.setattr(M, "TARGETS_MOST", 1)
+    with pytest.raises(ValueError, match="more than 1"):
+        mix(spark, [], [("a", 0.5, 1), ("b", 0.5, 1)])
 
 
 # ---- residue
