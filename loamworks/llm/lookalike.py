@@ -34,6 +34,18 @@ LOOKALIKES = {
     "p": "рⲣ", "q": "ԛզ", "s": "ѕ", "u": "ս", "v": "ѵ", "w": "ԝ", "x": "х", "y": "уү",
 }
 
+# Further letters to which Unicode's table of confusables gives one Latin letter, by script: small Greek letters,
+# whose capitals are drawn like another letter, and rare letters and scripts. Left out are those drawn plainly apart
+# (Greek sigma, Cyrillic ghe and soft sign).
+LOOKALIKES_MORE = {
+    "Greek": ("αγινρυϜͿϺ", "ayivpuFJM"),
+    "Cyrillic": ("ѡѴҽꙇ", "wVei"),
+    "Armenian": ("Սագռք", "Uwqnf"),
+    "Cherokee": ("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴꭵꮁꮃꮓꮩꮪꮯ", "DRTiYAJEWMHYGhZbRWSVSLCPKdGBirwzvsc"),
+    "Coptic": ("ⲅⲎⲒⲔⲘⲚⲞⲟⲢⲤⲥⲦⲨⲬⳐ", "rHIKMNOoPCcTYXL"),
+    "Lisu": ("ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPdDTGKJCZFMNLSRVHWXYAEIOU"),
+}
+
 _SPACE = 0x110000
 _KINDS = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<font>"}
 _KEEP = set("ſ")  # the long s is drawn unlike any other letter
@@ -64,8 +76,10 @@ def _expansion(cp: int, look: dict[str, str]) -> str:
 class _Tables:
     """Arrays over the code space: length and place of each expansion, combining class, and the pairs that compose."""
 
-    def __init__(self) -> None:
+    def __init__(self, more: bool) -> None:
         look = {x: latin for latin, others in LOOKALIKES.items() for x in others}
+        for letters, latin in LOOKALIKES_MORE.values() if more else ():
+            look |= dict(zip(letters, latin, strict=True))
         self.length = np.ones(_SPACE, np.uint8)
         self.start = np.arange(_SPACE, dtype=np.int32)
         self.mark = np.zeros(_SPACE, np.uint8)
@@ -90,9 +104,9 @@ class _Tables:
         self.composed = np.array([c for _, c in pairs], np.uint32)
 
 
-@functools.lru_cache(maxsize=1)
-def _tables() -> _Tables:
-    return _Tables()
+@functools.lru_cache(maxsize=2)
+def _tables(more: bool) -> _Tables:
+    return _Tables(more)
 
 
 #: A text without these needs no work: only printable ASCII and line feeds.
@@ -131,12 +145,16 @@ def _order_and_compose(codes: np.ndarray, source: np.ndarray, tables: _Tables) -
     return codes[keep], source[keep]
 
 
-def canonical_batch(texts: Sequence[str | None], places: bool = False) -> tuple[list[str | None], list[np.ndarray | None]]:
-    """Consistent form of each text; with `places`, also the stored position of each of its characters (None: the same)."""
+def canonical_batch(texts: Sequence[str | None], places: bool = False, more: bool = True) -> tuple[list[str | None], list[np.ndarray | None]]:
+    """Consistent form of each text; with `places`, also the stored position of each of its characters (None: the same).
+
+    Without `more`, only letters whose capitals and small letters are drawn like those of one Latin letter are taken
+    as Latin ones, so that the form goes together with ignoring case.
+    """
     out: list[str | None] = list(texts)
     where: list[np.ndarray | None] = [None] * len(out)
     slow = [i for i, t in enumerate(out) if t and (not t.isascii() or _SPECIAL.search(t))]
-    tables = _tables() if slow else None
+    tables = _tables(more) if slow else None
     step = 4_000_000  # code points worked on at once
     begin = 0
     while begin < len(slow):
@@ -231,6 +249,25 @@ def _digests(column: Column, blank_is_null: bool) -> Column:
     return digest(column)
 
 
+def _looks(df: DataFrame, text: str, key: str, group: list[Column], blank_is_null: bool) -> DataFrame:
+    """look (digest of group and consistent form), stored (digest of the stored text) and id of each row that takes part."""
+    whole = F.concat_ws("\x1f", *[c.cast("string") for c in group])
+    base = df.filter(F.array_min(F.array(*[c.isNotNull().cast("int") for c in group])) == 1).select(whole.alias("group"), F.col(key).cast("long").alias("id"), _digests(F.col(text), blank_is_null).alias("d")).filter("d.form IS NOT NULL")
+    return base.select(F.unhex(F.md5(F.concat(F.col("group").cast("binary"), F.lit(b"\x1e"), "d.form"))).alias("look"), F.col("d.stored").alias("stored"), "id")
+
+
+def look_classes(df: DataFrame, text: str, key: str, group: list[Column], field: str, blank_is_null: bool = True) -> DataFrame:
+    """field, id, class_id (the least id of the rows of its group that look the same), forms (stored forms in the class), rows.
+
+    Only classes of several stored forms; a row of a class for each of its members, so that its size is that of the
+    classes, whatever the number of pairs. Counts are made distinct by key with sums before the shuffle.
+    """
+    base = cut(_looks(df, text, key, group, blank_is_null))
+    forms = base.groupBy("look", "stored").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    classes = forms.groupBy("look").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("rows"), F.min("least").alias("class_id")).filter("forms > 1")
+    return base.join(classes, "look").select(F.lit(field).alias("field"), "id", "class_id", "forms", "rows")
+
+
 def same_looking_pairs(df: DataFrame, text: str, key: str, group: list[Column], field: str, blank_is_null: bool = True) -> DataFrame:
     """Pairs of rows of one group whose texts are stored differently yet look the same.
 
@@ -239,10 +276,8 @@ def same_looking_pairs(df: DataFrame, text: str, key: str, group: list[Column],
     copies never meet each other; a pair of classes is expanded to its members last.
     Result: field, id_a < id_b, every pair once. An empty table gives an empty result.
     """
-    whole = F.concat_ws("\x1f", *[c.cast("string") for c in group])
-    base = df.filter(F.array_min(F.array(*[c.isNotNull().cast("int") for c in group])) == 1).select(whole.alias("group"), F.col(key).cast("long").alias("id"), _digests(F.col(text), blank_is_null).alias("d")).filter("d.form IS NOT NULL")
-    # the texts are read once; three digests and numbers of a row are kept for the joins
-    base = cut(base.select(F.unhex(F.md5(F.concat(F.col("group").cast("binary"), F.lit(b"\x1e"), "d.form"))).alias("look"), F.col("d.stored").alias("stored"), "id"))
+    # the texts are read once; digests and numbers of rows are kept for the joins
+    base = cut(_looks(df, text, key, group, blank_is_null))
     # groups in which at least two stored forms occur; partial min/max run before the shuffle
     mixed = base.groupBy("look").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).filter("lo <> hi").select("look")
     rows = base.join(mixed, "look", "left_semi")

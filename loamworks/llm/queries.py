@@ -32,15 +32,23 @@ def p2_body(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.without_lines(rows, boilerplate.boilerplate_lines(rows), out="body").select("result_id", "body")
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    names = lookalike.same_looking_pairs(read_table(spark, d, "test_data"), "name", "row_id", [F.col("feed"), F.col("load_no")], "name")
+def _p4(of: Callable, spark: SparkSession, d: str) -> DataFrame:
+    names = of(read_table(spark, d, "test_data"), "name", "row_id", [F.col("feed"), F.col("load_no")], "name")
     page = lookalike.site_and_page(F.col("url"))[1]
-    texts = lookalike.same_looking_pairs(read_table(spark, d, "scraping_result"), "raw_text", "result_id", [page], "raw_text", blank_is_null=False)
-    return names.unionByName(texts)
+    return names.unionByName(of(read_table(spark, d, "scraping_result"), "raw_text", "result_id", [page], "raw_text", blank_is_null=False))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p4(lookalike.same_looking_pairs, spark, d)
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _p4(lookalike.look_classes, spark, d)
 
 
 def p4_form(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "test_data").select("row_id", lookalike.canonical(F.col("name")).alias("name_form"))
+    names = read_table(spark, d, "test_data").select(F.lit("name").alias("field"), F.col("row_id").alias("id"), lookalike.canonical(F.col("name")).alias("form"))
+    return names.unionByName(read_table(spark, d, "scraping_result").select(F.lit("raw_text").alias("field"), F.col("result_id").alias("id"), lookalike.canonical(F.col("raw_text")).alias("form")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +85,7 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_body, p4_found, p4_form, p5_found, p5_kept, p6_ids, p7_mix, p7_shares, p7_blocks, p8_found, p8_kept)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_body, p4_found, p4_classes, p4_form, p5_found, p5_kept, p6_ids, p7_mix, p7_shares, p7_blocks, p8_found, p8_kept)}
 
 
 def oracle_sql() -> dict[str, str]:
