@@ -197,9 +197,8 @@ def load_counts(spark: SparkSession, path: str, columns: Sequence[str], feed: st
     t = t.join(settled.select(F.col("file").alias("_file")), "_file", "left_anti")
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lower(trimmed(F.col(c).cast("string"))).alias("cell")) for c in columns]))
     long = t.select(F.col(feed).alias("feed"), F.col(load).alias("load_no"), cells.alias("x")).select("feed", "load_no", "x.column_name", F.when(~is_missing(F.col("x.cell")), F.col("x.cell")).alias("value"))
-    counts = long.groupBy("feed", "load_no", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     known = settled.select("feed", "load_no", F.explode(F.array(*map(F.lit, columns))).alias("column_name"), F.lit(None).cast("string").alias("value"), F.col("rows").alias("n"))
-    counts = counts.unionByName(known).groupBy("feed", "load_no", "column_name", "value").agg(F.sum("n").alias("n"))
+    counts = long.withColumn("n", F.lit(1).cast("long")).unionByName(known).groupBy("feed", "load_no", "column_name", "value").agg(F.sum("n").alias("n"))
     return counts
 
 
