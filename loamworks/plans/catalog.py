@@ -12,7 +12,7 @@ from loamworks.functions import synonyms
 from loamworks.functions import text as X
 from loamworks.operators import exact, gates, metrics, models, prepare, profile, quality, ranges
 from loamworks.plans import pipeline, policy
-from loamworks.session import cut, read_table, shared_dir
+from loamworks.session import cut, passing_path, read_table
 from loamworks.sources import html, io
 from loamworks.streaming import clean as windows
 
@@ -648,9 +648,7 @@ def roundtrip_parquet(s, d):
 
 @query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def roundtrip_csv(s, d):
-    import uuid
-
-    path = f"{shared_dir(s)}/orders-{uuid.uuid4().hex}"
+    path = passing_path(s, "orders")
     o = read_table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     written = io.write(o, f"{path}.csv", "csv")["csv"]
     return io.read(s, written, o.schema)

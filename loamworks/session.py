@@ -31,14 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def passing_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(place)  # only what is there can be marked
+    system.deleteOnExit(place)
+    return f"{path}/data"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` written once to the shared folder and read again: a lineage cut that outlives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = passing_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)  # when the driver ends
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
