@@ -18,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,12 +29,31 @@ LEAF = 1024  # code points encoded at once
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def shipped(folder: str, name: str) -> str:
+    """Where workers find a vocabulary: a file that the driver sent them, or the folder if the driver has none of it."""
+    spark = SparkSession.getActiveSession()
+    path = os.path.join(folder, f"{name}.tiktoken")
+    if spark is None or not os.path.isfile(path):
+        return folder
+    context = spark.sparkContext
+    sent = context.__dict__.setdefault("_loamworks_vocabularies", {})
+    if sent.setdefault(name, folder) != folder:  # another vocabulary of that name is on its way
+        return folder
+    if (name, "sent") not in sent:
+        context.addFile(path)
+        sent[name, "sent"] = folder
+    return ""
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(folder: str = TOKENIZERS, name: str = "byte_bpe_50k"):
-    """The tokenizer without special tokens, loaded once in each Python worker from the vocabulary file."""
+    """The tokenizer without special tokens, loaded once in each Python worker from the vocabulary file.
+
+    An empty `folder` stands for the file that the driver sent.
+    """
     import tiktoken
 
-    with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as file:
+    with open(os.path.join(folder, f"{name}.tiktoken") if folder else SparkFiles.get(f"{name}.tiktoken"), "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -99,6 +119,8 @@ def encode_tree(text: str | None, encode, leaf: int = LEAF) -> list[int]:
 def token_ids(column: Column | str, folder: str = TOKENIZERS, name: str = "byte_bpe_50k", leaf: int = LEAF) -> Column:
     """Array of token ids of a text column; empty for null and empty texts. Text that spells a special token is ordinary text."""
 
+    folder = shipped(folder, name)
+
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = encoder(folder, name).encode_ordinary
@@ -111,6 +133,8 @@ def token_ids(column: Column | str, folder: str = TOKENIZERS, name: str = "byte_
 def token_count(column: Column | str, folder: str = TOKENIZERS, name: str = "byte_bpe_50k", leaf: int = LEAF) -> Column:
     """Number of tokens of a text column; 0 for null and empty texts."""
 
+    folder = shipped(folder, name)
+
     @F.pandas_udf(T.LongType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = encoder(folder, name).encode_ordinary
@@ -123,6 +147,8 @@ def token_count(column: Column | str, folder: str = TOKENIZERS, name: str = "byt
 def decoded(column: Column | str, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> Column:
     """Text of an array of token ids: the bytes of the tokens laid end to end; null for null."""
 
+    folder = shipped(folder, name)
+
     @F.pandas_udf(T.StringType())
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         decode = encoder(folder, name).decode_bytes
