@@ -155,7 +155,7 @@ def canonical_batch(texts: Sequence[str | None], places: bool = False, more: boo
     where: list[np.ndarray | None] = [None] * len(out)
     slow = [i for i, t in enumerate(out) if t and (not t.isascii() or _SPECIAL.search(t))]
     tables = _tables(more) if slow else None
-    step = 4_000_000  # code points worked on at once
+    step = 1_000_000  # code points worked on at once
     begin = 0
     while begin < len(slow):
         end, total = begin, 0
@@ -220,7 +220,7 @@ def site_and_page(url: Column) -> tuple[Column, Column]:
 _DIGESTS = T.StructType([T.StructField("form", T.BinaryType()), T.StructField("stored", T.BinaryType())])
 
 
-def slices(frame: pd.DataFrame, column: str, most: int = 8_000_000) -> Iterator[pd.DataFrame]:
+def slices(frame: pd.DataFrame, column: str, most: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """A batch in slices of at most `most` characters of a text column (a longer text is a slice of its own)."""
     sizes = np.cumsum([len(t) if t else 0 for t in frame[column]])
     begin = 0

@@ -645,7 +645,7 @@ def found(fetches: DataFrame, cards: DataFrame, names: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tagger = _live(sent)
-        for b in (part for batch in batches for part in slices(batch, "text")):
+        for b in (part for batch in batches for part in slices(batch, "text", 8_000_000)):
             spans = find_batch(b["text"].tolist(), tagger)
             rows = np.repeat(np.arange(len(b)), [len(x) for x in spans])
             keys = b[["field", "rec_id", "item_no"]].iloc[rows].reset_index(drop=True)
