@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -54,14 +55,27 @@ def train_regressor(df: DataFrame, label: str, features: Sequence[str], kind: st
     return pipeline(features, REGRESSORS[kind]().setLabelCol(label).setFeaturesCol("features")).fit(df)
 
 
-def search(df: DataFrame, label: str, features: Sequence[str], kind: str, grid: dict[str, Sequence], folds: int = 3, task: str = "regression"):
-    """Grid search with cross validation; the fitted CrossValidatorModel."""
+def search(df: DataFrame, label: str, features: Sequence[str], kind: str, grid: dict[str, Sequence], folds: int = 3, task: str = "regression", sampled: int | None = None, seed: int = 42, parallelism: int = 2):
+    """Grid search with cross validation, or a randomised one over `sampled` points of the grid; the fitted CrossValidatorModel."""
     model = (REGRESSORS if task == "regression" else CLASSIFIERS)[kind]().setLabelCol(label).setFeaturesCol("features")
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(model.getParam(name), list(values))
+    points = builder.build()
+    if sampled is not None and sampled < len(points):
+        points = random.Random(seed).sample(points, sampled)
     judge = RegressionEvaluator(labelCol=label) if task == "regression" else MulticlassClassificationEvaluator(labelCol=label)
-    return CrossValidator(estimator=pipeline(features, model), estimatorParamMaps=builder.build(), evaluator=judge, numFolds=folds, seed=42).fit(df)
+    return CrossValidator(estimator=pipeline(features, model), estimatorParamMaps=points, evaluator=judge, numFolds=folds, seed=seed, parallelism=parallelism).fit(df)
+
+
+def save(model: PipelineModel, path: str) -> str:
+    """A fitted pipeline as a folder of the file system that the path names; overwrites."""
+    model.write().overwrite().save(path)
+    return path
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
 
 
 def importance(model: PipelineModel, features: Sequence[str], df: DataFrame, most: int = 20) -> DataFrame:

@@ -46,7 +46,10 @@ def mode_of(df: DataFrame, column: str) -> DataFrame:
 
 @dataclass
 class CategoryImputer:
-    """Fill text columns with their `mode`, or with `unknown` or another given word."""
+    """Fill text columns with their `mode`, with `unknown`, or with another word (`default`), which also stands in for a column without a mode.
+
+    To fill them from the rows before, see `fill_forward`.
+    """
 
     strategy: str = "mode"
     default: str = "unknown"
@@ -60,13 +63,28 @@ class CategoryImputer:
             counts = unpivot(df, columns).filter("value IS NOT NULL").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
             modes = counts.groupBy("column_name").agg(F.min_by("value", F.struct((-F.col("n")).alias("n"), F.col("value"))).alias("mode_value"))
             found = {r["column_name"]: r["mode_value"] for r in modes.collect()}  # a row for each column
-        self.values = {c: found.get(c, self.default) for c in columns}
+        elif self.strategy not in ("mode", "unknown", "default"):
+            raise ValueError(f"unknown strategy {self.strategy}")
+        word = "unknown" if self.strategy == "unknown" else self.default
+        self.values = {c: found.get(c, word) for c in columns}
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in self.values.items()})
 
 
+def fill_forward(df: DataFrame, columns: Sequence[str], key: str, order: Sequence[str], default: str | None = None, backward: bool = False) -> DataFrame:
+    """Columns filled from the last row before, in an order, that has a value; then, if asked, from the next; then with `default`.
+
+    The key must be unique. Only the key, the order and the columns are put in order, range by range; rows without gaps are not.
+    """
+    from loamworks.operators.ranges import filled
+
+    gaps = filled(df, columns, key, order, backward).select(F.col(key).alias("_row"), *[F.col(c).alias(f"_g{k}") for k, c in enumerate(columns)])
+    joined = df.join(gaps, F.col(key) == F.col("_row"), "left")
+    return joined.withColumns({c: F.coalesce(c, f"_g{k}", F.lit(default).cast(df.schema[c].dataType)) for k, c in enumerate(columns)}).select(*df.columns)
+
+
 @dataclass
 class IqrOutliers:
     """Values beyond q1 - k*iqr or q3 + k*iqr: `cap`, `remove` (to null) or `ignore`. Nulls stay null; under `least` values nothing is done."""

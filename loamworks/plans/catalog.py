@@ -294,6 +294,20 @@ def impute_unknown(s, d):
     return prepare.CategoryImputer("unknown").fit(o, ["category"]).transform(o)
 
 
+@query("SELECT order_no, coalesce(status, 'none given') AS status FROM order_intake")
+def impute_default(s, d):
+    o = orders(s, d).select("order_no", "status")
+    return prepare.CategoryImputer("default", "none given").fit(o, ["status"]).transform(o)
+
+
+_LAST = "coalesce(last_value({c} IGNORE NULLS) OVER (ORDER BY order_no ROWS UNBOUNDED PRECEDING), 'none before') AS {c}"
+
+
+@query(f"SELECT order_no, price, {_LAST.format(c='category')}, {_LAST.format(c='status')} FROM order_intake")
+def impute_forward(s, d):
+    return prepare.fill_forward(orders(s, d).select("order_no", "price", "category", "status"), ["category", "status"], "order_no", ["order_no"], "none before")
+
+
 @query(f"WITH v AS (SELECT order_no, {DATE_SQL} AS x FROM order_intake) SELECT order_no, last_value(x IGNORE NULLS) OVER (ORDER BY order_no ROWS UNBOUNDED PRECEDING) AS x FROM v")
 def ffill(s, d):
     return ranges.fill(orders(s, d).select("order_no", C.date(F.col("order_date")).alias("x")), "x", ["order_no"])
@@ -635,6 +649,12 @@ def train_ridge(s, d):
     return metrics.regression(fitted, "price", "prediction")
 
 
+@query()
+def train_search(s, d):
+    best = models.search(_numbers(s, d), "price", ["qty", "discount", "tax"], "ridge", {"regParam": [0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]}, folds=2, sampled=3)
+    return metrics.regression(best.bestModel.transform(_numbers(s, d)), "price", "prediction")
+
+
 @query()
 def pca2(s, d):
     return models.pca(_numbers(s, d), ["qty", "price", "discount", "tax"]).select("label", "pc1", "pc2")

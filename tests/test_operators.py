@@ -135,6 +135,17 @@ def test_domains_count_words_not_columns():
         assert all(profile.domain_of([w.upper()]) == domain for w in words)
 
 
+def test_words_for_gaps(spark):
+    df = spark.createDataFrame([(1, None, 2.0), (2, "a", None), (3, None, None), (4, "b", 1.0)], "rid int, c string, x double")
+    got = prepare.fill_forward(df, ["c"], "rid", ["rid"], "start").orderBy("rid").collect()
+    assert [r["c"] for r in got] == ["start", "a", "a", "b"] and got[0]["x"] == 2.0
+    assert [r["c"] for r in prepare.fill_forward(df, ["c", "x"], "rid", ["rid"], backward=True).orderBy("rid").collect()] == ["a", "a", "a", "b"]
+    assert prepare.fill_forward(df.limit(0), ["c"], "rid", ["rid"]).count() == 0
+    assert prepare.CategoryImputer("default", "w").fit(df, ["c"]).values == {"c": "w"} and prepare.CategoryImputer("unknown", "w").fit(df, ["c"]).values == {"c": "unknown"}
+    with pytest.raises(ValueError, match="unknown strategy"):
+        prepare.CategoryImputer("guess").fit(df, ["c"])
+
+
 def test_dates_filled_on_narrow_rows(spark):
     rows = [(k, None if k % 3 else f"2020-01-{k % 28 + 1:02d}", None if k < 50 or k % 7 else float(k), "wide") for k in range(200)]
     df = spark.createDataFrame(rows, "rid int, day string, x double, other string").repartition(7)
@@ -226,12 +237,16 @@ def test_reports(spark, tmp_path):
     assert tuple(sums.first()) == (7, 1, 3) and {r["column"] for r in decisions.collect()} == {"a", "b", "c"}
 
 
-def test_models(spark):
+def test_models(spark, tmp_path):
     df = spark.createDataFrame([(float(i % 2), float(i % 2) * 2 + (i % 5) / 10, float(i)) for i in range(100)], "label double, a double, b double")
     fitted = models.train_classifier(df, "label", ["a", "b"])
     assert metrics.multiclass(fitted.transform(df), "label", "prediction").first()["accuracy"] > 0.95
     best = models.search(df, "b", ["a", "label"], "ridge", {"regParam": [0.1, 1.0]}, folds=2)
     assert len(best.avgMetrics) == 2
+    few = models.search(df, "b", ["a", "label"], "ridge", {"regParam": [0.1, 0.5, 1.0], "elasticNetParam": [0.0, 0.5]}, folds=2, sampled=2)
+    assert len(few.avgMetrics) == 2
+    again = models.load(models.save(fitted, f"{tmp_path}/model"))
+    assert [r["prediction"] for r in again.transform(df).collect()] == [r["prediction"] for r in fitted.transform(df).collect()]
     split = models.stratified_split(df, "label", ["b"])
     assert split.filter("is_test").groupBy("label").count().filter("count <> 10").count() == 0
 
