@@ -135,6 +135,44 @@ def test_domains_count_words_not_columns():
         assert all(profile.domain_of([w.upper()]) == domain for w in words)
 
 
+def test_policy_clean_against_plain_python(spark, small):
+    """Every column of a table by a second path: cleaners cell by cell (held against SQL elsewhere), fills and caps in plain Python."""
+    import statistics
+
+    import numpy as np
+
+    from loamworks.functions import columns as C
+
+    visits = spark.read.parquet(f"{small}/patient_visit.parquet").withColumn("score2", F.col("score"))
+    types = {r["column_name"]: r["column_type"] for r in profile.column_types(visits, ["visit_no"], [c for c in visits.columns if c != "visit_no"]).collect()}
+    got = {r["visit_no"]: r for r in policy.clean(visits, "visit_no").cleaned.collect()}
+    cells = visits.orderBy("visit_no").select("*", C.date(F.col("visit_date")).alias("_date"), *[C.categorical(F.col(c), k, "policy").alias(f"_{c}") for c, k in (("gender", "gender"), ("status", "status"))]).collect()
+    assert len(got) == len(cells) and types["visit_date"] == "date_datetime" and types["age"] == "numeric_measure" and types["gender"] == "categorical_low"
+    ages = [r["age"] for r in cells if r["age"] is not None]
+    middle = statistics.median(ages)
+    full = [middle if r["age"] is None else r["age"] for r in cells]
+    q1, q3 = np.quantile(full, [0.25, 0.75])
+    genders = [r["_gender"] for r in cells if r["_gender"] is not None]
+    mode = min(set(genders), key=lambda g: (-genders.count(g), g))
+    day = None
+    for r, age in zip(cells, full):
+        day = r["_date"] or day
+        mine = got[r["visit_no"]]
+        assert mine["visit_date"] == day
+        assert mine["age"] == pytest.approx(min(max(age, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)))
+        assert mine["gender"] == (r["_gender"] if r["_gender"] is not None else mode)
+
+
+def test_compatibility_form_and_case(spark):
+    import unicodedata
+
+    from loamworks.functions import text
+
+    words = ["ＡＢＣ", "ﬁn", "Straße", "İstanbul", "é", "①²", "ΣΊΣΥΦΟΣ", None, "", "a\u00a0b"]
+    got = [r[0] for r in spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, t string").orderBy("k").select(text.nfkc_casefold(F.col("t"))).collect()]
+    assert got == [None if w is None else unicodedata.normalize("NFKC", w).casefold().strip() for w in words]
+
+
 def test_words_for_gaps(spark):
     df = spark.createDataFrame([(1, None, 2.0), (2, "a", None), (3, None, None), (4, "b", 1.0)], "rid int, c string, x double")
     got = prepare.fill_forward(df, ["c"], "rid", ["rid"], "start").orderBy("rid").collect()
