@@ -749,7 +749,8 @@ def is_residue(text: str | None, index: ResidueIndex) -> bool:
 def document_shares(documents: DataFrame, text: str = "text") -> dict[str, float]:
     """Share of all documents that hold each word of the exemplars. The result is as large as the exemplars' vocabulary."""
     words = sorted({w for block in (FILLER, ERRORS, SCRIPTS, MENTIONS) for e in _exemplars(block) for w in e})
-    held = F.array_intersect(F.split(F.lower(F.col(text)), r"[^\p{L}]+"), F.array(*map(F.lit, words)))
+    # the set of words is built once, not for each text
+    held = F.filter(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}]+")), lambda w: w.isin(*words))
     rows = documents.select(F.explode(F.array_append(held, F.lit("\x00"))).alias("w")).groupBy("w").count().collect()
     counts = {r["w"]: r["count"] for r in rows}
     total = max(1, counts.pop("\x00", 0))
