@@ -608,9 +608,11 @@ class ResidueIndex:
 
     def residue_like(self, words: list[str]) -> bool:
         """Whether retrieved exemplars contain a window, or the words of one kind's exemplars make it up."""
+        weights = [self.idf.get(w, self.other) for w in words]
+        if sum(x for w, x in zip(words, weights) if w in self.idf) < COVERAGE * sum(weights):
+            return False  # no exemplar can hold a word that none has
         if self.coverage(words) >= COVERAGE:
             return True
-        weights = [self.idf.get(w, self.other) for w in words]
         most = max(sum(x for w, x in zip(words, weights) if w in known) for known in self.vocabulary.values())
         return most >= VOCABULARY * sum(weights)
 
