@@ -1,11 +1,12 @@
 """Lines repeated across the pages of one site (problem 5).
 
-The letters of a page, in the consistent form of `lookalike`, are cut into content-defined
-chunks by a rolling hash; newlines play no part in it. Distinct pages are counted for each
-chunk and site. A chunk both of whose cuts stand in one line, with their windows, depends
-on that line's letters alone, so a line on enough pages has only such chunks that are on
-enough pages: lines that hold a chunk too rare are settled by it. What is left, and lines
-too short to hold a chunk, is counted as whole lines, exactly.
+The letters of a whole page, in the consistent form of `lookalike`, are cut into content-defined
+chunks by a rolling hash; newlines play no part in it. Distinct pages are counted for each site and
+run of chunks, a run being the fewest chunks that cover a line, and the counts are mapped back to lines:
+runs on enough pages give all lines they cover, wherever else these stand. A chunk both of whose cuts
+stand in one line, with their windows, depends on that line's letters alone, so a line that holds such
+a chunk on too few pages is ruled out by it. What is left stands in surroundings that differ from page
+to page; it is counted exactly, as whole lines, over the pages of its runs.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamworks.llm.lookalike import LOOKALIKES, canonical_batch, site_and_page, slices
@@ -81,7 +82,10 @@ def _hash(data: bytes) -> tuple[int, int]:
 
 def line_hashes(lines: list[str], mean: int = MEAN_CHUNK) -> list[tuple[tuple[int, int], list[tuple[int, int]]] | None]:
     """Hash of each line's letters and of the chunks inside it; None for lines without letters."""
-    streams = letter_streams(lines)
+    return _stream_hashes(letter_streams(lines), mean)
+
+
+def _stream_hashes(streams: list[bytes], mean: int) -> list[tuple[tuple[int, int], list[tuple[int, int]]] | None]:
     out = [(_hash(s), []) if s else None for s in streams]
     cuts, of = chunk_cuts(streams, mean)
     begins = np.concatenate([[0], np.cumsum([len(s) for s in streams])])
@@ -97,42 +101,123 @@ def split_lines(text: str) -> list[str]:
     return [x[:-1] if x.endswith("\r") and k < len(lines) - 1 else x for k, x in enumerate(lines)] if "\r" in text else lines
 
 
+def page_runs(pages: list[list[bytes]], mean: int = MEAN_CHUNK) -> list[tuple[int, int, int, tuple[int, int]]]:
+    """Page, first and last line (past it) and hash of each run of chunks that covers lines; lines are given by their letters.
+
+    Pages are cut as wholes, and begin and end with a cut. A run reaches from the last cut before a line to the first one
+    after it; lines with the same run come together. The hash is that of the run's letters and of the places of these
+    lines in it, so that it stands for the same lines on every page. Lines without letters must be left out.
+    """
+    sizes = np.fromiter((len(s) for lines in pages for s in lines), np.int64)
+    if not sizes.size:
+        return []
+    edges = np.concatenate([[0], np.cumsum(sizes)])  # each line ends where the next begins
+    starts, ends = edges[:-1], edges[1:]
+    streams = [b"".join(lines) for lines in pages]
+    counts = np.fromiter(map(len, pages), np.int64, len(pages))
+    page_ends = np.cumsum(np.fromiter(map(len, streams), np.int64, len(streams)))
+    bounds = np.unique(np.concatenate([chunk_cuts(streams, mean)[0], [0], page_ends]))
+    left, right = bounds[np.searchsorted(bounds, starts, "right") - 1], bounds[np.searchsorted(bounds, ends)]
+    first = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
+    last = np.append(first[1:], sizes.size)
+    page = np.repeat(np.arange(len(pages)), counts)[first]
+    line = (np.cumsum(counts) - counts).tolist()  # number of each page's first line
+    data, out = b"".join(streams), []
+    for p, i, j, a, b in zip(page.tolist(), first.tolist(), last.tolist(), left[first].tolist(), right[first].tolist()):
+        out.append((p, i - line[p], j - line[p], _hash(data[a:b] + b"\0" + (edges[i : j + 1] - a).tobytes())))
+    return out
+
+
+_RUN, _LONG, _INNER = 0, 1, 2  # a run of lines without inner chunks, the run of a line with them, a chunk inside a line
+_ROWS = "rec long, page long, kind int, chunk long, chunk_b int, line_no array<int>, line array<long>, line_b array<int>"
+
+
 def _exploder(mean: int):
-    """From (rec, site, page, text) to a row for each chunk of each line, and one without a chunk for a line that holds none."""
+    """From (rec, site, page, text) to a row for each run of chunks, with the lines it covers, and for each chunk inside a line."""
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in (part for batch in batches for part in slices(batch, "text")):
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in slices(batch.to_pandas(), "text")):
             texts = [split_lines(t) for t in b["text"]]
             distinct = list(dict.fromkeys(x for lines in texts for x in lines))
-            known = {x: h and (*h[0], list(dict.fromkeys(h[1])) or [(0, 0)], not h[1]) for x, h in zip(distinct, line_hashes(distinct, mean))}
-            rows = [(i, k, h[0], h[1], c[0], c[1], h[3]) for i, lines in enumerate(texts) for k, x in enumerate(lines) if (h := known[x]) for c in h[2]]
-            at = np.array(rows, np.int64).reshape(-1, 7)
-            keys = b.drop(columns="text").iloc[at[:, 0]].reset_index(drop=True)
-            yield keys.assign(line_no=at[:, 1].astype(np.int32), line=at[:, 2], line_b=at[:, 3].astype(np.int32), chunk=at[:, 4], chunk_b=at[:, 5].astype(np.int32), whole=at[:, 6].astype(bool))
+            streams = letter_streams(distinct)
+            known = dict(zip(distinct, zip(streams, _stream_hashes(streams, mean))))
+            lettered = [[(k, *known[x]) for k, x in enumerate(lines) if known[x][0]] for lines in texts]
+            rows, held = [], []  # (text, kind, hash, number of lines); (line's number, its hash)
+            for i, first, last, run in page_runs([[s for _, s, _ in lines] for lines in lettered], mean):
+                own = lettered[i][first:last]
+                inner = own[0][2][1]  # a line with inner chunks has a run of its own
+                rows.append((i, _LONG if inner else _RUN, *run, len(own)))
+                held += [(k, *h[0]) for k, _, h in own]
+                for chunk in dict.fromkeys(inner):
+                    rows.append((i, _INNER, *chunk, 1))
+                    held.append((own[0][0], *own[0][2][0]))
+            at, of = np.array(rows, np.int64).reshape(-1, 5), np.array(held, np.int64).reshape(-1, 3)
+            site = b["site"].to_numpy(np.int64)[at[:, 0]]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(at[:, 4])]).astype(np.int32))
+            many = lambda values: pa.ListArray.from_arrays(offsets, pa.array(values))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(b["rec"].to_numpy(np.int64)[at[:, 0]]), pa.array(b["page"].to_numpy(np.int64)[at[:, 0]]), pa.array(at[:, 1].astype(np.int32)),
+                    pa.array(at[:, 2] ^ site), pa.array(at[:, 3].astype(np.int32)),
+                    many(of[:, 0].astype(np.int32)), many(of[:, 1] ^ np.repeat(site, at[:, 4])), many(of[:, 2].astype(np.int32)),
+                ],
+                ["rec", "page", "kind", "chunk", "chunk_b", "line_no", "line", "line_b"],
+            )
 
     return explode
 
 
+def _counted(rows: DataFrame, pages: int) -> DataFrame:
+    """Rows of at most `pages` pages of each chunk, with `often`: whether there are as many. Limited to these pages before the shuffle."""
+    same = Window.partitionBy("chunk", "chunk_b")
+    first = rows.select("page", "chunk", "chunk_b", "line", "line_b").withColumn("n", F.dense_rank().over(same.orderBy("page"))).filter(F.col("n") <= pages)
+    return first.withColumn("often", F.max("n").over(same) >= pages)
+
+
+def _each(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row for each line of a row's arrays."""
+    arrays = [c for c in ("line_no", "line", "line_b") if c in rows.columns]
+    return rows.select(*columns, F.explode(F.arrays_zip(*arrays)).alias("_l")).select(*columns, "_l.*")
+
+
+def line_runs(fetches: DataFrame, key: str, url: str, text: str, mean: int = MEAN_CHUNK) -> DataFrame:
+    """Runs of chunks with the lines they cover, and chunks inside lines: `_ROWS`, hashes mixed with the site's."""
+    site, page = site_and_page(F.col(url))
+    base = fetches.select(F.col(key).cast("long").alias("rec"), F.xxhash64(site).alias("site"), F.xxhash64(page).alias("page"), F.col(text).alias("text")).filter(F.col(url).isNotNull() & (F.length("text") > 0))
+    return base.mapInArrow(_exploder(mean), _ROWS)
+
+
+def ruled_out(rows: DataFrame, pages: int = PAGES) -> DataFrame:
+    """line, line_b of the lines that hold a chunk on fewer than `pages` pages of the site."""
+    return _each(_counted(rows.filter(F.col("kind") == _INNER), pages).filter(~F.col("often"))).distinct()
+
+
+def found_lines(rows: DataFrame, pages: int = PAGES) -> DataFrame:
+    """line, line_b of the lines on `pages` or more pages of their site, by_run: whether a run of chunks on as many gave them.
+
+    Lines that are ruled out leave first. The lines of runs on fewer pages are counted on the pages of these runs.
+    """
+    out = ruled_out(rows, pages).select(F.col("line").alias("_a"), F.col("line_b").alias("_b"))
+    long = rows.filter(F.col("kind") == _LONG).withColumn("_a", F.col("line")[0]).withColumn("_b", F.col("line_b")[0])
+    runs = _counted(rows.filter(F.col("kind") == _RUN).unionByName(long.join(out, ["_a", "_b"], "left_anti").select(rows.columns)), pages)
+    seen = _each(runs.withColumn("page", F.when(~F.col("often"), F.col("page"))), "page").distinct()  # no page: given by a run
+    counts = seen.groupBy("line", "line_b").agg(F.count("page").alias("n"), (F.count(F.lit(1)) > F.count("page")).alias("by_run"))
+    return counts.filter(F.col("by_run") | (F.col("n") >= pages)).select("line", "line_b", "by_run")
+
+
 def repeated_lines(fetches: DataFrame, key: str = "result_id", url: str = "url", text: str = "raw_text", pages: int = PAGES, mean: int = MEAN_CHUNK) -> DataFrame:
     """key and line_no of each line that stands on `pages` or more distinct pages of its site.
 
     Lines are the same if their letters are. Lines without letters, null and empty texts and rows with a
     null url give no line. Several fetches of a page count as one page. A line that stands twice on a page
-    is found twice. Sites may be of any size: pages are made distinct and counted by (site, chunk) and
-    (site, line), with sums before each shuffle, so a large site is spread over as many tasks as it has lines.
+    is found twice. Sites may be of any size: chunks are counted by (site, chunk), of which each task hands on
+    `pages` pages at most, and lines left by (site, line), made distinct with sums before each shuffle. Only
+    the fetches of these few pages that share a chunk meet in one task.
     Keys have 96 bits, of which 64 are mixed with the site's.
     """
-    site, page = site_and_page(F.col(url))
-    base = fetches.select(F.col(key).cast("long").alias("rec"), F.xxhash64(site).alias("site"), F.xxhash64(page).alias("page"), F.col(text).alias("text")).filter(F.col(url).isNotNull() & (F.length("text") > 0))
-    rows = base.mapInPandas(_exploder(mean), "rec long, site long, page long, line_no int, line long, line_b int, chunk long, chunk_b int, whole boolean")
-    # the texts are read once: hashes of lines and chunks are kept and used three times
-    chunk = F.when(~F.col("whole"), F.xxhash64("site", "chunk"))
-    rows = cut(rows.select("rec", "page", "line_no", F.xxhash64("site", "line").alias("line"), "line_b", chunk.alias("chunk"), F.when(~F.col("whole"), F.col("chunk_b")).alias("chunk_b")))
-    often = lambda t, *k: t.select(*k, "page").distinct().groupBy(*k).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= pages).select(*k)
-    held = rows.filter("chunk IS NOT NULL")
-    candidates = held.join(often(held, "chunk", "chunk_b"), ["chunk", "chunk_b"], "left_semi").select("rec", "page", "line_no", "line", "line_b").distinct()
-    lines = rows.filter("chunk IS NULL").select("rec", "page", "line_no", "line", "line_b").unionByName(candidates)
-    return lines.join(often(lines, "line", "line_b"), ["line", "line_b"], "left_semi").select(F.col("rec").alias(key), "line_no")
+    rows = cut(line_runs(fetches, key, url, text, mean))  # the texts are read once: hashes are kept and used again
+    lines = _each(rows.filter(F.col("kind") != _INNER), "rec")
+    return lines.join(found_lines(rows, pages), ["line", "line_b"], "left_semi").select(F.col("rec").alias(key), "line_no")
 
 
 def without_lines(fetches: DataFrame, lines: DataFrame, key: str = "result_id", text: str = "raw_text", out: str = "kept_text") -> DataFrame:

@@ -222,3 +222,34 @@ def test_a_line_is_not_counted_with_longer_ones_that_hold_it(spark):
     assert R.line_hashes([letters[: heads[0]]])[0][1][0] == R.line_hashes([letters])[0][1][0]
     rows = [(i, f"http://a.example/{i}", letters if i < 5 else letters[: heads[0]]) for i in range(8)]
     assert heads and R.repeated_lines(table(spark, rows)).count() == 0
+
+
+def test_runs_of_chunks_over_line_ends_give_short_lines(spark):
+    """Short lines that stand together are found by the chunks that run over their ends, whatever stands around them, and lines broken elsewhere are not taken for them."""
+    r = random.Random(11)
+    words = lambda n: [invented(r, 2) for _ in range(n)]
+    menu = words(60)
+    assert all(not h[1] for h in R.line_hashes(menu))  # none of the lines holds a chunk
+    letters = lambda lines: R.letter_streams(lines)
+    near, far = ([run for _, a, b, run in R.page_runs([letters(words(k) + menu + words(9))])] for k in (3, 40))
+    assert len(set(near) & set(far)) > 5
+    broken = [" ".join(menu[k : k + 2]) for k in range(1, 59, 2)]  # the same letters with other line ends
+    rows = [(i, f"http://a.example/{i}", "\n".join(words(3 + i) + (menu if i < 8 else broken) + words(9))) for i in range(12)]
+    rows += [(100 + i, f"http://b.example/{i}", "\n".join(menu)) for i in range(7)] + [(200 + i, "http://c.example/one", "\n".join(menu)) for i in range(9)]
+    rows += [(300, "http://a.example/other", f"{menu[30]}\nalone")]
+    made = R.line_runs(table(spark, rows), "result_id", "url", "raw_text").cache()
+    by_run = [x["by_run"] for x in R.found_lines(made).collect()]
+    assert len(by_run) == 60 and sum(by_run) > 40
+    for pages in (8, 4, 1):
+        assert sorted(map(tuple, R.repeated_lines(table(spark, rows), pages=pages).collect())) == sorted(brute(rows, pages))
+    assert (300, 0) in brute(rows) and not any(100 <= k < 300 for k, _ in brute(rows))
+
+
+def test_runs_against_brute_force(spark):
+    """Few distinct lines, short and long, in any order and number, fetched again, on few sites; small chunks."""
+    r = random.Random(3)
+    pool = [invented(r, r.choice([1, 1, 2, 5, 30])) for _ in range(12)] + ["12", ""]
+    rows = [(i, f"http://s{i % 3}.example/{r.randint(1, 14)}", "\n".join(r.choices(pool, k=r.randint(0, 9)))) for i in range(150)]
+    for mean, pages in ((4, 8), (16, 8), (64, 9), (16, 2)):
+        got = [tuple(x) for x in R.repeated_lines(table(spark, rows), pages=pages, mean=mean).collect()]
+        assert sorted(got) == sorted(brute(rows, pages)), (mean, pages)
